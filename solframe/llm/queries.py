@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .quality_ledger import apply_policy, quality_ledger
 from .sharding import shard_documents
+from .token_records import scratch_folder, token_stream, write_records
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +36,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir), 16)
 
 
+def _tokenizer() -> str:
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    return token_stream(write_records(_documents(spark, sf_dir), folder, _tokenizer()), folder)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_documents(spark, sf_dir), _tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op7_token_records": op7_token_records,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {
