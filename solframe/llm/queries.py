@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .quality_ledger import apply_policy, quality_ledger
 from .sharding import shard_documents
+from .substring_dedup import remove_repeats
 from .token_records import scratch_folder, token_stream, write_records
 
 
@@ -40,6 +41,10 @@ def _tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     return token_stream(write_records(_documents(spark, sf_dir), folder, _tokenizer()), folder)
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_records": op7_token_records,
     "op10_bpe": op10_bpe,
 }
@@ -96,5 +102,22 @@ WITH d AS (
   FROM d
 )
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
+""",
+    "op6_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM d, unnest(range(1, len(ws) - 48)) AS u(i)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM win) WHERE f < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM later, unnest(range(0, 50)) AS v(j)
+), kept AS (
+  SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.p) AS t
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d) w ANTI JOIN gone USING (doc_id, p)
+  GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
