@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .ngram_jaccard import similar_documents
 from .quality_ledger import apply_policy, quality_ledger
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
@@ -50,6 +51,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream(write_records(_documents(spark, sf_dir), folder, _tokenizer()), folder)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_documents(spark, sf_dir), width=3, percent=90)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), _tokenizer())
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_records": op7_token_records,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_bpe": op10_bpe,
 }
 
