@@ -15,8 +15,10 @@ import regex
 #: White space of the tokenizer's patterns; Python's own also counts U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
 ODD = regex.compile("[\x1c-\x1f]")
-#: Entries of the memo; it is emptied when full, so a worker's memory stays bounded.
-MEMO = 500_000
+#: Entries of the memo's younger half. When it is full, the older half goes, so a worker's memory stays bounded.
+MEMO = 300_000
+#: A full stop or comma that touches another mark: elsewhere the two are pieces of their own.
+TOUCH = regex.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
 
 
 class PieceEncoder:
@@ -29,13 +31,14 @@ class PieceEncoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.encode_piece = encode_piece
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         ids = self.memo.get(piece)
         if ids is None:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
-            ids = self.memo[piece] = self.encode_piece(piece)
+                self.memo, self.older = {}, self.memo
+            ids = self.memo[piece] = self.older.pop(piece, None) or self.encode_piece(piece)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
@@ -45,9 +48,14 @@ class PieceEncoder:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma is lowered without regard to its place
         text = text.lower()
+        if not TOUCH.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
         chunks = text.split() if not ODD.search(text) else regex.split(f"[{SPACE}]+", text)
-        get, chunk = self.memo.get, self._chunk
-        return b"".join([get(c) or chunk(c) for c in chunks])
+        out = []
+        for at in range(0, len(chunks), 4096):  # in blocks, as a full memo is replaced
+            get, old, chunk = self.memo.get, self.older.get, self._chunk
+            out += [get(c) or old(c) or chunk(c) for c in chunks[at : at + 4096]]
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:

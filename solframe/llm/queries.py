@@ -11,10 +11,12 @@ from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .ngram_jaccard import similar_documents
+from .pseudonyms import pseudonymise
 from .quality_ledger import apply_policy, quality_ledger
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .token_records import scratch_folder, token_stream, write_records
+from .toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = apply_policy(quality_ledger(_documents(spark, sf_dir)))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,6 +57,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream(write_records(_documents(spark, sf_dir), folder, _tokenizer()), folder)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_documents(spark, sf_dir), key=b"a key for tests only")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_documents(spark, sf_dir), width=3, percent=90)
 
@@ -61,11 +71,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_records": op7_token_records,
+    "op8_pii": op8_pii,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_bpe": op10_bpe,
 }
