@@ -129,3 +129,13 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     with_taken = rows.join(taken, "row", "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     facts = sources.select("source", "source_size", "target")
     return with_taken.join(facts, same(with_taken, facts, "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def apply_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """`docs`, all columns, each row as often as the mix takes its words, to the nearest whole number (0 to `PASSES`).
+
+    Rows that share a doc_id share their words' count. Documents without words, which no mix takes, go.
+    """
+    shares = mix(docs, text, doc_id, source, block).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_times")).filter("_times > 0")
+    taken = docs.join(shares, F.col(doc_id).eqNullSafe(F.col("_id")))
+    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))

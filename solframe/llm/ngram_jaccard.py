@@ -281,3 +281,13 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, text:
         plain(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"),
         plain(F.coalesce("component", "key")).alias("component_id"), plain(F.coalesce("head", "key")).alias("class_id"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`docs`, all columns, with one document of each group of linked ones: that with the least doc_id.
+
+    Of rows that share a doc_id all stay or all go. Other cases as in `similar_documents`.
+    """
+    found = similar_documents(docs, width, percent, text, doc_id)
+    lost = found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, F.col(doc_id).eqNullSafe(F.col("_lost")), "left_anti")

@@ -273,6 +273,25 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> list[t
     return [(r["_text"], int(r["_toxic"])) for r in sorted(found.collect(), key=lambda r: r["_id"])]
 
 
+class Scorer:
+    """Scores texts in a worker, remembering a bounded number of strings."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.memo = model, {}
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        out = []
+        for at in range(0, len(texts), 500):
+            bags = [strings(t) if t else () for t in texts[at : at + 500]]
+            fresh = list({x for b in bags for x in b if x not in self.memo})
+            if len(self.memo) + len(fresh) > MEMO:
+                self.memo.clear()
+                fresh = list({x for b in bags for x in b})
+            self.memo.update(zip(fresh, score_strings(fresh, self.model.table).tolist() if fresh else ()))
+            out += [self.model.probability(max(map(self.memo.__getitem__, b), default=-2.0)) for b in bags]
+        return out
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
 
@@ -285,19 +304,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     rows = docs.select(docs[doc_id].alias("doc_id"), held_out(docs[doc_id]).alias("held_out"), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = model.value, {}
+        scorer = Scorer(model.value)
         for batch in batches:
-            scores = []
-            texts = batch.column(2)
-            for at in range(0, len(texts), 500):
-                bags = [strings(t) if t else () for t in texts.slice(at, 500).to_pylist()]
-                fresh = list({x for b in bags for x in b if x not in memo})
-                if len(memo) + len(fresh) > MEMO:
-                    memo.clear()
-                    fresh = list({x for b in bags for x in b})
-                memo.update(zip(fresh, score_strings(fresh, m.table).tolist() if fresh else ()))
-                scores += [m.probability(max(map(memo.__getitem__, b), default=-2.0)) for b in bags]
-            score = pa.array(scores, pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score, pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            scores = scorer.scores(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`docs`, all columns, without the rows that `score_toxicity` predicts to be toxic. Cases as there."""
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, text, doc_id)))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array([s < THRESHOLD for s in scorer.scores(batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
