@@ -153,7 +153,8 @@ def tools(content: bytes) -> tuple[PieceEncoder, OffsetTable]:
     if key not in _READY:
         spec = load_spec(content)
         _READY.clear()
-        _READY[key] = PieceEncoder(spec, Backtracking(spec).encode), OffsetTable(spec)
+        encode = Backtracking(spec).encode
+        _READY[key] = PieceEncoder(spec, lambda chunks, find: [b"".join(map(encode, find(c))) for c in chunks]), OffsetTable(spec)
     return _READY[key]
 
 
@@ -180,7 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tools(file.value)[0].encode
         for batch in batches:
-            ids = [encode(t.as_py()) for t in batch.column(1)]
+            ids = encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -208,8 +209,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
         encoder, table = tools(file.value)
         for batch in batches:
             found = []
-            for t in batch.column(1):
-                ids = encoder.encode(t.as_py())
+            for ids in encoder.encode(batch.column(1).to_pylist()):
                 found.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(table.decode(ids)).hexdigest()))
             n, a, b = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

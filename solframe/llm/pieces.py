@@ -1,6 +1,6 @@
 """Cutting a text into the pieces that a word-level BPE encodes one by one.
 
-Pieces never span white space and do not depend on each other, so a bounded memo of pieces serves a whole worker. The
+Pieces never span white space and do not depend on each other, so a bounded memo of chunks serves a whole worker. The
 normaliser composes (NFC), lower-cases and drops white space, as the tokenizer file states.
 """
 
@@ -16,53 +16,72 @@ import regex
 SPACE = "\t-\r \x85\xa0  -     　"
 ODD = regex.compile("[\x1c-\x1f]")
 #: Entries of the memo's younger half. When it is full, the older half goes, so a worker's memory stays bounded.
-MEMO = 300_000
+MEMO = 600_000
+#: Characters of texts that are taken together.
+BLOCK = 1 << 20
 #: A full stop or comma that touches another mark: elsewhere the two are pieces of their own.
 TOUCH = regex.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
 
 
 class PieceEncoder:
-    """Encodes texts through `encode_piece`, which gives the ids of one piece as little-endian unsigned 32-bit bytes."""
+    """Encodes texts. encode_chunks gives the ids of chunks without white space, little-endian unsigned 32-bit bytes.
 
-    def __init__(self, spec: dict, encode_piece: Callable[[str], bytes]) -> None:
+    `find` of this object cuts a chunk into its pieces.
+    """
+
+    def __init__(self, spec: dict, encode_chunks: Callable[[list[str], Callable[[str], list[str]]], list[bytes]]) -> None:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.encode_piece = encode_piece
+        self.encode_chunks = encode_chunks
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.memo.get(piece)
-        if ids is None:
-            if len(self.memo) >= MEMO:
-                self.memo, self.older = {}, self.memo
-            ids = self.memo[piece] = self.older.pop(piece, None) or self.encode_piece(piece)
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._piece, self.find(chunk)))
+    def find(self, chunk: str) -> list[str]:
+        return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
 
-    def _plain(self, text: str) -> bytes:
+    def _chunks(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma is lowered without regard to its place
         text = text.lower()
         if not TOUCH.search(text):
             text = text.replace(".", " . ").replace(",", " , ")
-        chunks = text.split() if not ODD.search(text) else regex.split(f"[{SPACE}]+", text)
-        out = []
-        for at in range(0, len(chunks), 4096):  # in blocks, as a full memo is replaced
-            get, old, chunk = self.memo.get, self.older.get, self._chunk
-            out += [get(c) or old(c) or chunk(c) for c in chunks[at : at + 4096]]
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(self.special.get(part) or self._plain(part) for part in self.cut(text))
+        return text.split() if not ODD.search(text) else [c for c in regex.split(f"[{SPACE}]+", text) if c]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Put the ids of all chunks into the memo."""
+        need = chunks - self.memo.keys()
+        if len(self.memo) + len(need) > MEMO:
+            self.memo, self.older, need = {}, self.memo, chunks
+        fresh = []
+        for c in need:
+            if (known := self.older.pop(c, None)) is None:
+                fresh.append(c)
+            else:
+                self.memo[c] = known
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            self.memo.update(zip(some, self.encode_chunks(some, self.find)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; a null text has none. Texts are taken in blocks of about BLOCK characters."""
+        out: list[bytes] = []
+        block, size = [], 0
+        for text in texts:
+            block.append(text or "")
+            size += len(block[-1])
+            if size >= BLOCK:
+                out += self._encode(block)
+                block, size = [], 0
+        return out + self._encode(block)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        parts = [[t] if self.cut is None or not any(s in t for s in self.special) else self.cut(t) for t in texts]
+        cut = [[self.special.get(p) or self._chunks(p) for p in ps] for ps in parts]
+        self._learn({c for ps in cut for p in ps if isinstance(p, list) for c in p})
+        get = self.memo.__getitem__
+        return [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in ps) for ps in cut]
 
 
 def load_spec(content: bytes) -> dict:
