@@ -6,9 +6,10 @@ are opened and their members compared exactly.
 
 1. Documents with equal shingle sets are one class; its least doc_id stands for it.
 2. Which groups a query meets comes from a pigeonhole: the hash space is cut into more segments than two similar sets
-   can differ in, so they agree on a whole segment. Documents that share a segment are linked; connected documents are
-   a neighbourhood, and no similar pair lies outside one. Segments travel in packed rows, and copies of a segment in a
-   chunk are settled before the shuffle, so a segment that very many documents share stays cheap.
+   can differ in, so they agree on a whole segment. Shingles that very many documents share (a bounded list) are one
+   segment of their own, which is left out; a set with too few other shingles is cut once more with all of them.
+   Documents that share a segment are linked; connected documents are a neighbourhood, and no similar pair lies outside
+   one. Segments travel in packed rows, and copies of a segment in a chunk are settled before the shuffle.
 3. A neighbourhood is partitioned by the least token hash into groups of about GROUP members. Unions are bit rows of
    BITS token columns: a query bit that the union lacks is a token that no member has.
 4. Queries meet the unions of their neighbourhood in blocks; qualifying pairs of query and group are opened.
@@ -35,9 +36,12 @@ from .packs import LAST, deal, pack_owners, planes, runs, unpack_owners, unplane
 from .words import mix, spans, windows, word_hashes
 
 #: Members of a group, about; queries in a block of bounds and in a block of an opened group; token columns of a union.
-GROUP, BOUND_BLOCK, OPEN_BLOCK, BITS = 64, 2048, 256, 4096
-#: Words in a chunk of a map task; entries in a bucket, about; growth of the size classes; spare segments.
-CHUNK, BUCKET, GROWTH, SPARE = 1 << 20, 1 << 20, 1.35, 1
+GROUP, BOUND_BLOCK, OPEN_BLOCK, BITS = 64, 2048, 256, 16384
+#: Words in a chunk of a map task; entries in a bucket, about; growth of the size classes.
+CHUNK, BUCKET, GROWTH = 1 << 20, 1 << 20, 1.35
+#: Copies that make a shingle a common one (as far as chunks that have two see them), and the most that are listed.
+#: The list only keeps neighbourhoods small: results don't depend on it.
+COMMON, LISTED = 24, 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -59,24 +63,34 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.unique(windows(words[a:b], min(width, b - a))) if b > a else words[:0]
 
 
-def segments(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of a set's segments: two sets of the given similarity share one at least."""
+def _parts(tokens: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the segments that have tokens, and the numbers of those that have none."""
+    m = np.sort(mix(tokens + np.uint64(tag)))
+    counts = np.bincount(((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), minlength=parts)
+    full, empty = np.flatnonzero(counts), np.flatnonzero(counts == 0)
+    sums = np.add.reduceat(m, np.cumsum(counts)[full] - counts[full]) if len(full) else m
+    return mix(sums + mix((full + (tag << 32)).astype(np.uint64))), empty
+
+
+def segments(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """Hashes of a set's segments: two sets of the given similarity share one at least. common: sorted."""
     n, out = len(tokens), []
+    at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+    own = tokens[common[at] != tokens] if len(common) else tokens
     c = int(np.searchsorted(_CLASSES, n, side="right")) - 1
     for k in (c, c + 1) if 100 * n >= percent * int(_CLASSES[c + 1]) else (c,):
         differ = 2 * (int(_CLASSES[k + 1]) - 1) * (100 - percent) // (100 + percent)
         if not differ:
             continue  # only equal sets are similar at this size
-        parts = differ + 1 + SPARE
-        m = np.sort(mix(tokens + np.uint64(k)))
-        part = ((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        counts = np.bincount(part, minlength=parts)
-        full = np.flatnonzero(counts)
-        sums = np.add.reduceat(m, np.cumsum(counts)[full] - counts[full])
-        out.append(mix(sums + mix((full + k * (1 << 32)).astype(np.uint64))))
-        if parts - len(full) > SPARE:  # so few tokens that only empty segments may be shared
-            empty = np.flatnonzero(counts == 0)
-            out.append(mix(mix((empty + k * (1 << 32)).astype(np.uint64))))
+        # differ + 1 + spare segments and that of the common shingles: spare + 1 of the former agree at least
+        spare = 8 + differ // 5
+        found, empty = _parts(own, differ + 1 + spare, k)
+        out.append(found)
+        if len(empty) > spare:  # they may agree on empty ones only, if both sets are such: cut all shingles, too
+            found, empty = _parts(tokens, differ + 1 + spare, k + 1024)
+            out.append(found)
+            if len(empty) > spare:
+                out.append(mix(mix((empty + (k << 32)).astype(np.uint64))))
     return np.concatenate(out) if out else tokens[:0]
 
 
@@ -113,12 +127,30 @@ def _classify(width: int):
     return run
 
 
-def _scatter(width: int, percent: int, buckets: int):
+def _repeated(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _chunks(batches):
+            tokens, n = np.unique(np.concatenate(list(shingle_sets(texts, width))), return_counts=True)
+            tokens, n = tokens[n > 1], n[n > 1]
+            for at in range(0, len(tokens), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[at : at + 10_000].view(np.int64)), pa.array(n[at : at + 10_000])], ["token", "n"])
+
+    return run
+
+
+def _common(rows: DataFrame, width: int) -> np.ndarray:
+    """Shingles of very many documents, LISTED at most."""
+    counts = rows.mapInArrow(_repeated(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(LISTED).select("token")
+    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _scatter(width: int, percent: int, buckets: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for keys, texts in _chunks(batches):
             ids = np.array(keys, np.int64)
-            each = [segments(s, percent) if len(s) else s for s in shingle_sets(texts, width)]
+            each = [segments(s, percent, common.value) if len(s) else s for s in shingle_sets(texts, width)]
             hashes = np.concatenate(each)
             owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
             order = np.argsort(hashes, kind="stable")
@@ -194,7 +226,8 @@ def _open(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Edges that connect what is not yet connected here: members with each other (block 0) and with queries."""
         keys, n, query = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["query"].to_numpy()
-        sets, bits = [np.frombuffer(x, np.uint64) for x in rows["tokens"]], _matrix(rows["bits"])
+        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+        bits = np.stack([bit_row(x) for x in sets])
         members = np.flatnonzero(~query)
         root = list(range(len(keys)))
 
@@ -227,8 +260,9 @@ def _open(percent: int):
 def _links(rows: DataFrame, heads: DataFrame, size: int, width: int, percent: int) -> DataFrame:
     """Edges that connect similar classes. rows: key, text; heads: the documents that stand for their classes."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(size // 6 // (BUCKET * 4), min(8 * parts, 1024)) + 1
-    dealt = rows.mapInArrow(_scatter(width, percent, buckets), "bucket long, owners binary, counts binary, hashes binary")
+    buckets = max(size // 6 // (BUCKET * 2), min(8 * parts, 1024)) + 1
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, width))  # a list of bounded length
+    dealt = rows.mapInArrow(_scatter(width, percent, buckets, common), "bucket long, owners binary, counts binary, hashes binary")
     hoods = components(dealt.groupBy("bucket").applyInPandas(_link, "a long, b long"))
     hoods = hoods.unionByName(hoods.select(F.col("component").alias("node"), "component").distinct())
     inside = hoods.join(heads, F.col("node") == F.col("head")).select(F.col("node").alias("key"), F.col("component").alias("hood"))
@@ -250,11 +284,11 @@ def _links(rows: DataFrame, heads: DataFrame, size: int, width: int, percent: in
     sides = unions.join(several.select("hood"), "hood").join(queries.select("hood", "block").distinct(), "hood").select("hood", "group", "bits", "low", "high", F.lit(None).cast("long").alias("key"), "block")
     opened = cut(queries.unionByName(sides).groupBy("hood", "block").applyInPandas(_bound(percent), "key long, group long"))
     blocks = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))
-    asking = opened.join(blocks, "group").join(grouped.select("key", "n", "tokens", "bits"), "key").select(
-        "group", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), "key", "n", "tokens", "bits", F.lit(True).alias("query")
+    asking = opened.join(blocks, "group").join(grouped.select("key", "n", "tokens"), "key").select(
+        "group", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), "key", "n", "tokens", F.lit(True).alias("query")
     )
     held = grouped.join(blocks, "group", "left").select(
-        "group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "key", "n", "tokens", "bits", F.lit(False).alias("query")
+        "group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "key", "n", "tokens", F.lit(False).alias("query")
     )
     return held.unionByName(asking).groupBy("group", "block").applyInPandas(_open(percent), "a long, b long")
 
