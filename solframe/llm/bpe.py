@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
 from .pieces import PieceEncoder, load_spec
 
 #: Entries of the table of pairs; it is emptied when full.
@@ -180,7 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tools(file.value)[0].encode
-        for batch in batches:
+        for batch in slices(batches, 1024):
             ids = encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -193,7 +194,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = tools(file.value)[1].decode
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = [decode(x.as_py() or b"").decode() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "text"])
 
@@ -207,7 +208,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = tools(file.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             found = []
             for ids in encoder.encode(batch.column(1).to_pylist()):
                 found.append((len(ids) // 4, sha256(ids).hexdigest(), sha256(table.decode(ids)).hexdigest()))

@@ -16,7 +16,7 @@ import regex
 SPACE = "\t-\r \x85\xa0  -     　"
 ODD = regex.compile("[\x1c-\x1f]")
 #: Entries of the memo's younger half. When it is full, the older half goes, so a worker's memory stays bounded.
-MEMO = 600_000
+MEMO = 300_000
 #: Characters of texts that are taken together.
 BLOCK = 1 << 20
 #: A full stop or comma that touches another mark: elsewhere the two are pieces of their own.

@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 ROUNDS = 8
 #: Values whose pseudonyms a worker remembers; it forgets all when full.
 MEMO = 100_000
@@ -230,7 +232,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Pseudonyms(key)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts, counts = [], []
             for t in batch.column(1).to_pylist():
                 new, n = worker.replace(t)

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums, scratch_dir
+from .common import cut, prefix_sums, scratch_dir, slices
 from .pieces import PieceEncoder, load_spec
 
 #: Record bytes for a reading task, and in a row from one file.
@@ -107,7 +107,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         at = before = 0
         first = None
         try:
-            for batch in batches:
+            for batch in slices(batches, 1024):
                 rows = []
                 for key, known in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                     if out is None:

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Decay for each letter spanned; the most letters spanned; character classes; the longest string taken at once.
 DECAY, SPAN, CLASSES, LONGEST = 0.7, 7, 64, 32
 #: The sample: at most so many toxic and clean labelled texts, of at most so many characters each.
 TOXIC, CLEAN, CHARS = 1500, 3000, 20_000
 #: Landmarks out of toxic texts and ordinary ones; rounds of mining; strings that a worker remembers.
-STANDOUT, ORDINARY, ROUNDS, MEMO = 256, 256, 3, 400_000
+STANDOUT, ORDINARY, ROUNDS, MEMO = 256, 256, 3, 250_000
 #: Strings that stand out most and are examples in any case.
 FREQUENT = 64
 #: Price of an example on the wrong side.
@@ -305,7 +307,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             scores = scorer.scores(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -319,7 +321,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             yield batch.filter(pa.array([s < THRESHOLD for s in scorer.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
