@@ -1,0 +1,407 @@
+"""Every numbered query and the pipeline's stages against brute force or SQL, on small tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import corpus_pipeline
+from solframe.llm import bpe, components, mixing, ngram_jaccard, pseudonyms, quality_ledger, sharding, substring_dedup, token_records, toxicity
+from solframe.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from solframe.llm.queries import QUERIES, SQL, _tokenizer
+
+from ..helpers import compare
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("digest", T.StringType()), T.StructField("n_words", T.LongType())])
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, clashing column names."""
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    body = " ".join(f"k{i}" for i in range(80))
+    texts = [(1, body), (2, body + " tail"), (3, body.replace("k7 ", "q7 ")), (4, None), (5, ""), (6, " \n\t"), (7, long), (7, long), (8, "a b a b a b a b a b a b a b a b a b"), (None, "no id here"), (None, body), (9, "Ünï ©\x1f<|endoftext|>x　y"), (10, "word")]
+    rows = [(d, t, None if i % 3 == 0 else f"s{i % 2}", i, "x", None) for i, (d, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(odd):
+    return odd.limit(0)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_query_equals_its_sql(spark, sf, name):
+    compare(spark, sf, QUERIES[name], SQL[name])
+
+
+# 1
+
+
+def check_mix(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    total, room, left = sum(r["size"] for r in rows), {}, {}
+    order = sorted((s for s in by if s is not None)) + [None] * (None in by)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    cap = {s: 2 * sum(r["size"] for r in by[s]) for s in by}
+    target, free, share = {}, set(by), 1.5 * total
+    while free:
+        level = (share - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > cap[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: float(cap[s]) for s in over}
+        free -= over
+    for s, rs in by.items():
+        assert all(r["target"] == pytest.approx(target[s]) and r["source_size"] == cap[s] // 2 and 0 <= r["taken"] <= 2 * r["size"] for r in rs)
+        assert abs(sum(r["taken"] for r in rs) - target[s]) <= 1
+
+
+def test_mix(spark, docs, odd, nothing):
+    one = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    check_mix(one)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect())) == sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in one)
+    check_mix([r.asDict() for r in mixing.mix(odd.filter("doc_id is not null and doc_id <> 7"), block=16).join(odd.select("doc_id", "source"), "doc_id").collect()])
+    assert mixing.mix(odd).count() == odd.count() and mixing.mix(nothing).count() == 0
+    assert mixing.mix(odd.filter("text is null or trim(text) = ''")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_schedule_is_spread(spark):
+    s = spark.createDataFrame([("a", 6000, 6000, 0.0, 0.75), ("b", 2000, 2000, 0.75, 1.0)], "source string, source_size long, want long, low double, high double")
+    slots = sorted((r["k"], r["source"]) for r in mixing.schedule(s, 10, 800).collect())
+    seen = 0
+    for i, (_, source) in enumerate(slots[:780], 1):
+        seen += source == "a"
+        assert abs(seen - 0.75 * i) < 4
+
+
+def test_apply_mix_keeps_columns(docs):
+    out = corpus_pipeline.apply_mix(docs)
+    assert out.columns == docs.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+# 2
+
+
+def test_toxicity_learns_gapped_insults(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("aeioutnrsld"), 6)) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(words, 40)) + ". " + " ".join(rng.choice(words, 20))
+    insults = ["zwuckel", "gribbop"]
+    model = toxicity.train([(text() + " " + insults[i % 2] + " " + text(), 1) for i in range(60)] + [(text(), 0) for _ in range(150)])
+    scorer = toxicity.Scorer(model)
+    assert all(s >= 0.7 for s in scorer.scores([text() + " zwuckel", "gribbop", "z w u c k e l", "zwu-ckel you", "Gribbop!"]))
+    assert all(s < 0.7 for s in scorer.scores([text() for _ in range(100)] + ["", None]))
+    assert scorer.scores(["zwxuckel"])[0] > scorer.scores([words[0]])[0]
+
+
+def test_toxicity_query(spark, sf, docs, odd, nothing):
+    rows = QUERIES["op2_toxicity"](spark, sf).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(odd, labels).count() == odd.count()
+    assert toxicity.score_toxicity(nothing, labels.limit(0)).count() == 0
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns
+
+
+def test_held_out_labels_are_never_learnt(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    score = lambda x: sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(docs, x).collect())
+    assert score(labels) == score(flipped)
+
+
+# 3
+
+
+def brute_quality(text):
+    ws = WORD.findall(text or "")
+    at = defaultdict(list)
+    for i in range(len(ws) - 7):
+        at[tuple(ws[i : i + 8])].append(i)
+    again = {p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_ledger(odd, nothing):
+    for r in quality_ledger.apply_policy(quality_ledger.quality_ledger(odd.withColumn("doc_id", F.col("row").cast("long")))).collect():
+        want = brute_quality(odd.filter(F.col("row") == r["doc_id"]).first()["text"])
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
+    assert quality_ledger.quality_ledger(nothing).count() == 0
+
+
+def test_ablations_equal_a_fresh_count(docs):
+    ledger = quality_ledger.quality_ledger(docs).cache()
+    for r in quality_ledger.ablations(ledger, "v2").collect():
+        rest = sum(b for n, b in quality_ledger.BIT.items() if n != r["rule"])
+        assert r["kept_without"] == ledger.filter(F.col("failed_bits").bitwiseAND(F.lit(rest)) == 0).count()
+
+
+# 4
+
+
+def test_exact_duplicates(odd, nothing, docs):
+    rows = exact_duplicates(odd, heavy=2, counters=16).collect()
+    assert len(rows) == odd.count() and sum(r["kept"] for r in rows) == len({r["text_sha256"] for r in rows})
+    blank = [r for r in rows if r["text_sha256"] == hashlib.sha256(b"").hexdigest()]
+    assert {r["keep_id"] for r in blank} == {6} and all(r["group_size"] == 3 for r in blank)
+    assert sum(r["kept"] for r in rows if r["doc_id"] == 7) == 1
+    twice = docs.unionByName(docs)
+    assert drop_exact_duplicates(twice).count() == drop_exact_duplicates(docs).count() == exact_duplicates(docs).filter("kept").count()
+    assert drop_exact_duplicates(twice).columns == docs.columns and exact_duplicates(nothing).count() == 0
+
+
+# 5
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(odd, nothing, docs):
+    keys = np.arange(500, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for n in (1, 2, 16, 17):
+        assert sharding.jump_hash(keys, n).tolist() == [jump(int(k), n) for k in keys]
+    rows = sharding.shard_documents(docs.unionByName(docs), 16).collect()
+    for shard, n in Counter(r["shard"] for r in rows).items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(n))
+    assert all(r["grown_shard"] in (r["shard"], 16) for r in rows)
+    again = {r["doc_id"]: r["grown_shard"] for r in rows}
+    assert all(again[r["doc_id"]] == r["shard"] for r in sharding.shard_documents(docs, 17).collect())
+    for r in sharding.shard_documents(odd.withColumn("doc_id", F.col("row")), 16).collect():
+        data = (odd.filter(F.col("row") == r["doc_id"]).first()["text"] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+    assert sharding.shard_documents(odd).count() == odd.count() and sharding.shard_documents(nothing).count() == 0
+
+
+# 6
+
+
+def brute_repeats(rows, width=50):
+    first, words = {}, {}
+    for d, t in rows:
+        words[d] = WORD.findall(t or "")
+        for i in range(len(words[d]) - width + 1):
+            k = tuple(words[d][i : i + width])
+            first[k] = min(first.get(k, d), d)
+    out = {}
+    for d, ws in words.items():
+        gone = {p for i in range(len(ws) - width + 1) if first[tuple(ws[i : i + width])] < d for p in range(i, i + width)}
+        out[d] = (len(ws), len(gone), hashlib.sha256(" ".join(w for p, w in enumerate(ws) if p not in gone).encode()).hexdigest())
+    return out
+
+
+def test_substring_dedup(spark, odd, nothing, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 30, n)]
+    shared = [word(n) for n in (49, 50, 51, 77, 120, 300)]
+    rows = [(9, " ".join(["x"] * 200)), (8, " ".join(["x"] * 120))]
+    for d in range(10, 60):
+        parts = [p for _ in range(3) for p in (word(int(rng.integers(0, 60))), shared[int(rng.integers(6))])]
+        rows.append((d, "  ".join(" \n".join(p) for p in parts if p)))
+    monkeypatch.setattr(substring_dedup, "CHUNK", 700)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows)
+    spans = {(r["doc_id"], p) for r in substring_dedup.repeated_passages(df).collect() for p in range(r["from_word"], r["to_word"])}
+    assert Counter(d for d, _ in spans) == Counter({d: n for d, (_, n, _) in got.items() if n})
+    out = substring_dedup.remove_repeats(odd).collect()
+    assert len(out) == odd.count() and {r["n_removed"] for r in out if r["doc_id"] == 7} == {0}
+    assert sum(r["n_removed"] for r in out if r["doc_id"] is None) == 80
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+# 7 and 10
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(_tokenizer())
+
+
+def test_token_records(spark, sf, texts, library, odd, nothing, tmp_path):
+    start = 0
+    rows = {r["doc_id"]: r for r in QUERIES["op7_token_records"](spark, sf).collect()}
+    for d in sorted(texts):
+        ids = library.encode(texts[d] or "", add_special_tokens=False).ids + [1]
+        assert (rows[d]["start"], rows[d]["n_tokens"], rows[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    index = token_records.write_records(odd, str(tmp_path / "odd"), _tokenizer())
+    assert token_records.token_stream(index, str(tmp_path / "odd")).count() == odd.count()
+    assert token_records.token_stream(token_records.write_records(nothing, str(tmp_path / "none"), _tokenizer()), str(tmp_path / "none")).count() == 0
+    file = next((tmp_path / "odd").glob("*.bin"))
+    data = bytearray(file.read_bytes())
+    data[20] ^= 1
+    file.write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        token_records.read_records(index, str(tmp_path / "odd")).collect()
+
+
+def test_frames():
+    for payload in (b"", b"a", bytes(1000)):
+        assert token_records.unframe(token_records.frame(payload)) == payload
+
+
+def test_round_trip(spark, sf, texts, library, odd, nothing):
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    for r in QUERIES["op10_bpe"](spark, sf).collect():
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(np.array(ids, "<u4").tobytes()), digest(library.decode(ids, skip_special_tokens=False).encode()))
+    encoded = bpe.encode_documents(odd.withColumn("doc_id", F.col("row")), _tokenizer())
+    source = {r["row"]: r["text"] or "" for r in odd.collect()}
+    for r in bpe.decode_documents(encoded, _tokenizer()).collect():
+        assert r["text"] == library.decode(library.encode(source[r["doc_id"]], add_special_tokens=False).ids, skip_special_tokens=False)
+    assert bpe.round_trip(nothing, _tokenizer()).count() == 0
+
+
+def test_backtracking_equals_merging(library):
+    with open(_tokenizer(), "rb") as f:
+        encoder = bpe.tools(f.read())[0]
+    rng = np.random.default_rng(5)
+    pieces = ["".join(rng.choice(list("abcdehinorst"), int(rng.integers(1, 25)))) for _ in range(3000)] + ["a" * n for n in range(1, 40)] + ["é" * 30, "中文字", "'s", "''", "9"]
+    for p, ids in zip(pieces, encoder.encode(pieces)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(p, add_special_tokens=False).ids
+
+
+# 8
+
+
+def test_feistel_is_a_permutation():
+    f = pseudonyms.Feistel(b"key")
+    for n in (1, 2, 3, 10, 97, 1000):
+        there = [f.permute(x, n, "t") for x in range(n)]
+        assert sorted(there) == list(range(n)) and [f.permute(x, n, "t", back=True) for x in there] == list(range(n))
+
+
+@pytest.mark.parametrize(("text", "kind", "valid"), [
+    ("card 4111 1111 1111 1111.", "card", lambda m: not pseudonyms.luhn(re.sub(r"\D", "", m)) % 10),
+    ("IBAN DE89 3704 0044 0532 0130 00", "iban", lambda m: re.search(r"DE\d\d( \d{4}){4} \d\d", m)),
+    ("call +1 (269) 555-3296 now", "phone", lambda m: re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", m)),
+    ("ssn 123-45-6789", "ssn", lambda m: re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", m)),
+    ("on 2021-02-28", "date", lambda m: re.fullmatch(r"on (19|20)\d\d-\d\d-\d\d", m)),
+    ("at 42.144.35.254", "ip", lambda m: all(int(x) < 256 for x in m[3:].split("."))),
+    ("a.b@mail3.example.com", "email", lambda m: re.fullmatch(r"[a-z]\.[a-z]@[a-z]{4}\d\.[a-z]{7}\.com", m)),
+])
+def test_pseudonyms_keep_their_format(text, kind, valid):
+    p = pseudonyms.Pseudonyms(b"key")
+    new, counts = p.replace(text)
+    assert new != text and counts == {k: int(k == kind) for k in pseudonyms.KINDS} and valid(new)
+    assert pseudonyms.Pseudonyms(b"key").replace(f"x {text}")[0] == f"x {new}" and pseudonyms.Pseudonyms(b"other").replace(text)[0] != new
+
+
+def test_invalid_values_stay():
+    p = pseudonyms.Pseudonyms(b"key")
+    for text in ("1999-02-30", "999.1.1.1", "000-12-3456", "version 2.0.", "GB00 0000 0000 0000 00"[:14], "", None):
+        assert p.replace(text)[0] == text
+
+
+def test_pseudonymise(spark, sf, odd, nothing):
+    assert QUERIES["op8_pii"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert pseudonyms.pseudonymise(odd, b"k").count() == odd.count() and pseudonyms.pseudonymise(nothing, b"k").count() == 0
+
+
+# 9
+
+
+def brute_similar(rows, width, percent):
+    lower = {i: i + 32 for i in range(65, 91)}
+    sets, where = {}, defaultdict(list)
+    for d, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
+        for x in sets[d]:
+            where[x].append(d)
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, s in sets.items():
+        for e, n in Counter(e for x in s for e in where[x] if e < d).items():
+            if 100 * n >= percent * (len(s) + len(sets[e]) - n):
+                a, b = sorted((top(d), top(e)))
+                root[b] = a
+    return {d: (len(s), top(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_similar_documents(spark, monkeypatch, width, percent):
+    rng = np.random.default_rng(width)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for c in range(40):
+        base = [f"c{c}w{i}" for i in rng.integers(0, 400, int(rng.integers(1, 250)))] + passage * (c % 3 == 0)
+        for _ in range(int(rng.integers(1, 8))):
+            ws = list(base)
+            for i in rng.integers(0, len(ws), int(rng.integers(0, 1 + len(ws) // 25))):
+                ws[i] = f"e{rng.integers(1_000_000)}"
+            rows.append((len(rows), " ".join(ws)))
+    rows += [(1000, " ".join(passage)), (1001, " ".join(passage).upper()), (1002, ""), (1003, None), (1004, "one two"), (1005, "One two")]
+    for n, v in {"GROUP": 3, "BOUND_BLOCK": 4, "OPEN_BLOCK": 2, "CHUNK": 800, "COMMON": 4}.items():
+        monkeypatch.setattr(ngram_jaccard, n, v)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_documents(df, width, percent).collect()}
+    assert got == brute_similar(rows, width, percent)
+
+
+def test_similar_documents_on_real_and_odd_tables(docs, texts, odd, nothing):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_documents(docs, 3, 90).collect()}
+    assert got == brute_similar(texts.items(), 3, 90)
+    assert ngram_jaccard.similar_documents(odd).count() == odd.count() and ngram_jaccard.similar_documents(nothing).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components(spark, at_once):
+    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(500, 500), (7, 3), (3, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()}
+    assert got == {i: max(1, (i - 1) // 50 * 50 + 1) for i in range(2, 301) if (i - 1) % 50}
+
+
+# the pipeline
+
+
+def test_pipeline(spark, sf, docs, texts):
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.scratch_table(stage(spark, kept, sf), name)
+        assert out.columns == docs.columns
+        if name == "near_dedup":
+            before = {r["doc_id"]: r["text"] for r in kept.collect()}
+            want = brute_similar(before.items(), 5, 80)
+            assert sorted(r["doc_id"] for r in out.collect()) == sorted(d for d, (_, c) in want.items() if d == c)
+        kept = out
+    last = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
+    assert last.count() == kept.count() > 0 and set(last.columns) == {"doc_id", "n_tokens", "ids"}
+    assert math.isfinite(corpus_pipeline.run(spark, sf).agg(F.sum("n_tokens")).first()[0])
