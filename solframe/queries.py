@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import curves, geo, modules, stats, timeseries
+from .operators import climate, curves, geo, modules, stats, timeseries
 from .plans.predicates import FilterSpec, exclude, filter_tree, restrict
 from .sources import readers, sinks
 from .streaming import windows
@@ -381,6 +381,20 @@ def zoom_levels(t):
     return t("part").select("p_partkey", r(geo.zoom(F.col("p_size").cast("double")), 6).alias("zoom"))
 
 
+@query(f"""WITH {NATIONS}, {SUPPLIERS}, {NEAREST}, g AS (SELECT n_nationkey, s_acctbal AS balance, s_suppkey::DOUBLE AS rank FROM near JOIN supplier USING (s_suppkey))
+SELECT n_nationkey, parameter, CASE parameter WHEN 'balance' THEN 'Balance, USD' ELSE parameter END AS label, printf('%.2f', number) AS value FROM g UNPIVOT (number FOR parameter IN (balance, rank))""")
+def stressor_lookup(t):
+    n = _nations(t)
+    labels = n.sparkSession.createDataFrame([("balance", "Balance, USD")], "parameter string, label string")
+    grid = _suppliers(t).join(t("supplier").select("s_suppkey", F.col("s_acctbal").alias("balance")), "s_suppkey").withColumn("rank", F.col("s_suppkey"))
+    return climate.stressor_lookup(n, grid, "n_nationkey", "s_suppkey", ["balance", "rank"], labels)
+
+
+@query("SELECT 'T_equiv_' || m || '_' || replace(printf('%.1f', e / 10.0), '.', 'p') || 'eV' AS parameter, 'Equivalent temperature, ' || m || ', ' || printf('%.1f', e / 10.0) || ' eV' AS label FROM range(1, 22, 2) r(e), (VALUES ('rack'), ('roof')) v(m)")
+def stressor_labels(t):
+    return climate.energy_labels(t("region").sparkSession)
+
+
 # --- details ---------------------------------------------------------------------------------------------------------
 
 
