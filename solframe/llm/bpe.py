@@ -180,10 +180,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id
     file = _file(docs, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tools(file.value)[0].encode
+        encoder = tools(file.value)[0]
         for batch in slices(batches, 1024):
-            ids = encode(batch.column(1).to_pylist())
+            ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        encoder.forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_table
+from .common import cut, scratch_table, slices
 from .components import components
 from .packs import LAST, deal, pack_owners, planes, runs, unpack_owners, unplanes
 from .words import mix, spans, windows, word_hashes
@@ -38,7 +38,7 @@ from .words import mix, spans, windows, word_hashes
 #: Members of a group, about; queries in a block of bounds and in a block of an opened group; token columns of a union.
 GROUP, BOUND_BLOCK, OPEN_BLOCK, BITS = 64, 2048, 256, 16384
 #: Words in a chunk of a map task; entries in a bucket, about; growth of the size classes.
-CHUNK, BUCKET, GROWTH = 1 << 20, 1 << 20, 1.35
+CHUNK, BUCKET, GROWTH = 1 << 19, 1 << 20, 1.35
 #: Copies that make a shingle a common one (as far as chunks that have two see them), and the most that are listed.
 #: The list only keeps neighbourhoods small: results don't depend on it.
 COMMON, LISTED = 24, 1_000_000
@@ -103,7 +103,7 @@ def bit_row(tokens: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     keys, texts, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             keys.append(key)
             texts.append(text)
@@ -186,7 +186,7 @@ def _link(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text").to_pylist(), width))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("hood"), batch.column("members"), pa.array([len(s) for s in sets], pa.int64()),

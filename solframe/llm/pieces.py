@@ -45,6 +45,10 @@ class PieceEncoder:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memo's memory back, for workers that go on to other work."""
+        self.memo, self.older = {}, {}
+
     def find(self, chunk: str) -> list[str]:
         return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_table
+from .common import cut, scratch_table, slices
 from .packs import LAST, deal, pack_owners, planes, runs, unpack_owners, unplanes
 from .words import spans, windows, word_hashes
 
@@ -39,7 +39,7 @@ ENTRIES = "bucket long, owners binary, counts binary, hashes binary, places bina
 def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple]]:
     """Rows of the batches in lists of about CHUNK words (a word is taken as 6 bytes)."""
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns[:n])):
             held.append(row)
             size += len(row[1])
@@ -208,7 +208,7 @@ def _join_up(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for key, n, done, text, repeats in zip(*(c.to_pylist() for c in batch.columns[:5])):
             if text is None:
