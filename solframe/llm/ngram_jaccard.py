@@ -273,24 +273,25 @@ def _links(rows: DataFrame, heads: DataFrame, size: int, width: int, percent: in
         rows.join(asked, "key").select("key", "hood", "members", "text").mapInArrow(_describe(width), "key long, hood long, members long, n long, place double, tokens binary, bits binary"),
         "jaccard-sets",
     ).withColumn("cell", F.floor(F.col("place") * F.ceil(F.col("members") / GROUP)))
+    # who is in which group is settled on narrow rows; bit rows and tokens join them once where they are needed
     full = described.groupBy("hood", "cell").agg(F.count(F.lit(1)).alias("c"))
-    grouped = described.join(full, ["hood", "cell"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / (2 * GROUP))))
-    grouped = grouped.withColumn("group", F.xxhash64("hood", "cell", "salt")).select("key", "hood", "members", "group", "n", "tokens", "bits")
-    unions = cut(grouped.select("hood", "group", "n", "bits").groupBy("hood", "group").applyInPandas(_union, "hood long, group long, bits binary, low long, high long"))
+    salted = described.select("key", "hood", "members", "cell").join(full, ["hood", "cell"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / (2 * GROUP))))
+    groups = cut(salted.select("key", "hood", "members", F.xxhash64("hood", "cell", "salt").alias("group")).distinct())
+    bits = described.select("key", "n", "bits")
+    unions = cut(groups.select("key", "hood", "group").join(bits, "key").groupBy("hood", "group").applyInPandas(_union, "hood long, group long, bits binary, low long, high long"))
     several = cut(unions.groupBy("hood").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1"))
-    queries = grouped.join(several, "hood").select(
-        "hood", "group", "bits", F.col("n").alias("low"), F.col("n").alias("high"), "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BOUND_BLOCK)).alias("block")
-    )
-    sides = unions.join(several.select("hood"), "hood").join(queries.select("hood", "block").distinct(), "hood").select("hood", "group", "bits", "low", "high", F.lit(None).cast("long").alias("key"), "block")
+    blocked = groups.join(several, "hood").select("hood", "group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BOUND_BLOCK)).alias("block"))
+    queries = blocked.join(bits, "key").select("hood", "group", "bits", F.col("n").alias("low"), F.col("n").alias("high"), "key", "block")
+    sides = unions.join(several.select("hood"), "hood").join(blocked.select("hood", "block").distinct(), "hood").select("hood", "group", "bits", "low", "high", F.lit(None).cast("long").alias("key"), "block")
     opened = cut(queries.unionByName(sides).groupBy("hood", "block").applyInPandas(_bound(percent), "key long, group long"))
     blocks = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))
-    asking = opened.join(blocks, "group").join(grouped.select("key", "n", "tokens"), "key").select(
-        "group", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), "key", "n", "tokens", F.lit(True).alias("query")
-    )
-    held = grouped.join(blocks, "group", "left").select(
-        "group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "key", "n", "tokens", F.lit(False).alias("query")
+    counts = groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).join(blocks, "group", "left").filter("c > 1 or blocks is not null")
+    held = groups.select("group", "key").join(counts, "group").select(
+        "group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "key", F.lit(False).alias("query")
     )
-    return held.unionByName(asking).groupBy("group", "block").applyInPandas(_open(percent), "a long, b long")
+    asking = opened.join(blocks, "group").select("group", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), "key", F.lit(True).alias("query"))
+    wanted = held.unionByName(asking).join(described.select("key", "n", "tokens"), "key")
+    return wanted.groupBy("group", "block").applyInPandas(_open(percent), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
