@@ -160,9 +160,9 @@ def _windows(buckets: int):
                 later = np.zeros(len(h), bool)
                 later[order] = ids[order] > ids[order[start]][run_of]
                 out = [(-1 - chunk, b"", b"", b"", planes(np.diff(np.flatnonzero(later), prepend=0), "<u4"), chunk)] if later.any() else []
-                first = np.sort(order[start])  # of equal windows of a chunk, the earliest document's goes on
-                for b, x in deal(h[first], buckets):
-                    x = first[x]
+                send = np.flatnonzero(~later)  # of equal windows of a chunk, all of the earliest document's go on
+                for b, x in deal(h[send], buckets):
+                    x = send[x]
                     x = x[np.argsort(ids[x], kind="stable")]
                     used, n = np.unique(ids[x], return_counts=True)
                     out.append((b, planes(used, "<i8"), planes(n, "<u4"), h[x].tobytes(), planes(x, "<u4"), chunk))
@@ -203,7 +203,7 @@ def _join_up(rows: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + WINDOW) | (starts[1:] < starts[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(ids)) - 1
+    last = np.append(first[1:], len(ids))[: len(first)] - 1  # none, if none of the chunk's windows repeat
     return pd.DataFrame({"key": ids[first], "from_word": starts[first], "to_word": starts[last] + WINDOW})
 
 

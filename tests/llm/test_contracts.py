@@ -239,6 +239,23 @@ def test_substring_dedup(spark, odd, nothing, monkeypatch):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.fixture
+def apart(spark):
+    """Small shuffles keep their partitions, so a table spans several chunks (workers don't see a patched CHUNK)."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_passage_that_a_document_of_another_chunk_holds_twice(spark, apart):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, " ".join([f"a{d}", passage, *(f"m{d}x{i}" for i in range(70)), passage])) for d in range(100, 108)] + [(5, "start " + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows) and all(got[d][1] == 120 for d in range(100, 108))
+
+
 # 7 and 10
 
 
