@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch_table, slices
@@ -118,11 +118,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
 def _classify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _chunks(batches):
-            n, sigs = [], []
+            n, sigs = [], []  # keys: dicts of key and h
             for s in shingle_sets(texts, width):
                 n.append(len(s))
                 sigs.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], ["key", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int64()) for c in ("key", "h")), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], ["key", "h", "n", "sig"])
 
     return run
 
@@ -210,10 +210,10 @@ def _union(rows: pd.DataFrame) -> pd.DataFrame:
 def _bound(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Queries of a block with the groups (of lower number than their own) whose bound qualifies."""
-        unions, queries = rows[rows["key"].isna()], rows[rows["key"].notna()]
+        unions, queries = rows[rows["side"]], rows[~rows["side"]]
         matrix, group, low, high = _matrix(unions["bits"]), unions["group"].to_numpy(), unions["low"].to_numpy(), unions["high"].to_numpy()
         out = []
-        for key, own, n, bits in zip(queries["key"].to_numpy(np.int64), queries["group"], queries["low"], _matrix(queries["bits"])):
+        for key, own, n, bits in zip(queries["key"], queries["group"], queries["low"], _matrix(queries["bits"])):
             absent = np.bitwise_count(bits & ~matrix).sum(axis=1)
             fit = (group < own) & (100 * (n - absent) >= percent * n) & (100 * high >= percent * n) & (percent * low <= 100 * n)
             out += [(key, g) for g in group[fit]]
@@ -281,8 +281,8 @@ def _links(rows: DataFrame, heads: DataFrame, size: int, width: int, percent: in
     unions = cut(groups.select("key", "hood", "group").join(bits, "key").groupBy("hood", "group").applyInPandas(_union, "hood long, group long, bits binary, low long, high long"))
     several = cut(unions.groupBy("hood").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1"))
     blocked = groups.join(several, "hood").select("hood", "group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BOUND_BLOCK)).alias("block"))
-    queries = blocked.join(bits, "key").select("hood", "group", "bits", F.col("n").alias("low"), F.col("n").alias("high"), "key", "block")
-    sides = unions.join(several.select("hood"), "hood").join(blocked.select("hood", "block").distinct(), "hood").select("hood", "group", "bits", "low", "high", F.lit(None).cast("long").alias("key"), "block")
+    queries = blocked.join(bits, "key").select("hood", "group", "bits", F.col("n").alias("low"), F.col("n").alias("high"), "key", "block", F.lit(False).alias("side"))
+    sides = unions.join(several.select("hood"), "hood").join(blocked.select("hood", "block").distinct(), "hood").select("hood", "group", "bits", "low", "high", F.lit(0).cast("long").alias("key"), "block", F.lit(True).alias("side"))
     opened = cut(queries.unionByName(sides).groupBy("hood", "block").applyInPandas(_bound(percent), "key long, group long"))
     blocks = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))
     counts = groups.groupBy("group").agg(F.count(F.lit(1)).alias("c")).join(blocks, "group", "left").filter("c > 1 or blocks is not null")
@@ -294,35 +294,72 @@ def _links(rows: DataFrame, heads: DataFrame, size: int, width: int, percent: in
     return wanted.groupBy("group", "block").applyInPandas(_open(percent), "a long, b long")
 
 
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST)))
+
+
+def _bytes(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
+def _judge(docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (key, h, n, sig) and the classes of equal sets (sig, head, least: key and h of the component's first row).
+
+    h is a hash of the text: key and h name a row, as doc_ids may be null or shared. Order is by key, then h.
+    """
+    rows = docs.select(_key(doc_id).alias("key"), _bytes(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    base = cut(rows.select(F.struct("key", "h").alias("row"), "text").mapInArrow(_classify(width), "key long, h long, n long, sig binary"))
+    full = base.filter("n > 0")
+    first = full.groupBy("sig").agg(F.min(F.struct("key", "h")).alias("first"))
+    classes = cut(first.select("sig", F.col("first.key").alias("head"), F.col("first.h").alias("h"), F.monotonically_increasing_id().alias("number")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    set_hash = F.xxhash64("sig")
+    if full.groupBy("key").agg(F.min(set_hash).alias("a"), F.max(set_hash).alias("b")).filter("a <> b").isEmpty():
+        classes, texts = classes.withColumn("node", F.col("head")), rows.select("key", "text")
+    else:  # a key has several sets: classes go by number, each with the text of its first row
+        classes = classes.withColumn("node", F.col("number"))
+        named = classes.select(F.col("head").alias("key"), "h", "node")
+        texts = scratch_table(rows.join(named, ["key", "h"]).select(F.col("node").alias("key"), "text").dropDuplicates(["key"]), "jaccard-heads")
+    found = components(_links(texts, classes.select(F.col("node").alias("head")), size, width, percent))
+    linked = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("head").alias("key"), "h")).alias("least"))
+    return base, linked.select("sig", "head", "component").join(least, "component").select("sig", "head", "least")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of `docs`: doc_id (long), n_shingles, component_id, class_id.
 
     Sets are distinct shingles of `width` words (A-Z lowered); a text with fewer words is one shingle; without words, a
     null or empty text has no shingle and is linked with nothing. Two documents link when 100 * intersection >=
     percent * union; component_id is the least doc_id reachable by links, class_id the least with an equal set.
-    Repeated rows are equal sets; a null doc_id comes after all others and stays null in doc_id; an empty table gives
-    no rows; other columns play no part. Shingles are compared by 64-bit hashes.
+    Rows are linked by their own texts, whether or not their doc_id is null or shared. Repeated rows are equal sets; a
+    null doc_id comes after all others and stays null in doc_id; an empty table gives no rows; other columns play no
+    part. Shingles are compared by 64-bit hashes.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    base = cut(rows.mapInArrow(_classify(width), "key long, n long, sig binary"))
-    classes = cut(base.filter("n > 0").groupBy("sig").agg(F.min("key").alias("head")))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    edges = _links(rows, classes.select("head").distinct(), size, width, percent)
-    found = components(edges)
-    named = classes.join(found, F.col("head") == F.col("node"), "left").select("sig", "head", F.coalesce("component", "head").alias("component"))
-    out = base.join(named, "sig", "left")
+    base, named = _judge(docs, width, percent, text, doc_id)
     plain = lambda c: F.nullif(c, F.lit(int(LAST)))
-    return out.select(
+    return base.join(named, "sig", "left").select(
         plain(F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"),
-        plain(F.coalesce("component", "key")).alias("component_id"), plain(F.coalesce("head", "key")).alias("class_id"),
+        plain(F.coalesce("least.key", "key")).alias("component_id"), plain(F.coalesce("head", "key")).alias("class_id"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs`, all columns, with one document of each group of linked ones: that with the least doc_id.
+    """`docs`, all columns, with one row of each group of linked ones: that with the least doc_id.
 
-    Of rows that share a doc_id all stay or all go. Other cases as in `similar_documents`.
+    Rows are found by their doc_id and a 64-bit hash of their text, which also decides among equal doc_ids; of rows that
+    repeat both, one stays (any). Texts without words are linked with nothing, so all stay. Other cases as in
+    `similar_documents`.
     """
-    found = similar_documents(docs, width, percent, text, doc_id)
-    lost = found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col(doc_id).eqNullSafe(F.col("_lost")), "left_anti")
+    base, named = _judge(docs, width, percent, text, doc_id)
+    full = base.filter("n > 0").groupBy("key", "h").agg(F.count(F.lit(1)).alias("c"))
+    stay = cut(named.select("least.key", "least.h").distinct())
+    lost = full.join(stay, ["key", "h"], "left_anti").select(F.col("key").alias("_lost_key"), F.col("h").alias("_lost_hash"))
+    twice = cut(full.filter("c > 1").join(stay, ["key", "h"], "left_semi").select(F.col("key").alias("_lost_key"), F.col("h").alias("_lost_hash")))
+    key, h = _key(doc_id), F.xxhash64(_bytes(text))
+    here = (key == F.col("_lost_key")) & (h == F.col("_lost_hash"))
+    if twice.isEmpty():
+        return docs.join(lost, here, "left_anti")
+    once = docs.join(lost.unionByName(twice), here, "left_anti")
+    again = docs.join(twice, here, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(key, h).orderBy(doc_id)))
+    return once.unionByName(again.filter("_nth = 1").drop("_nth"))

@@ -123,28 +123,32 @@ def _around(anchors: list[int] | None, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge)[: n - WINDOW + 1])
 
 
-TABLE = "kind int, key long, n_words long, kept_sha256 string, text binary, chunk long, owners binary, counts binary, hashes binary, places binary"
+#: row: number of a document's row, as doc_ids may be null or shared; rows: those of a chunk's owners.
+TABLE = "kind int, key long, row long, n_words long, kept_sha256 string, text binary, chunk long, owners binary, rows binary, counts binary, hashes binary, places binary"
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, done if no anchor is in it, else with its text; and packed windows around the anchors."""
-    task, made = TaskContext.get().partitionId(), 0
+    task, made, seen = TaskContext.get().partitionId(), 0, 0
     names = [x.split()[0] for x in TABLE.split(", ")]
     types = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in TABLE.split(", ")]
     for rows in _chunks(batches, 3):
         words, counts = word_hashes([r[1] for r in rows])
         out, found = [], []
+        numbers = (task << 32) + seen + np.arange(len(rows))
+        seen += len(rows)
         for i, ((key, text, anchors), (a, b)) in enumerate(zip(rows, spans(counts))):
             starts = _around(anchors, b - a)
             if len(starts):
                 found.append((i, starts, windows(words[a:b], WINDOW)[starts]))
-                out.append((0, key, b - a, None, text, *[None] * 5))
+                out.append((0, key, numbers[i], b - a, None, text, *[None] * 6))
             else:
-                out.append((0, key, b - a, sha256(b" ".join(text.split())).hexdigest(), None, *[None] * 5))
+                out.append((0, key, numbers[i], b - a, sha256(b" ".join(text.split())).hexdigest(), None, *[None] * 6))
         if found:
             ids = np.array([r[0] for r in rows], np.int64)
             owner = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-            out.append((1, None, None, None, None, (task << 32) + made, *pack_owners(owner, ids), np.concatenate([f[2] for f in found]).tobytes(), planes(np.concatenate([f[1] for f in found]), "<u4")))
+            owners, n = pack_owners(owner, ids)
+            out.append((1, *[None] * 5, (task << 32) + made, owners, pack_owners(owner, numbers)[0], n, np.concatenate([f[2] for f in found]).tobytes(), planes(np.concatenate([f[1] for f in found]), "<u4")))
             made += 1
         for i in range(0, len(out), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000]), types)], names)
@@ -195,16 +199,17 @@ def _later(rows: pd.DataFrame) -> pd.DataFrame:
 def _join_up(rows: pd.DataFrame) -> pd.DataFrame:
     """Maximal repeats of a chunk's documents, as word ranges, from its table and its repeated windows."""
     table = rows[rows["owners"].notna()].iloc[0]
-    ids, starts = unpack_owners(table["owners"], table["counts"]), unplanes(table["places"], "<u4").astype(np.int64)
+    ids, own = (unpack_owners(table[c], table["counts"]) for c in ("owners", "rows"))
+    starts = unplanes(table["places"], "<u4").astype(np.int64)
     again = np.zeros(len(ids), bool)
     for x in rows.loc[rows["owners"].isna(), "places"]:
         again[np.cumsum(unplanes(x, "<u4"))] = True
-    ids, starts = ids[again], starts[again]
+    ids, own, starts = ids[again], own[again], starts[again]
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + WINDOW) | (starts[1:] < starts[:-1])
+    new[1:] = (own[1:] != own[:-1]) | (starts[1:] > starts[:-1] + WINDOW)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(ids))[: len(first)] - 1  # none, if none of the chunk's windows repeat
-    return pd.DataFrame({"key": ids[first], "from_word": starts[first], "to_word": starts[last] + WINDOW})
+    return pd.DataFrame({"key": ids[first], "row": own[first], "from_word": starts[first], "to_word": starts[last] + WINDOW})
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +233,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (done, or with their text) and the maximal repeats to take out of them (key, from_word, to_word)."""
+    """The documents (done, or with their text) and the maximal repeats to take out of them (key, row, from_word, to_word)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -244,15 +249,15 @@ def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     buckets = max(n // 8 // BUCKET, min(8 * parts, 1024)) + 1
     dealt = chunks.select("chunk", "owners", "counts", "hashes").mapInArrow(_windows(buckets), f"{ENTRIES}, chunk long")
     later = dealt.groupBy("bucket").applyInPandas(_later, "chunk long, places binary")
-    parted = chunks.select("chunk", "owners", "counts", "places").unionByName(later, allowMissingColumns=True)
-    repeats = parted.groupBy("chunk").applyInPandas(_join_up, "key long, from_word long, to_word long")
-    return table.filter("kind = 0").select("key", "n_words", "kept_sha256", "text"), repeats
+    parted = chunks.select("chunk", "owners", "rows", "counts", "places").unionByName(later, allowMissingColumns=True)
+    repeats = parted.groupBy("chunk").applyInPandas(_join_up, "key long, row long, from_word long, to_word long")
+    return table.filter("kind = 0").select("key", "row", "n_words", "kept_sha256", "text"), repeats
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Maximal passages that an earlier document has: doc_id, from_word, to_word (exclusive), counted in words from 0."""
     _, repeats = _tables(docs, text, doc_id)
-    return repeats.distinct().select(F.nullif(F.col("key"), F.lit(int(LAST))).alias("doc_id"), "from_word", "to_word")
+    return repeats.select(F.nullif(F.col("key"), F.lit(int(LAST))).alias("doc_id"), "from_word", "to_word").distinct()
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -261,12 +266,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     A word goes if a window of 50 words covers it whose word sequence also starts in a document with a smaller doc_id.
     A null or empty text has no words; texts under 50 words lose none; a null doc_id comes after all others; rows that
-    share a doc_id are one document, so equal rows never remove each other's words; an empty table gives no rows; other
+    share a doc_id never remove each other's words, and each loses those of its own windows only; an empty table gives no rows; other
     columns play no part. Words and windows are compared by 64-bit hashes.
     """
     table, repeats = _tables(docs, text, doc_id)
-    per_doc = repeats.groupBy("key").agg(F.collect_set(F.struct("from_word", "to_word")).alias("repeats"))
-    open_docs = table.filter("text is not null").join(per_doc, "key", "left")
+    per_doc = repeats.groupBy("row").agg(F.collect_set(F.struct("from_word", "to_word")).alias("repeats"))
+    open_docs = table.filter("text is not null").join(per_doc, "row", "left")
     done = table.filter("text is null").withColumn("repeats", F.lit(None).cast("array<struct<from_word: bigint, to_word: bigint>>"))
     columns = ["key", "n_words", "kept_sha256", "text", "repeats"]
     out = open_docs.select(*columns).mapInArrow(_rest, "key long, n_words long, n_removed long, kept_sha256 string, kept binary")

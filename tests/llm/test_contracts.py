@@ -256,6 +256,15 @@ def test_passage_that_a_document_of_another_chunk_holds_twice(spark, apart):
     assert got == brute_repeats(rows) and all(got[d][1] == 120 for d in range(100, 108))
 
 
+def test_texts_that_share_a_doc_id_lose_their_own_repeats_only(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    clean = " ".join(f"c{i}" for i in range(150))
+    for d in (None, 7):
+        df = spark.createDataFrame([(5, passage), (d, "start " + passage), (d, clean)], "doc_id long, text string")
+        out = substring_dedup.remove_repeats(df).filter(F.lit(d).eqNullSafe(F.col("doc_id"))).collect()
+        assert sorted((r["n_words"], r["n_removed"]) for r in out) == [(61, 60), (150, 0)]
+
+
 # 7 and 10
 
 
@@ -399,6 +408,19 @@ def test_similar_documents_on_real_and_odd_tables(docs, texts, odd, nothing):
     assert ngram_jaccard.similar_documents(odd).count() == odd.count() and ngram_jaccard.similar_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("d", [None, 7])
+def test_near_duplicates_among_rows_that_share_a_doc_id(spark, d):
+    text = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(5, text("a")), (d, text("A")), (d, text("b")), (d, text("c")), (d, text("c") + " end"), (d, ""), (6, text("e")), (d, text("e") + " end"), (d, text("f")), (d, text("f")), (d, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 99, r["component_id"] or 99) for r in ngram_jaccard.similar_documents(df).collect())
+    own = d or 99
+    assert got == sorted([(5, 5), (6, 6), (own, 5), (own, 6)] + [(own, own)] * 7)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_jaccard.drop_near_duplicates(df).collect()]
+    one = [x for x in kept if x[0] == d and (x[1] or "").startswith("c0")]
+    assert len(one) == 1 and Counter(kept) == Counter([(5, text("a")), (6, text("e")), (d, text("b")), (d, text("f")), (d, ""), (d, None), *one])
+
+
 @pytest.mark.parametrize("at_once", [0, 1_000_000])
 def test_components(spark, at_once):
     edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(500, 500), (7, 3), (3, 7)]
