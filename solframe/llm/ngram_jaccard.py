@@ -46,7 +46,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def size_classes(upto: int = 1 << 40) -> np.ndarray:
-    """Lower bounds of the size classes; similar sets are in the same or in neighbouring ones."""
+    """Lower bounds of the size classes."""
     bounds = [1]
     while bounds[-1] < upto:
         bounds.append(max(bounds[-1] + 1, int(bounds[-1] * GROWTH)))
@@ -78,7 +78,8 @@ def segments(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray
     at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
     own = tokens[common[at] != tokens] if len(common) else tokens
     c = int(np.searchsorted(_CLASSES, n, side="right")) - 1
-    for k in (c, c + 1) if 100 * n >= percent * int(_CLASSES[c + 1]) else (c,):
+    last = max(c, int(np.searchsorted(_CLASSES, 100 * n // percent, side="right")) - 1)  # class of the largest similar set
+    for k in range(c, last + 1):
         differ = 2 * (int(_CLASSES[k + 1]) - 1) * (100 - percent) // (100 + percent)
         if not differ:
             continue  # only equal sets are similar at this size
@@ -307,6 +308,8 @@ def _judge(docs: DataFrame, width: int, percent: int, text: str, doc_id: str) ->
 
     h is a hash of the text: key and h name a row, as doc_ids may be null or shared. Order is by key, then h.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     rows = docs.select(_key(doc_id).alias("key"), _bytes(text).alias("text")).withColumn("h", F.xxhash64("text"))
     base = cut(rows.select(F.struct("key", "h").alias("row"), "text").mapInArrow(_classify(width), "key long, h long, n long, sig binary"))
     full = base.filter("n > 0")

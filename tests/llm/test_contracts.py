@@ -408,6 +408,20 @@ def test_similar_documents_on_real_and_odd_tables(docs, texts, odd, nothing):
     assert ngram_jaccard.similar_documents(odd).count() == odd.count() and ngram_jaccard.similar_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [20, 50, 70])
+def test_similar_sets_share_a_segment_at_low_percents(percent):
+    rng = np.random.default_rng(percent)
+    for n in range(1, 200):
+        big = np.unique(rng.integers(0, 2**63, 100 * n // percent).astype(np.uint64))
+        few, all_of = (ngram_jaccard.segments(x, percent, big[:0]) for x in (big[:n], big))
+        assert len(np.intersect1d(few, all_of)) or len(big) == n
+
+
+def test_percent_is_checked(spark):
+    with pytest.raises(ValueError, match="percent"):
+        ngram_jaccard.similar_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 3, 0)
+
+
 @pytest.mark.parametrize("d", [None, 7])
 def test_near_duplicates_among_rows_that_share_a_doc_id(spark, d):
     text = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
