@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,21 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a few numbers each that are broadcast.
+FEW = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, marked for a broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((name for i in count() if (name := f"_own{i}") not in taken), n))
+
+
 def without_white(text: Column) -> Column:
     """The text without its white space; null counts as empty. Six byte searches beat one regular expression."""
     out = F.coalesce(text, F.lit(""))

@@ -395,7 +395,7 @@ def test_similar_documents(spark, monkeypatch, width, percent):
                 ws[i] = f"e{rng.integers(1_000_000)}"
             rows.append((len(rows), " ".join(ws)))
     rows += [(1000, " ".join(passage)), (1001, " ".join(passage).upper()), (1002, ""), (1003, None), (1004, "one two"), (1005, "One two")]
-    for n, v in {"GROUP": 3, "BOUND_BLOCK": 4, "OPEN_BLOCK": 2, "CHUNK": 800, "COMMON": 4}.items():
+    for n, v in {"GROUP": 3, "TOKENS": 900, "OPEN_BLOCK": 2, "CHUNK": 800}.items():
         monkeypatch.setattr(ngram_jaccard, n, v)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_documents(df, width, percent).collect()}
@@ -413,10 +413,48 @@ def test_similar_sets_share_a_segment_at_low_percents(percent):
     rng = np.random.default_rng(percent)
     for n in range(1, 200):
         big = np.unique(rng.integers(0, 2**63, 100 * n // percent).astype(np.uint64))
-        few, all_of = (ngram_jaccard.segments(x, percent, big[:0]) for x in (big[:n], big))
+        few, all_of = (ngram_jaccard.segments(x, percent) for x in (big[:n], big))
         assert len(np.intersect1d(few, all_of)) or len(big) == n
 
 
+@pytest.mark.parametrize("percent", [20, 50, 80, 90, 100])
+def test_similar_sets_share_first_shingles(percent):
+    rng = np.random.default_rng(percent)
+    for n in range(1, 150):
+        for m in {n, max(n, 100 * n // percent)}:
+            common = -(-percent * (n + m) // (100 + percent))
+            if common > n:
+                continue
+            parts = rng.integers(0, 2**63, n + m - common).astype(np.uint64)
+            a, b = np.sort(parts[:n]), np.sort(np.concatenate([parts[:common], parts[n:]]))
+            got = len(np.intersect1d(*(ngram_jaccard.first_shingles(x, percent) for x in (a, b))))
+            assert got >= ngram_jaccard.spare(-(-percent * m // 100), percent) and got >= 1
+
+
+def test_needed_equals_spare(spark):
+    rows = spark.range(1, 500).select("id", *(ngram_jaccard.needed(F.col("id"), p).alias(str(p)) for p in (10, 50, 80, 90, 100))).collect()
+    for r in rows:
+        assert all(r[str(p)] == ngram_jaccard.spare(-(-p * r["id"] // 100), p) for p in (10, 50, 80, 90, 100))
+
+
+def test_very_many_near_copies_are_one_component(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for d in range(500):
+        ws = list(base)
+        ws[rng.integers(0, 120)] = f"e{d}"
+        rows.append((d, " ".join(ws)))
+    rows += [(d, " ".join([*base[:60], *(f"f{d}x{i}" for i in range(60))])) for d in range(500, 520)]
+    monkeypatch.setattr(ngram_jaccard, "GROUP", 16)
+    opened = []
+    monkeypatch.setattr(ngram_jaccard, "cut", lambda df, keep=ngram_jaccard.cut: opened.append(keep(df)) or opened[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute_similar(rows, 5, 80)
+    pairs = [df for df in opened if df.columns == ["node", "group"]]
+    assert len(pairs) == 1 and pairs[0].count() <= 500
+
+
 def test_percent_is_checked(spark):
     with pytest.raises(ValueError, match="percent"):
         ngram_jaccard.similar_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 3, 0)
