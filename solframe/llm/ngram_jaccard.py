@@ -452,7 +452,7 @@ def _across(sets: DataFrame, groups: DataFrame, unions: DataFrame, edges: DataFr
         "hood", "block", "group", "label", F.lit(True).alias("side"), zero.alias("node"), zero.alias("n"), nothing.alias("tokens"), "low", "high", "bits", "dominant"
     )
     opened = cut(queries.unionByName(sides).groupBy("hood", "block").applyInPandas(_bound(percent), "node long, group long"))
-    blocks = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))
+    blocks = small(cut(opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))))
     members = held.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "label", F.lit(False).alias("query"))
     asked = opened.join(blocks, "group").join(held.select("node", "label"), "node").select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "label", F.lit(True).alias("query"))
     wanted = small(cut(members.unionByName(asked))).join(sets.select("node", "tokens"), "node")

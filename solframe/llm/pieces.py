@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import regex
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: White space of the tokenizer's patterns; Python's own also counts U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -19,17 +21,31 @@ ODD = regex.compile("[\x1c-\x1f]")
 MEMO = 300_000
 #: Characters of texts that are taken together.
 BLOCK = 1 << 20
+#: What the file's pattern takes for a mark: neither white space nor letter nor number.
+MARK = rf"[^{SPACE}\p{{L}}\p{{N}}]"
 #: A full stop or comma that touches another mark: elsewhere the two are pieces of their own.
-TOUCH = regex.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
+TOUCH = regex.compile(f"[.,]{MARK}|{MARK}[.,]")
 
 
 def _touches(text: str) -> bool:
     """Whether a full stop or comma touches a mark: four plain searches do if the text has no other marks."""
-    if any(not c.isalnum() and not c.isspace() and c not in ".," for c in set(text)):
+    if any(not c.isalnum() and (not c.isspace() or "\x1c" <= c <= "\x1f") and c not in ".," for c in set(text)):
         return TOUCH.search(text) is not None
     return any(pair in text for pair in (".,", ",.", "..", ",,"))
 
 
+def unassigned(text: str) -> bool:
+    """Whether a text has characters that Python's Unicode tables lack."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+@lru_cache(1 << 16)
+def _new(c: str) -> bool:
+    """Whether other Unicode tables may compose or lower a character otherwise: it came after Unicode 3.2 and combines."""
+    kind = unicodedata.category(c)
+    return kind == "Cn" or (kind[0] == "M" or bool(unicodedata.decomposition(c))) and unicodedata.ucd_3_2_0.category(c) == "Cn"
+
+
 class PieceEncoder:
     """Encodes texts. encode_chunks gives the ids of chunks without white space, little-endian unsigned 32-bit bytes.
 
@@ -37,8 +53,10 @@ class PieceEncoder:
     """
 
     def __init__(self, spec: dict, encode_chunks: Callable[[list[str], Callable[[str], list[str]]], list[bytes]]) -> None:
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.pattern = regex.compile(pattern)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.encode_chunks = encode_chunks
@@ -50,9 +68,13 @@ class PieceEncoder:
         self.memo, self.older = {}, {}
 
     def find(self, chunk: str) -> list[str]:
-        return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
+        if chunk.isalpha():
+            return [chunk]
+        return [x for x, _ in self.split.pre_tokenize_str(chunk)] if unassigned(chunk) else self.pattern.findall(chunk)
 
     def _chunks(self, text: str) -> list[str]:
+        if not text.isascii() and any(map(_new, set(text))):  # as the library's own tables have it
+            return [c for c in regex.split(f"[{SPACE}]+", self.normal.normalize_str(text)) if c]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma is lowered without regard to its place
         text = text.lower()

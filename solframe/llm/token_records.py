@@ -11,6 +11,7 @@ A file counts only once the index names it: a lost or repeated task leaves a fil
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -28,6 +29,8 @@ from .pieces import PieceEncoder, load_spec
 
 #: Record bytes for a reading task, and in a row from one file.
 READ_BYTES, RUN_BYTES = 16 << 20, 4 << 20
+#: Files that a reading task keeps open.
+HANDLES = 32
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
 
 
@@ -66,9 +69,10 @@ def _library(content: bytes) -> PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(content.decode())
         _READY.clear()
         spec = load_spec(content)
+        # chunks are normalised and free of special tokens already: neither step may come twice
+        tokenizer = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
         vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         last = np.zeros(max(vocabulary.values()) + 1, bool)
         last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
@@ -138,33 +142,42 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     return spark.read.schema(index.schema).parquet(f"{folder.rstrip('/')}/index").withColumn("id_bytes", F.lit(int(kind[2])))
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Read the records that `index` names, in any order: its columns and ids (little-endian unsigned 32-bit).
+def read_records(index: DataFrame, folder: str, seed: int | None = None) -> DataFrame:
+    """Read the records that `index` names: its columns and ids (little-endian unsigned 32-bit).
 
-    A damaged record raises an error. Rows of one file are read through one open handle.
+    Without a seed, rows come file by file in the order of offsets. With one, they come in a permutation that the seed
+    decides: rows are dealt to tasks by a hash and each task seeks to its records in the order of that hash. A damaged
+    record raises an error; an empty index gives no rows.
     """
     names = index.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = opened(folder)
-        handle, held = None, ""
-        for batch in batches:
-            columns = {n: batch.column(n) for n in names}
-            ids = []
-            for name, offset, size, wide in zip(*(columns[c].to_pylist() for c in ("file", "offset", "n_bytes", "id_bytes"))):
-                if name != held:
-                    if handle is not None:
-                        handle.close()
-                    handle, held = where.open_input_file(f"{base}/{name}"), name
-                payload = unframe(handle.read_at(size, offset))
-                ids.append(np.frombuffer(payload, f"<u{wide}").astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*names, "ids"])
-        if handle is not None:
-            handle.close()
+        handles: dict[str, pa.NativeFile] = {}
+        try:
+            for batch in batches:
+                columns = {n: batch.column(n) for n in names}
+                ids = []
+                for name, offset, size, wide in zip(*(columns[c].to_pylist() for c in ("file", "offset", "n_bytes", "id_bytes"))):
+                    if name not in handles:
+                        if len(handles) >= HANDLES:
+                            handles.pop(next(iter(handles))).close()
+                        handles[name] = where.open_input_file(f"{base}/{name}")
+                    payload = unframe(handles[name].read_at(size, offset))
+                    ids.append(np.frombuffer(payload, f"<u{wide}").astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*names, "ids"])
+        finally:
+            for handle in handles.values():
+                handle.close()
 
     kinds = ", ".join(f"{n} {t}" for n, t in index.dtypes)
     size = index.agg(F.sum("n_bytes")).first()[0] or 0  # tasks by the bytes to read: the index itself is small
-    spread = index.repartition(size // READ_BYTES + 1, "file", F.floor(F.col("offset") / RUN_BYTES)).sortWithinPartitions("file", "offset")
+    tasks = size // READ_BYTES + 1
+    if seed is None:
+        spread = index.repartition(tasks, "file", F.floor(F.col("offset") / RUN_BYTES)).sortWithinPartitions("file", "offset")
+    else:
+        place = F.xxhash64("file", "offset", F.lit(seed))
+        spread = index.repartition(tasks, place).sortWithinPartitions(place)
     return spread.mapInArrow(run, f"{kinds}, ids binary")
 
 

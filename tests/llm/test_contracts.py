@@ -285,6 +285,11 @@ def test_token_records(spark, sf, texts, library, odd, nothing, tmp_path):
     index = token_records.write_records(odd, str(tmp_path / "odd"), _tokenizer())
     assert token_records.token_stream(index, str(tmp_path / "odd")).count() == odd.count()
     assert token_records.token_stream(token_records.write_records(nothing, str(tmp_path / "none"), _tokenizer()), str(tmp_path / "none")).count() == 0
+    for r in token_records.read_records(index, str(tmp_path / "odd")).collect():
+        text = {8: "a b " * 9, 9: "Ünï ©\x1f<|endoftext|>x　y", 10: "word", 4: "", 5: "", 6: ""}.get(r["doc_id"])
+        assert text is None or np.frombuffer(r["ids"], "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+    orders = [[(r["file"], r["offset"], bytes(r["ids"])) for r in token_records.read_records(index, str(tmp_path / "odd"), seed).collect()] for seed in (None, 1, 1, 2)]
+    assert orders[1] == orders[2] and len({tuple(x) for x in orders}) == 3 and all(sorted(x) == sorted(orders[0]) for x in orders)
     file = next((tmp_path / "odd").glob("*.bin"))
     data = bytearray(file.read_bytes())
     data[20] ^= 1
@@ -310,6 +315,22 @@ def test_round_trip(spark, sf, texts, library, odd, nothing):
     assert bpe.round_trip(nothing, _tokenizer()).count() == 0
 
 
+SCRIPTS = ((0x61, 0x7A), (0x41, 0x5A), (0xC0, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x590, 0x5F4), (0x600, 0x6FF), (0x900, 0x97F), (0xB80, 0xBFF), (0xD00, 0xD7F), (0xE00, 0xE7F), (0x1100, 0x11FF), (0x1E00, 0x1EFF), (0x2000, 0x209F), (0x2460, 0x24FF), (0x4E00, 0x4EFF), (0xAC00, 0xACFF), (0xFB00, 0xFB4F), (0x1F300, 0x1F5FF), (0, 0x1F), (0x80, 0xA0))
+
+
+def test_both_encoders_equal_the_library_on_odd_strings(library):
+    rng = np.random.default_rng(11)
+    texts = ["แม่.", "ไทย้.", "क्,", "பெண்.", "ബാക്.", "שָׁ,", "مَ.", "İ.", "q̧.", "ⓐ.", ".\u200d", "\x1c,", "İ̧x", "<|ENDOFTEXT|>", "a<|endoftext|>.", "ΑΣ", "\u0d3c\u0367,", "\u209f₁"]
+    for _ in range(20_000):
+        ranges = [SCRIPTS[i] for i in rng.integers(0, len(SCRIPTS), 3)]
+        texts.append("".join(rng.choice(list(".,.,  '\n\t-_!’<|>")) if rng.random() < 0.3 else chr(rng.integers(*ranges[rng.integers(3)], endpoint=True)) for _ in range(rng.integers(1, 12))))
+    with open(_tokenizer(), "rb") as f:
+        content = f.read()
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (bpe.tools(content)[0], token_records._library(content)):
+        assert [t for t, got, ids in zip(texts, encoder.encode(texts), want) if got != ids] == []
+
+
 def test_backtracking_equals_merging(library):
     with open(_tokenizer(), "rb") as f:
         encoder = bpe.tools(f.read())[0]
