@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without_white
+from .common import cut, fresh, small, without_white
 
 #: The most digests that are broadcast, and the counters of the summary. Both bound memory, not results.
 HEAVY, COUNTERS = 1000, 8192
@@ -69,19 +69,20 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs`, all columns, with one row of each group of equal texts: the one that `exact_duplicates` keeps.
 
-    Rows are found by their doc_id and digest; of rows that repeat both, one stays (any, as their texts are equal but
-    for white space).
+    Rows are found by their doc_id and a hash of their digest; of rows that repeat both, one stays (that with the most
+    code points). Columns keep their names, whatever these are. Nulls, empty texts and empty tables as in
+    `exact_duplicates`. Rows to drop are narrow: up to FEW of them are broadcast, more are joined by a shuffle.
     """
-    ledger = _ledger(docs, text, doc_id)
-    judged = _verdicts(ledger, HEAVY, COUNTERS)
-    lost = judged.filter("not kept and not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"))
-    twice = cut(judged.filter("not kept and doc_id <=> keep_id").select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest")).distinct())
-    digest = F.sha2(without_white(F.col(text)), 256)
-    known = docs.withColumn("_digest", digest)
-    here = F.col(doc_id).eqNullSafe(F.col("_lost_id")) & (F.col("_digest") == F.col("_lost_digest"))
+    lost_id, lost_hash, nth = fresh(docs, 3)
+    judged = _verdicts(_ledger(docs, text, doc_id), HEAVY, COUNTERS).filter("not kept")
+    judged = cut(judged.select(F.col("doc_id").alias(lost_id), F.xxhash64("digest").alias(lost_hash), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own")))
+    lost = cut(judged.drop("own").distinct())
+    twice = cut(judged.filter("own").drop("own").distinct())  # the row that stays shares its doc_id with one that goes
+    digest = F.xxhash64(F.sha2(without_white(docs[text]), 256))
+    here = docs[doc_id].eqNullSafe(F.col(lost_id)) & (digest == F.col(lost_hash))
+    once = docs.join(small(lost), here, "left_anti")
     if twice.isEmpty():
-        return known.join(lost, here, "left_anti").drop("_digest")
-    once = known.join(lost.unionByName(twice), here, "left_anti").drop("_digest")
-    one = Window.partitionBy(doc_id, "_digest").orderBy(F.length(text).desc())
-    again = known.join(twice, here, "left_semi").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth", "_digest")
+        return once
+    one = Window.partitionBy(docs[doc_id], digest).orderBy(F.length(docs[text]).desc())
+    again = docs.join(small(twice), here, "left_semi").withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).drop(nth)
     return once.unionByName(again)

@@ -3,8 +3,9 @@
 Slot k of the schedule has the golden-ratio point frac(k * phi). Points are mapped through the sources' cumulative
 shares, so each source's slots are spread evenly over the schedule, and the slots of a source are ranked. Each source's
 documents, in shuffled order, are laid end to end and cut into blocks of equal words; the slot of rank r takes block r,
-round after round. Sources that the schedule leaves short of their target get the missing slots at its end, and the
-last block of a source stops at its target.
+round after round. The points so decide the order of the mix: the place of each block, and of each document by its
+first one. A source's points miss its share of the slots by a few; such slots follow at the schedule's end (or are left
+out), and the last block of a source stops at its target, so all of a source with less than a block is in late slots.
 
 Ranks and running totals are taken within small buckets and joined to prefix sums of the buckets' totals, so a source
 that holds a third of all rows is spread over as many tasks as it needs.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, prefix_sums, same
+from .common import cut, fresh, n_words, prefix_sums, same
 
 #: Weights of the sources in code-point order (null last), repeated; the share of all words to take; the most passes.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
@@ -89,9 +90,10 @@ def schedule(sources: DataFrame, block: int, n_slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """One row for each row of `docs`: doc_id, size, source_size, target, taken.
+    """One row for each row of `docs`: doc_id, size, source_size, target, taken, first_slot.
 
-    taken counts the words that the mix takes from the document, repeats included: `PASSES` times its size at most.
+    first_slot is the document's place in the mix: the first slot of the schedule that takes words of it, null where
+    none does. taken counts the words that the mix takes from the document, repeats included: `PASSES` times its size at most.
     Each source's taken words add up to its target, rounded down. A null text has no words; a null source is a source
     of its own, the last; documents without words take nothing; repeated rows are documents of their own; an empty
     table gives no rows; other columns play no part. The order within a source is a hash of doc_id, so reruns agree.
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     upto = Window.orderBy(F.col("source").isNull(), "source")
     share = F.col("target") / F.lit(wanted or 1.0)
     sources = cut(sources.withColumn("want", F.floor("target").cast("long")).withColumn("high", F.sum(share).over(upto)).withColumn("low", F.col("high") - share))
-    slots = schedule(sources, block, n_slots).select(F.col("source").alias("slot_source"), F.col("block_no").alias("slot_block"), "words")
+    slots = schedule(sources, block, n_slots).select(F.col("source").alias("slot_source"), F.col("block_no").alias("slot_block"), "words", "k")
 
     buckets = 1 << max(0, (n_rows // BUCKET).bit_length())
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets.bit_length() + 1) if buckets > 1 else F.lit(0).cast("long"))
@@ -125,17 +127,20 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         F.least(F.col("at") + F.col("size") - F.col("block_no") * block, F.lit(block)).alias("to"),
     )
     took = pieces.join(slots, pieces["source"].eqNullSafe(slots["slot_source"]) & (pieces["block_no"] == slots["slot_block"]) & (pieces["from"] < slots["words"]))
-    taken = took.groupBy("row").agg(F.sum(F.least("to", "words") - F.col("from")).alias("taken"))
-    with_taken = rows.join(taken, "row", "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = took.groupBy("row").agg(F.sum(F.least("to", "words") - F.col("from")).alias("taken"), F.min("k").alias("first_slot"))
+    with_taken = rows.join(taken, "row", "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
     facts = sources.select("source", "source_size", "target")
-    return with_taken.join(facts, same(with_taken, facts, "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return with_taken.join(facts, same(with_taken, facts, "source")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def apply_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
     """`docs`, all columns, each row as often as the mix takes its words, to the nearest whole number (0 to `PASSES`).
 
-    Rows that share a doc_id share their words' count. Documents without words, which no mix takes, go.
+    Rows that share a doc_id share their words' count. Documents without words, null texts among them, which no mix
+    takes, go; an empty table stays empty; columns keep their names, whatever these are.
     """
-    shares = mix(docs, text, doc_id, source, block).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_times")).filter("_times > 0")
-    taken = docs.join(shares, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    own_id, times, nth = fresh(docs, 3)
+    mixed = mix(docs, text, doc_id, source, block).groupBy(F.col("doc_id").alias(own_id))
+    shares = mixed.agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias(times)).filter(F.col(times) > 0)
+    taken = docs.join(shares, docs[doc_id].eqNullSafe(F.col(own_id)))
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))

@@ -4,10 +4,13 @@ The kernel of two strings counts the three-letter subsequences that both have, e
 spans (Lodhi et al., 2002), so an insult with gaps or inserted characters keeps most of its similarity. A sentence is a
 bag of strings, and its score is that of its worst string; a text's score is that of its worst sentence.
 
-Training: labels mark whole texts, so which sentence of a toxic text is the toxic one is learnt along (multiple-instance
-learning). Landmarks are strings that stand out in toxic texts, and some ordinary ones. Strings are mapped to the space
-that the landmarks span (Nystroem), a linear machine is fitted there, strings of clean texts that it takes for toxic
-join its examples, and it is fitted again. The fit sees a bounded sample of labelled rows.
+Training is on labelled sentences. Labels mark whole texts: all sentences of a clean text are clean; of a toxic text,
+those are labelled toxic that hold a string which stands out in toxic texts, and, round by round, the worst sentence of
+a text that has none, if the machine agrees (multiple-instance learning). Sentences that remain are not examples.
+Landmarks are strings that stand out, and some ordinary ones. Strings are mapped to the space that the landmarks span
+(Nystroem) and a linear machine is fitted there to what makes toxic sentences toxic and to ordinary strings; the worst
+strings of clean sentences that it takes for toxic join its examples, and it is fitted again. The fit sees a bounded
+sample of labelled rows.
 
 Scoring: a linear machine over kernel values is a weight for each subsequence, so one table of weights scores any
 string in a pass over its subsequences, and nothing grows with the corpus.
@@ -189,8 +192,9 @@ def train(texts: Iterable[tuple[str, int]], seed: int = 7) -> Model:
     """Fit on (text, toxic) pairs. Without texts of both kinds, a model that scores everything near 0."""
     rng = np.random.default_rng(seed)
     bags = [([sorted(x for x in strings(s) if 3 <= len(x) <= LONGEST) for s in sentences(t)], y) for t, y in texts]
-    toxic = [sorted({x for s in b for x in s}) for b, y in bags if y]
-    clean = [sorted({x for s in b for x in s}) for b, y in bags if not y]
+    said = [b for b, y in bags if y]  # the sentences of each toxic text
+    harmless = [s for b, y in bags if not y for s in b if s]
+    toxic, clean = ([sorted({x for s in b for x in s}) for b, y in bags if bool(y) == kind] for kind in (True, False))
     if not any(toxic) or not any(clean):
         return NONE
     seen, seen_clean = Counter(x for b in toxic for x in b), Counter(x for b in clean for x in b)
@@ -226,14 +230,15 @@ def train(texts: Iterable[tuple[str, int]], seed: int = 7) -> Model:
         weights = basis.T @ (project @ w[:-1])
         table[codes] = weights
         intercept = float(w[-1])
-        margin = score_strings(ordinary, table) + intercept
-        hard |= {ordinary[i] for i in np.argsort(-margin)[:1500] if margin[i] > -1}
-        every = sorted({x for b in toxic for x in b})
-        of = dict(zip(every, score_strings(every, table) + intercept))
-        # the worst string of a toxic text that no witness explains is taken as one, if the machine agrees
-        worst = [max(b, key=lambda x: (of[x], x), default=None) for b in toxic if not any(x in witness for x in b)]
-        witness += Counter(x for x in worst if x is not None and of[x] > 0)
-    of |= dict(zip(ordinary, score_strings(ordinary, table) + intercept))
+        every = sorted(set(ordinary).union(*toxic))
+        of = dict(zip(every, (score_strings(every, table) + intercept).tolist()))
+        why = lambda sentence: max(sentence, key=lambda x: (of[x], x))
+        wrong = {x for x in map(why, harmless) if of[x] > -1}
+        hard |= set(sorted(wrong, key=lambda x: (-of[x], x))[:1500])
+        # the worst sentence of a toxic text that has no labelled one is labelled toxic, if the machine agrees
+        open_texts = [[s for s in b if s] for b in said if not any(x in witness for s in b for x in s)]
+        worst = [max(map(why, b), key=lambda x: (of[x], x)) for b in open_texts if b]
+        witness += Counter(x for x in worst if of[x] > 0)
     worst = np.array([max((of[x] for x in b), default=-2.0) for b in toxic + clean])
     label = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     slope, offset = _logistic(worst, label)

@@ -80,7 +80,8 @@ def check_mix(rows):
 def test_mix(spark, docs, odd, nothing):
     one = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
     check_mix(one)
-    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect())) == sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in one)
+    key = lambda r: (r[0], r[5] or -1)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=key) == sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["first_slot"]) for r in one), key=key)
     check_mix([r.asDict() for r in mixing.mix(odd.filter("doc_id is not null and doc_id <> 7"), block=16).join(odd.select("doc_id", "source"), "doc_id").collect()])
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(nothing).count() == 0
     assert mixing.mix(odd.filter("text is null or trim(text) = ''")).agg(F.sum("taken")).first()[0] == 0
@@ -95,6 +96,18 @@ def test_schedule_is_spread(spark):
         assert abs(seen - 0.75 * i) < 4
 
 
+def test_points_decide_the_order_and_not_the_targets(docs, monkeypatch):
+    def mixed():
+        return {r["doc_id"]: r.asDict() for r in mixing.mix(docs, block=16).collect()}
+
+    here = mixed()
+    monkeypatch.setattr(mixing, "PHI", 0.4142135623730951)
+    there = mixed()
+    same = lambda *names: [[r[n] for n in names] for _, r in sorted(here.items())] == [[r[n] for n in names] for _, r in sorted(there.items())]
+    assert same("size", "source_size", "target", "taken") and not same("first_slot")
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in here.values())
+
+
 def test_apply_mix_keeps_columns(docs):
     out = corpus_pipeline.apply_mix(docs)
     assert out.columns == docs.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
@@ -115,6 +128,46 @@ def test_toxicity_learns_gapped_insults(spark):
     assert scorer.scores(["zwxuckel"])[0] > scorer.scores([words[0]])[0]
 
 
+def test_kernel_equals_brute_force():
+    def brute(s):
+        out = Counter()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                    if all(c.isalpha() for c in (s[i], s[j], s[k])):
+                        out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    words = ["idiot", "idxiot", "id-iot", "clown", "clwn", "tiresome", "aaaaaaaa", "ab"]
+    codes = sorted({int(c) for _, found, _ in toxicity._coded(words) for c in np.unique(found) if c >= 0})
+    x = toxicity._vectors(words, {c: i for i, c in enumerate(codes)})
+    norm = lambda s: toxicity._triples(len(s))[2]
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            want = sum(brute(a)[t] * brute(b)[t] for t in brute(a)) / (norm(a) * norm(b))
+            assert float(x[i] @ x[j]) == pytest.approx(want, rel=1e-4, abs=1e-5)
+    table = np.zeros(toxicity.CLASSES**3 + 1, np.float32)
+    table[codes] = x[0]
+    assert toxicity.score_strings(words, table) == pytest.approx(x @ x[0], rel=1e-4, abs=1e-5)
+
+
+def test_held_out_toxic_texts_are_found(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeioutnrsld"), int(rng.integers(3, 9)))) for _ in range(500)]
+    insults = ["zwuckel", "gribbop", "plomfik", "schnurz"]
+    rows, labels = [], []
+    for d in range(600):
+        parts = [". ".join(" ".join(rng.choice(words, 8)) for _ in range(3)) for _ in range(2)]
+        bad = d % 3 == 0
+        insult = insults[rng.integers(4)]
+        rows.append((d, f" {insult[:3]}x{insult[3:]} " .join(parts) if bad and d % 5 == 0 else f" {insult} ".join(parts) if bad else " ".join(parts)))
+        labels.append((d, int(bad)))
+    out = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(r["predicted"], r["doc_id"] % 3 == 0) for r in out if r["held_out"]]
+    toxic = [p for p, bad in held if bad]
+    assert len(toxic) > 40 and sum(toxic) >= 0.9 * len(toxic) and not sum(p for p, bad in held if not bad)
+
+
 def test_toxicity_query(spark, sf, docs, odd, nothing):
     rows = QUERIES["op2_toxicity"](spark, sf).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
@@ -501,9 +554,58 @@ def test_components(spark, at_once):
     assert got == {i: max(1, (i - 1) // 50 * 50 + 1) for i in range(2, 301) if (i - 1) % 50}
 
 
+# forms that drop rows
+
+CLASHES = {"_digest": "d", "_times": "t", "_id": "i", "_lost": "l", "_own0": "o", "_OWN1": "O", "h": "h", "key": "k", "node": "n", "sig": "s"}
+
+
+@pytest.fixture(scope="module")
+def dropping(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    return {
+        "toxic": lambda d: toxicity.drop_toxic(d, labels), "exact": drop_exact_duplicates, "near": ngram_jaccard.drop_near_duplicates,
+        "mix": lambda d: mixing.apply_mix(d, block=16), "ids": lambda d: bpe.encode_documents(d, _tokenizer()),
+    }
+
+
+@pytest.mark.parametrize(("name", "left"), [("toxic", 13), ("exact", 9), ("near", 9), ("mix", None), ("ids", 13)])
+def test_dropping_forms_on_odd_and_empty_tables(odd, nothing, dropping, name, left):
+    wide = odd.select("*", *(F.lit(v).alias(k) for k, v in CLASHES.items()))
+    out = dropping[name](wide)
+    rows = [r.asDict() for r in out.collect()]
+    if name != "ids":
+        assert out.columns == wide.columns and all(r[k] == v for r in rows for k, v in CLASHES.items())
+    assert left in (None, len(rows)) and dropping[name](wide.limit(0)).count() == 0
+    ids = Counter(r["doc_id"] for r in rows)
+    if name == "exact":  # 4, 5 and 6 are one group, 7 twice, and the null id's copy of 1
+        assert ids == Counter([1, 2, 3, 6, 7, 8, None, 9, 10])
+    if name == "near":  # 1, 2, 3 and the null id's copy are similar; texts without words stay
+        assert ids == Counter([1, 4, 5, 6, 7, 8, None, 9, 10])
+    if name == "mix":
+        assert not {4, 5, 6} & set(ids) and max(Counter(r["row"] for r in rows).values()) <= 2
+
+
+def test_string_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([("b", passage), ("a", passage + " end"), (None, passage)], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_jaccard.similar_documents(df).collect()} == {("a", "a"), ("b", "a"), (None, "a")}
+    assert [r["doc_id"] for r in ngram_jaccard.drop_near_duplicates(df).collect()] == ["a"]
+
+
 # the pipeline
 
 
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_empty_and_odd_tables(spark, odd, tmp_path, empty):
+    docs = odd.withColumn("lang", F.lit(None).cast("string")).select("doc_id", "text", "lang", "source", F.length("text").alias("n_chars"))
+    (docs.limit(0) if empty else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = {r["doc_id"] for r in out.collect()}
+    assert ids == set() if empty else ids <= {1, 3, 7, 8, None, 9, 10} and ids
+
+
+
 def test_pipeline(spark, sf, docs, texts):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
