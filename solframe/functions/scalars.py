@@ -26,6 +26,23 @@ def clean_floats(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
 
+def value_of(df: DataFrame, name: str) -> Column:
+    """A column's values with NaN as null, so that a NaN is no value in comparisons, counts and means."""
+    return nan_to_null(col(name)) if dict(df.dtypes).get(name) in ("double", "float") else col(name)
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one: where both have a key, the right one's value holds. A null map counts as empty."""
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(
+        F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right)
+    )
+
+
+def tooltip(**parts: Column) -> Column:
+    """Lines "name: value" of the parts that are not null."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{name}: "), part.cast("string")) for name, part in parts.items()))
+
+
 def to_number(text: Column) -> Column:
     """Text as a number; null where it isn't one."""
     return nan_to_null(text.try_cast("double"))

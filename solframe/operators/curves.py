@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import col, value_of
+
 #: Fixed values of the De Soto model: Boltzmann's constant in eV/K and J/K, charge, band gap of silicon and its slope.
 K_EV, K, Q, GAP, GAP_SLOPE = 8.617332478e-05, 1.381e-23, 1.602e-19, 1.121, -0.0002677
 
@@ -25,8 +29,11 @@ def parse_array(text: Column) -> Column:
 
 
 def correct_p1(v: Column, i: Column, g1: Column, t1: Column, g2: float, t2: float, isc: Column, alpha: Column, beta: Column, rs: Column, kappa: Column) -> tuple[Column, Column]:
-    """IEC 60891 procedure 1, point by point: currents are shifted by irradiance and temperature, voltages follow."""
-    shift = isc * (g2 / g1 - 1) + alpha * (t2 - t1)
+    """IEC 60891 procedure 1, point by point: currents are shifted by irradiance and temperature, voltages follow.
+
+    Without irradiance (g1 = 0) there is no correction: both arrays hold nulls.
+    """
+    shift = isc * (F.try_divide(F.lit(float(g2)), g1) - 1) + alpha * (t2 - t1)
     current = F.transform(i, lambda x: x + shift)
     voltage = F.zip_with(v, i, lambda x, y: x - rs * shift - kappa * (y + shift) * (t2 - t1) + beta * (t2 - t1))
     return voltage, current
@@ -34,14 +41,35 @@ def correct_p1(v: Column, i: Column, g1: Column, t1: Column, g2: float, t2: floa
 
 def correct_p2(v: Column, i: Column, g1: Column, t1: Column, g2: float, t2: float, voc: Column, alpha: Column, beta: Column, rs: Column, kappa: Column, b1: Column, b2: Column) -> tuple[Column, Column]:
     """IEC 60891:2021 procedure 2: relative coefficients, and a logarithmic irradiance factor for voltage."""
-    f = lambda g: 1 + b1 * F.ln(1000 / g) + b2 * F.pow(F.ln(1000 / g), F.lit(2.0))
-    scale = F.lit(g2) / g1 * (1 + alpha * (t2 - 25)) / (1 + alpha * (t1 - 25))
+    f = lambda g: 1 + b1 * F.ln(F.try_divide(F.lit(1000.0), g)) + b2 * F.pow(F.ln(F.try_divide(F.lit(1000.0), g)), F.lit(2.0))
+    scale = F.try_divide(F.lit(float(g2)), g1) * (1 + alpha * (t2 - 25)) / (1 + alpha * (t1 - 25))
     current = F.transform(i, lambda x: x * scale)
     shift = voc * (beta * (f(F.lit(float(g2))) * (t2 - 25) - f(g1) * (t1 - 25)) + 1 / f(F.lit(float(g2))) - 1 / f(g1))
     voltage = F.zip_with(v, i, lambda x, y: x - rs * (y * scale - y) - kappa * y * scale * (t2 - t1) + shift)
     return voltage, current
 
 
+def relative_coefficients(alpha_sc: Column, isc: Column, beta_oc: Column, voc: Column) -> tuple[Column, Column]:
+    """Temperature coefficients of current and voltage over their values at standard conditions; null over 0."""
+    return F.try_divide(alpha_sc, isc), F.try_divide(beta_oc, voc)
+
+
+def degraded_resistance(rs: Column, added: Column, ticked: Column, estimated: Column) -> Column:
+    """Series resistance for a new estimate: with the degradation added if both boxes are ticked."""
+    return F.when(ticked & estimated, rs + F.coalesce(added, F.lit(0.0))).otherwise(rs)
+
+
+def axis_maximum(isc: Column, g: Column) -> Column:
+    """Top of the current axis for curves at an array of irradiances: a tenth over the largest current."""
+    return isc * F.array_max(g) / 1000 * 1.1
+
+
+def mean_error(df: DataFrame, error: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the errors that are numbers, and how many: mean_error, n."""
+    e = value_of(df, error)
+    return df.groupBy(*map(col, by)).agg(F.avg(e).alias("mean_error"), F.count(e).alias("n"))
+
+
 def area(v: Column, i: Column) -> Column:
     """Area under a curve by trapezoids."""
     points = F.zip_with(v, i, lambda x, y: F.struct(x.alias("v"), y.alias("i")))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 DIAMETER, MILE = 12742.0, 1.609344
 #: Query points that are broadcast at most; more are joined by cells.
 FEW = 10_000
+#: Width of the first ring, and half the way around the earth.
+RING, AROUND = 50.0, 20_100.0
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -25,18 +27,36 @@ def degrees_apart(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
 def nearest(points: DataFrame, grid: DataFrame, point_id: str, grid_id: str, within_km: float | None = None) -> DataFrame:
     """The grid row nearest to each point (ties: the least id): point_id, grid_id, km. Both have lat and lon.
 
-    A bounded number of points is broadcast, and each task keeps one candidate for each point. More points need
-    `within_km`, and meet the grid in cells of that size.
+    FEW points at most are broadcast, and each task keeps one candidate for each point. More points meet the grid in
+    cells, in rings: points whose nearest row is not inside a ring meet it again in one four times as wide. Points
+    without a row within `within_km`, if given, have no row.
     """
     p = points.select(F.col(point_id), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     g = grid.select(F.col(grid_id), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    few = len(p.limit(FEW + 1).select(F.lit(1)).take(FEW + 1)) <= FEW
-    if few:
-        pairs = g.crossJoin(F.broadcast(p))
-    else:
-        if within_km is None:
-            raise ValueError("for more points than are broadcast, state within_km")
-        pairs = _cell_pairs(p, g, within_km)
+    if len(p.select(F.lit(1)).take(FEW + 1)) <= FEW:
+        return _best(g.crossJoin(F.broadcast(p)), point_id, grid_id, within_km)
+    ring, found = min(within_km or RING, RING), None
+    while True:
+        here = _best(_cell_pairs(p, g, ring), point_id, grid_id, ring)
+        found = here if found is None else found.unionByName(here)
+        p = p.join(here.select(point_id), point_id, "left_anti")
+        if ring >= (within_km or AROUND) or p.isEmpty():
+            return found
+        ring = min(4 * ring, within_km or AROUND)
+
+
+def nearest_in_degrees(points: DataFrame, grid: DataFrame, point_id: str, grid_id: str) -> DataFrame:
+    """As `nearest`, by the plain distance of (lat, lon): point_id, grid_id, degrees. For FEW points at most."""
+    p = points.select(F.col(point_id), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    if len(p.select(F.lit(1)).take(FEW + 1)) > FEW:
+        raise ValueError("too many points for a search in degrees: use nearest")
+    pairs = grid.select(F.col(grid_id), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")).crossJoin(F.broadcast(p))
+    far = degrees_apart(F.col("p_lat"), F.col("p_lon"), F.col("g_lat"), F.col("g_lon"))
+    best = pairs.groupBy(point_id).agg(F.min(F.struct(far.alias("d"), grid_id)).alias("b"))
+    return best.select(point_id, F.col(f"b.{grid_id}").alias(grid_id), F.col("b.d").alias("degrees"))
+
+
+def _best(pairs: DataFrame, point_id: str, grid_id: str, within_km: float | None) -> DataFrame:
     pairs = pairs.withColumn("km", haversine(F.col("p_lat"), F.col("p_lon"), F.col("g_lat"), F.col("g_lon")))
     if within_km is not None:
         pairs = pairs.filter(F.col("km") <= within_km)
@@ -44,6 +64,14 @@ def nearest(points: DataFrame, grid: DataFrame, point_id: str, grid_id: str, wit
     return best.select(point_id, F.col(f"b.{grid_id}").alias(grid_id), F.col("b.km").alias("km"))
 
 
+def radius_join(centres: DataFrame, rows: DataFrame, centre_id: str, row_id: str, miles: float) -> DataFrame:
+    """Pairs of a centre and a row at most `miles` apart: centre_id, row_id, km. They meet in cells of that size."""
+    p = centres.select(F.col(centre_id), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    g = rows.select(F.col(row_id), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
+    pairs = _cell_pairs(p, g, miles * MILE).withColumn("km", haversine(F.col("p_lat"), F.col("p_lon"), F.col("g_lat"), F.col("g_lon")))
+    return pairs.filter(F.col("km") <= miles * MILE).select(centre_id, row_id, "km")
+
+
 def _cell_pairs(p: DataFrame, g: DataFrame, km: float) -> DataFrame:
     """Pairs in the same or neighbouring latitude bands and, within them, longitude cells wide enough for km."""
     band = km / 111.0
@@ -92,7 +120,8 @@ def circle(df: DataFrame, lat: Column, lon: Column, km: float, step: int = 5) ->
     out = F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(b))
     east = o + F.atan2(F.sin(b) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(out))
     rows = df.withColumn("bearing", F.explode(F.sequence(F.lit(0), F.lit(360), F.lit(step))))
-    return rows.withColumn("circle_lat", F.degrees(out)).withColumn("circle_lon", F.degrees(east))
+    wrapped = F.pmod(F.degrees(east) + 180, F.lit(360.0)) - 180
+    return rows.withColumn("circle_lat", F.degrees(out)).withColumn("circle_lon", wrapped)
 
 
 def zoom(miles: Column) -> Column:

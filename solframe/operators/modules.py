@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import value_of
+from .ranks import exact_quantiles
+
 #: Boltzmann's constant, the elementary charge, the solar constant, 0 degrees C in kelvin.
 BOLTZMANN, CHARGE, SOLAR, ZERO = 1.38066e-23, 1.60218e-19, 1366.1, 273.15
 #: SAPM thermal parameters (a, b, deltaT) of the named mounts.
@@ -101,7 +106,35 @@ def isotherm(voltage: Column, e: Column, voco: Column, bvoco: Column, cells: Col
 
 
 def string_length(voltage: Column, limit: float, safety: float = 0.0) -> Column:
-    return F.floor(F.lit(limit * (1 - safety)) / voltage).cast("int")
+    """Most modules in a string under the voltage limit; null without voltage (no number of them reaches the limit)."""
+    return F.floor(F.try_divide(F.lit(limit * (1 - safety)), voltage)).cast("int")
+
+
+def plot_voltage(df: DataFrame, voc: str, safety: float) -> DataFrame:
+    """Largest voltage with the safety factor on top: one row, plot_v."""
+    return df.agg((F.max(value_of(df, voc)) * (1 + safety)).alias("plot_v"))
+
+
+def sweep(modules: DataFrame, irradiance: Sequence[float], temp: float) -> DataFrame:
+    """Each module at each irradiance and one cell temperature: the module's columns, e, temp_cell."""
+    return modules.withColumn("e", F.explode(F.array(*(F.lit(float(x)) for x in irradiance)))).withColumn("temp_cell", F.lit(float(temp)))
+
+
+def lookup(names: DataFrame, library: DataFrame, name: str) -> DataFrame:
+    """Parameters of the named modules, of a library that is joined by name; unknown names keep their row with nulls."""
+    return names.join(library, name, "left")
+
+
+#: Correction factors of voltage for the lowest ambient temperature (degrees C, from; crystalline silicon).
+DERATE = ((20, 1.02), (15, 1.04), (10, 1.06), (5, 1.08), (0, 1.10), (-5, 1.12), (-10, 1.14), (-15, 1.16), (-20, 1.18), (-25, 1.20), (-30, 1.21), (-35, 1.23), (-40, 1.25))
+
+
+def derate(temp: Column) -> Column:
+    """Factor of the table row whose range holds the temperature: 1 from 25 degrees on, the last row's below -40."""
+    out = F.when(temp >= 25, 1.0)
+    for low, factor in DERATE:
+        out = out.when(temp >= low, factor)
+    return F.when(temp.isNotNull(), out.otherwise(DERATE[-1][1]))
 
 
 def voc_summary(df: DataFrame, voc: str, temp: str, poa: str, order: str, limit: float, safety: float, traditional: Column, daytime: Column) -> DataFrame:
@@ -109,7 +142,7 @@ def voc_summary(df: DataFrame, voc: str, temp: str, poa: str, order: str, limit:
 
     traditional, daytime: aggregates that give a voltage. case, v_oc, cell_temperature, irradiance, string_length.
     """
-    t = df.crossJoin(F.broadcast(df.agg(F.percentile(F.col(voc), F.lit(0.995)).alias("p_"))))
+    t = df.crossJoin(F.broadcast(exact_quantiles(df, voc, [0.995]).select(F.col("q")[0].alias("p_"))))
     near = (F.col(voc) > F.col("p_") * (1 - 0.0025)) & (F.col(voc) < F.col("p_") * (1 + 0.0025))
     coldest = F.min_by(F.struct(F.col(temp).alias("t"), F.col(poa).alias("e")), F.when(near, F.struct(F.col(temp), F.col(order))))
     top = F.max_by(F.struct(F.col(temp).alias("t"), F.col(poa).alias("e")), F.struct(F.col(voc), -F.col(order)))
@@ -121,6 +154,28 @@ def voc_summary(df: DataFrame, voc: str, temp: str, poa: str, order: str, limit:
     return out.withColumn("string_length", string_length(F.col("v_oc"), limit, safety))
 
 
+def design_voltages(df: DataFrame, voc: str, air: str, ghi: str, ts: str, ashrae: float, voco: float, bvoco: float, limit: float) -> DataFrame:
+    """The six design voltages: case, v_oc, string_length.
+
+    P99.5 and the largest simulated voltage; one sun at the mean yearly minimum temperature of a nearby station
+    (`ashrae`) and of the weather itself, by the module's coefficient; the station's by the derating table; one sun at
+    the mean yearly minimum of daytime (ghi above 150).
+    """
+    year = F.year(F.col(ts))
+    yearly = df.groupBy(year.alias("year")).agg(F.min(value_of(df, air)).alias("low"), F.min(F.when(value_of(df, ghi) > 150, value_of(df, air))).alias("day"))
+    means = yearly.agg(F.avg("low").alias("low"), F.avg("day").alias("day"))
+    top = exact_quantiles(df, voc, [0.995, 1.0]).select(F.col("q")[0].alias("p"), F.col("q")[1].alias("m"))
+    one_sun = lambda t: voco + bvoco * (t - 25)
+    station = F.lit(float(ashrae))
+    cases = [
+        ("690.7(A)(3)-P99.5", F.col("p")), ("690.7(A)(3)-P100", F.col("m")), ("690.7(A)(1)-ASHRAE", one_sun(station)),
+        ("690.7(A)(2)-ASHRAE", F.lit(voco) * derate(station)), ("690.7(A)(1)-NSRDB", one_sun(F.col("low"))), ("690.7(A)(3)-DAY", one_sun(F.col("day"))),
+    ]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("case"), v.cast("double").alias("v_oc")) for n, v in cases)))
+    out = top.crossJoin(F.broadcast(means)).select(each.alias("x")).select("x.*")
+    return out.withColumn("string_length", string_length(F.col("v_oc"), limit))
+
+
 def safety_factor(df: DataFrame, mean_minimum: Column, minimum: Column, error: Column, bvoc: float, voc: float, manual: bool = False, cold: bool = True) -> DataFrame:
     """Percentages: additional, weather data, extreme cold, and their total to one decimal."""
     additional = 1.6 + 0.4 * manual

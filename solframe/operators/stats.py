@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, is_blank_word
+from ..functions.scalars import col, is_blank_word, value_of
+from .ranks import exact_quantiles
+
+
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two tables with a row for each group side by side; a null group meets the null group."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    names = {b: f"right_{i}" for i, b in enumerate(by)}
+    renamed = right.select(*(col(b).alias(n) for b, n in names.items()), *(col(c) for c in right.columns if c not in names))
+    here = reduce(Column.__and__, [col(b).eqNullSafe(F.col(n)) for b, n in names.items()])
+    return left.join(renamed, here, "left").drop(*names.values())
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, median and sample deviation of the values that are not null."""
-    v = col(value)
-    return df.groupBy(*map(col, by)).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std")
-    )
+    """Count, mean, median and sample deviation of the values that are neither null nor NaN."""
+    v = value_of(df, value)
+    plain = df.groupBy(*map(col, by)).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    middle = exact_quantiles(df, value, [0.5], by).select(*map(col, by), F.col("q")[0].alias("median"))
+    return _beside(plain, middle, by).select(*map(col, by), "n", "mean", "median", "std")
 
 
 def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation, a row for each (p, value)."""
-    found = df.groupBy(*map(col, by)).agg(F.percentile(col(value), F.array(*map(F.lit, at))).alias("q"))
+    found = exact_quantiles(df, value, at, by)
     return found.select(*map(col, by), F.posexplode("q").alias("i", "quantile")).select(
         *map(col, by), F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("p"), "quantile"
     )
@@ -28,10 +40,10 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
 
 def box(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and Tukey's whiskers (the outermost values within 1.5 quartile ranges) of each group."""
-    v = col(value)
-    q = df.groupBy(*map(col, by)).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    v = value_of(df, value)
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by).select(*map(col, by), "q")
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    fenced = df.join(q, list(by)).filter(v.between(F.col("q")[0] - reach, F.col("q")[2] + reach))
+    fenced = _beside(df, q, by).filter(v.between(F.col("q")[0] - reach, F.col("q")[2] + reach))
     return fenced.groupBy(*map(col, by), "q").agg(F.min(v).alias("low"), F.max(v).alias("high")).select(
         *map(col, by), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high"
     )
@@ -44,7 +56,7 @@ def with_scalars(df: DataFrame, **scalars: Column) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal bins over the values' range, the last one closed; a range without width is widened by half a unit."""
-    v = col(value)
+    v = value_of(df, value)
     t = with_scalars(df.filter(v.isNotNull()).select(v.alias("v")), lo=F.min("v"), hi=F.max("v"))
     flat = F.col("lo") == F.col("hi")
     lo, hi = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
@@ -53,9 +65,13 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def histogram_edges(df: DataFrame, value: str, low: Column, high: Column, bins: int) -> DataFrame:
-    """Counts between equal edges from low to high (aggregates of `value`), empty bins included: bin, left, n."""
-    v = col(value)
-    edge = df.agg(low.alias("lo"), high.alias("hi")).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
+    """Counts between equal edges from low to high (aggregates of `value`), empty bins included: bin, left, n.
+
+    A range without width is widened by half a unit on both sides.
+    """
+    v, flat = value_of(df, value), F.col("lo") == F.col("hi")
+    edge = df.agg(low.cast("double").alias("lo"), high.cast("double").alias("hi"))
+    edge = edge.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")).withColumn("w", (F.col("hi") - F.col("lo")) / bins)
     every = edge.select("lo", "w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("left"))
     inside = df.select(v.alias("v")).crossJoin(F.broadcast(edge)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     counts = inside.select(F.least(F.floor((F.col("v") - F.col("lo")) / F.col("w")), F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +80,7 @@ def histogram_edges(df: DataFrame, value: str, low: Column, high: Column, bins:
 
 def histogram_unit(df: DataFrame, *values: str) -> DataFrame:
     """Counts in bins one unit wide for several columns: series, bin (its left edge), n."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("series"), F.floor(col(c)).alias("bin")) for c in values))).alias("x")).select("x.*")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("series"), F.floor(value_of(df, c)).alias("bin")) for c in values))).alias("x")).select("x.*")
     return long.filter("bin is not null").groupBy("series", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -75,15 +91,55 @@ def hours_per_year(counts: DataFrame, years: float, interval_hours: float, n: st
 def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     """Gaussian density with Scott's bandwidth on equal points over the range: i, x, density.
 
-    Equal values are counted first, and each point's sum is aggregated map-side.
+    Equal values are counted first, and each point's sum is aggregated map-side. A constant column, or one of a single
+    value, has no bandwidth: its density is null.
     """
-    v = col(value)
+    v = value_of(df, value)
     counted = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     s = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.stddev_samp(v).alias("sd")).withColumn("h", F.col("sd") * F.pow("n", F.lit(-0.2)))
     grid = s.select("n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi").select("n", "h", "i", (F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"))
-    z = (F.col("x") - F.col("v")) / F.col("h")
+    z = F.try_divide(F.col("x") - F.col("v"), F.col("h"))
     sums = counted.crossJoin(F.broadcast(grid)).groupBy("i", "x", "n", "h").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
-    return sums.select("i", "x", (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
+    return sums.select("i", "x", F.try_divide(F.col("s"), F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi())).alias("density"))
+
+
+def tallest_bin(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
+    """Count of the fullest of equal bins: one row, max_n."""
+    return histogram(df, value, bins).agg(F.max("n").alias("max_n"))
+
+
+def scaled_density(df: DataFrame, value: str, points: int = 200, bins: int = 50) -> DataFrame:
+    """`density` with scaled: its peak is as high as the fullest bin, for drawing over a histogram."""
+    t = density(df, value, points)
+    peak = t.agg(F.max("density").alias("peak"))
+    both = t.crossJoin(F.broadcast(peak)).crossJoin(F.broadcast(tallest_bin(df, value, bins)))
+    return both.select("i", "x", "density", (F.try_divide("density", "peak") * F.col("max_n")).alias("scaled"))
+
+
+def nearest_bin(marks: DataFrame, mark: str, at: str, counts: DataFrame, left: str = "left", n: str = "n") -> DataFrame:
+    """The histogram bin whose left edge is nearest to each mark (ties: the lower edge): mark, left, n.
+
+    A histogram has few bins, so marks meet all of them by a broadcast.
+    """
+    pairs = marks.select(col(mark), col(at).alias("at_")).crossJoin(F.broadcast(counts.select(col(left).alias("left"), col(n).alias("n"))))
+    best = pairs.groupBy(col(mark)).agg(F.min_by(F.struct("left", "n"), F.struct(F.abs(F.col("left") - F.col("at_")), "left")).alias("b"))
+    return best.select(col(mark), "b.left", "b.n")
+
+
+def rare_weights(df: DataFrame, value: str, percent: float = 99.9, weight: float = 100.0) -> DataFrame:
+    """Add rare (above the percentile) and weight: rare rows count `weight` times, so that marginals show them."""
+    q = exact_quantiles(df, value, [percent / 100]).select(F.col("q")[0].alias("p_"))
+    out = df.crossJoin(F.broadcast(q)).withColumn("rare", F.coalesce(value_of(df, value) > F.col("p_"), F.lit(False)))
+    return out.withColumn("weight", F.when(F.col("rare"), F.lit(weight)).otherwise(1.0)).drop("p_")
+
+
+def weighted_histogram(df: DataFrame, value: str, weight: str, bins: int) -> DataFrame:
+    """Sums of weights in equal bins over the range: bin, w."""
+    v = value_of(df, value)
+    t = with_scalars(df.filter(v.isNotNull()).select(v.alias("v"), col(weight).alias("w")), lo=F.min("v"), hi=F.max("v"))
+    width = F.try_divide(F.col("hi") - F.col("lo"), F.lit(bins))
+    place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(0))
+    return t.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.sum("w").alias("w"))
 
 
 def share(df: DataFrame, category: str) -> DataFrame:
@@ -92,8 +148,11 @@ def share(df: DataFrame, category: str) -> DataFrame:
 
 
 def top_tokens(df: DataFrame, tokens: Column, order: str, k: int = 8) -> DataFrame:
-    """The k most frequent list items that say something; ties go to the one that occurs first."""
-    words = df.select(F.col(order).alias("o"), F.posexplode(tokens).alias("p", "token")).select("o", "p", F.trim("token").alias("token"))
+    """The k most frequent list items that say something; ties go to the one that occurs first.
+
+    Items are counted as they are; white space around them matters only for whether they say something.
+    """
+    words = df.select(F.col(order).alias("o"), F.posexplode(tokens).alias("p", "token"))
     counts = words.filter(~is_blank_word(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "p")).alias("first"))
     return counts.orderBy(F.desc("n"), "first").limit(k).select("token", "n")
 

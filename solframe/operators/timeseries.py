@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col
-from .stats import with_scalars
+from ..functions.scalars import col, value_of
+from .ranks import exact_quantiles, numbered
 
 #: Seconds of a year of 365.25 days and of 365 days.
 YEAR, YEAR_365 = 365.25 * 86400, 365.0 * 86400
@@ -22,9 +22,9 @@ def seconds(ts: Column) -> Column:
 
 
 def iqr_flags(df: DataFrame, value: str, k: float = 1.5, negatives: bool = False) -> DataFrame:
-    """Add outlier: outside k quartile ranges of the quartiles. A null is no outlier. negatives: below 0 counts too."""
-    v = col(value)
-    t = with_scalars(df, q_=F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))))
+    """Add outlier: outside k quartile ranges of the quartiles. A null or NaN is none. negatives: below 0 counts too."""
+    v = value_of(df, value)
+    t = df.crossJoin(F.broadcast(exact_quantiles(df, value, [0.25, 0.75]).select(F.col("q").alias("q_"))))
     reach = k * (F.col("q_")[1] - F.col("q_")[0])
     out = (v < F.col("q_")[0] - reach) | (v > F.col("q_")[1] + reach)
     if negatives:
@@ -33,15 +33,16 @@ def iqr_flags(df: DataFrame, value: str, k: float = 1.5, negatives: bool = False
 
 
 def status_counts(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
-    """Rows that are Normal, Outlier and NaN (nulls first of all)."""
-    status = F.when(col(value).isNull(), "NaN").when(F.col("outlier"), "Outlier").otherwise("Normal")
+    """Rows that are Normal, Outlier and NaN (nulls and NaN first of all)."""
+    status = F.when(value_of(df, value).isNull(), "NaN").when(F.col("outlier"), "Outlier").otherwise("Normal")
     return iqr_flags(df, value, k).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def daily_peak(df: DataFrame, ts: str, value: str) -> DataFrame:
     """Hour of each day's largest value; of equal values the earliest."""
-    best = F.max_by(F.hour(col(ts)), F.struct(col(value), (-F.unix_micros(col(ts).cast("timestamp"))).alias("t")))
-    return df.filter(col(value).isNotNull()).groupBy(F.to_date(col(ts)).alias("day")).agg(best.alias("peak_hour"))
+    v = value_of(df, value)
+    best = F.max_by(F.hour(col(ts)), F.struct(v, (-F.unix_micros(col(ts).cast("timestamp"))).alias("t")))
+    return df.filter(v.isNotNull()).groupBy(F.to_date(col(ts)).alias("day")).agg(best.alias("peak_hour"))
 
 
 def offset_class(df: DataFrame, ts: str, value: str) -> DataFrame:
@@ -76,7 +77,7 @@ def data_summary(df: DataFrame, ts: str, value: str, k: float = 1.5) -> DataFram
     """Rows, rows with a null, outliers, what remains, the span in years and the first and last time."""
     some = F.lit(False)
     for c in df.columns:
-        some = some | col(c).isNull()
+        some = some | value_of(df, c).isNull()
     t = iqr_flags(df, value, k)
     rows, nulls, outliers = F.count(F.lit(1)), F.count_if(some), F.count_if("outlier")
     return t.agg(
@@ -87,13 +88,12 @@ def data_summary(df: DataFrame, ts: str, value: str, k: float = 1.5) -> DataFram
 
 def trend(df: DataFrame, series: Sequence[str], ts: str, value: str, rate: float, share: float = 0.1) -> DataFrame:
     """Add baseline (mean of the first tenth of a series' values, one at least) and trend (baseline and rate %/year)."""
-    known = df.filter(col(value).isNotNull())
-    one = Window.partitionBy(*map(col, series))
-    ranked = known.withColumn("nth_", F.row_number().over(one.orderBy(col(ts)))).withColumn("n_", F.count(F.lit(1)).over(one))
+    known = df.filter(value_of(df, value).isNotNull())
+    start = known.groupBy(*map(col, series)).agg(F.min(seconds(col(ts))).alias("start_"), F.count(F.lit(1)).alias("n_"))
+    ranked = numbered(known, series, [ts], "place_").join(start, list(series))
     first = F.greatest(F.lit(1), F.floor(F.col("n_") * share))
-    base = ranked.filter(F.col("nth_") <= first).groupBy(*map(col, series)).agg(F.avg(col(value)).alias("baseline"))
-    start = known.groupBy(*map(col, series)).agg(F.min(seconds(col(ts))).alias("start_"))
-    out = df.join(base, list(series)).join(start, list(series))
+    base = ranked.filter(F.col("place_") <= first).groupBy(*map(col, series)).agg(F.avg(col(value)).alias("baseline"))
+    out = df.join(base, list(series)).join(start.drop("n_"), list(series))
     years = (seconds(col(ts)) - F.col("start_")) / YEAR
     return out.withColumn("trend", F.col("baseline") + rate / 100 * F.col("baseline") * years).drop("start_")
 
@@ -106,13 +106,13 @@ def year_on_year(df: DataFrame, series: Sequence[str], ts: str, value: str, tole
     equi-join. tolerance_days = 0 pairs exact times only.
     """
     keys = list(series)
-    known = df.filter(col(value).isNotNull()).select(*map(col, keys), col(ts).alias("t"), col(value).alias("e"), seconds(col(ts)).cast("long").alias("s"))
+    known = df.filter(value_of(df, value).isNotNull()).select(*map(col, keys), col(ts).alias("t"), col(value).alias("e"), seconds(col(ts)).cast("long").alias("s"))
     start = known.groupBy(*keys).agg(F.min("s").alias("start_")) if keys else known.agg(F.min("s").alias("start_"))
     timed = known.join(start, keys) if keys else known.crossJoin(F.broadcast(start))
     first = timed.filter(F.col("s") < F.col("start_") + recentre_days * 86400)
-    centre = first.groupBy(*keys).agg(F.percentile("e", F.lit(0.5)).alias("c_")) if keys else first.agg(F.percentile("e", F.lit(0.5)).alias("c_"))
+    centre = exact_quantiles(first, "e", [0.5], keys).select(*keys, F.col("q")[0].alias("c_"))
     base = known.join(centre, keys) if keys else known.crossJoin(F.broadcast(centre))
-    base = base.withColumn("e", F.col("e") / F.col("c_")).drop("c_")
+    base = base.withColumn("e", F.try_divide("e", "c_")).filter("e is not null").drop("c_")  # a median of 0 gives no rates
     width = max(1, tolerance_days * 86400)
     later = base.withColumn("b_", F.floor(F.col("s") / width))
     due = F.col("s0") + int(YEAR_365)
@@ -135,7 +135,7 @@ def degradation(rates: DataFrame, series: Sequence[str] = (), resamples: int = 2
     medians = many.groupBy(*series, "replicate").agg(F.percentile("rate", F.lit(0.5), F.col("w")).alias("m"))
     low, high = (100 - level) / 200, (100 + level) / 200
     ci = medians.groupBy(*series).agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
-    found = rates.groupBy(*series).agg(F.percentile("rate", F.lit(0.5)).alias("rate"), F.count(F.lit(1)).alias("pairs"))
+    found = exact_quantiles(rates, "rate", [0.5], series).select(*series, F.col("q")[0].alias("rate"), F.col("n").alias("pairs"))
     return found.join(ci, list(series)) if series else found.crossJoin(F.broadcast(ci))
 
 
@@ -146,16 +146,18 @@ def yearly_minimum_mean(df: DataFrame, ts: str, value: str, by: Sequence[str] =
 
 def band_argmin(df: DataFrame, value: str, least: str, order: str, percent: float, cushion: float) -> DataFrame:
     """Of the rows whose value is within `cushion` of the percentile, the one with the smallest `least` (ties: order)."""
-    t = with_scalars(df, p_=F.percentile(col(value), F.lit(percent / 100)))
+    t = df.crossJoin(F.broadcast(exact_quantiles(df, value, [percent / 100]).select(F.col("q")[0].alias("p_"))))
     band = t.filter((col(value) > F.col("p_") * (1 - cushion)) & (col(value) < F.col("p_") * (1 + cushion)))
     row = F.struct(*map(col, df.columns))
     return band.agg(F.min_by(row, F.struct(col(least), col(order))).alias("r")).select("r.*")
 
 
 def around_argmax(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, rows: int) -> DataFrame:
-    """Rows at most `rows` places from the series' largest value (the first of equal ones): offset is their distance."""
-    place = F.row_number().over(Window.partitionBy(*map(col, series)).orderBy(*map(col, order)))
-    placed = df.withColumn("place_", place)
+    """Rows at most `rows` places from the series' largest value (the first of equal ones): offset is their distance.
+
+    order: a time first, then what decides among equal times.
+    """
+    placed = numbered(df, series, order, "place_")
     top = placed.groupBy(*map(col, series)).agg(F.max_by("place_", F.struct(col(value), -F.col("place_"))).alias("top_"))
     out = placed.join(top, list(series)).withColumn("offset", F.col("place_") - F.col("top_"))
     return out.filter(F.abs("offset") <= rows).drop("place_", "top_")

@@ -12,8 +12,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import col, reported
+from ..functions.scalars import col, reported, value_of
+
+
+#: Default ranges of rate (%/year), duration (years) and capacity (kW).
+RATE, DURATION, CAPACITY = (-20, 5), (0, 50), (0, 500)
 
 
 @dataclass(frozen=True)
@@ -27,6 +32,11 @@ class FilterSpec:
     #: column: (keep reported, keep not reported, least, most) in thousands; no least is 0, no most has no limit
     amounts: dict[str, tuple[bool, bool, float | None, float | None]] = field(default_factory=dict)
 
+    @classmethod
+    def defaults(cls, members: dict[str, Sequence[Any]] | None = None, rate: str = "rate", duration: str = "duration", capacity: str = "system capacity in watts") -> FilterSpec:
+        """What the widgets hold before anyone touches them: default ranges, and all categories that are given."""
+        return cls(dict(members or {}), {rate: RATE, duration: DURATION}, {}, {capacity: (True, True, *CAPACITY)})
+
     def column(self) -> Column:
         parts = [col(c).isin(*values) if values else F.lit(False) for c, values in self.members.items()]
         parts += [p for c, (low, high) in self.ranges.items() for p in bounds(c, low, high)]
@@ -42,7 +52,9 @@ class FilterSpec:
 
 
 def bounds(name: str, low: float | None, high: float | None) -> list[Column]:
-    return [col(name) >= low] * (low is not None) + [col(name) <= high] * (high is not None)
+    """Inclusive bounds. NaN counts as larger than any number, so a lower bound alone is closed by infinity."""
+    top = high if high is not None else float("inf") if isinstance(low, (int, float)) else None
+    return [col(name) >= low] * (low is not None) + [col(name) <= top] * (top is not None)
 
 
 def all_of(parts: Sequence[Column]) -> Column:
@@ -64,8 +76,27 @@ OPERATORS = {
 }
 
 
+def _typed(df: DataFrame, name: str, value: Any) -> tuple[Column, Any] | None:
+    """Column and value in types that compare: a number meets text as a number. None if the value never compares."""
+    kind, c = df.schema[name].dataType, value_of(df, name)
+    if isinstance(kind, T.StringType):
+        return (c.try_cast("double"), value) if isinstance(value, (int, float)) and not isinstance(value, bool) else (c, None if value is None else str(value))
+    if isinstance(kind, T.NumericType) and isinstance(value, str):
+        try:
+            return c, float(value)
+        except ValueError:
+            return None
+    if isinstance(kind, T.BooleanType) and isinstance(value, str):
+        known = {"true": True, "false": False}.get(value.strip().lower())
+        return None if known is None else (c, known)
+    return c, value
+
+
 def leaf(df: DataFrame, node: dict, regex: bool = False) -> Column:
-    """A test of one column. An unknown column or operator passes every row; a null passes only "!=".
+    """A test of one column. An unknown column or operator passes every row; a null or NaN passes only "!=".
+
+    Text meets a number as a number, and text that is none passes only "!="; so does every row if the value is no
+    number but the column has numbers.
 
     regex: "contains" takes its value as a regular expression, else as plain text; both ignore case.
     """
@@ -78,7 +109,10 @@ def leaf(df: DataFrame, node: dict, regex: bool = False) -> Column:
         found = text.rlike(f"(?i){value}") if regex else F.lower(text).contains(str(value).lower())
         return F.coalesce(found, F.lit(False))
     test = OPERATORS.get(operator)
-    return F.lit(True) if test is None else F.coalesce(test(c, value), F.lit(False))
+    if test is None:
+        return F.lit(True)
+    typed = _typed(df, name, value)
+    return F.lit(operator == "!=") if typed is None else F.coalesce(test(*typed), F.lit(False))
 
 
 def tree(df: DataFrame, node: dict | None, regex: bool = False) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import climate, curves, geo, modules, stats, timeseries
+from .plans import requests
 from .plans.predicates import FilterSpec, exclude, filter_tree, restrict
 from .sources import readers, sinks
 from .streaming import windows
@@ -39,6 +40,14 @@ def long(column):
     return column.cast("long")
 
 
+def _holed(t) -> DataFrame:
+    """Events whose value is NaN in every thirteenth row."""
+    return t("events").withColumn("value", F.when(F.col("event_id") % 13 == 0, float("nan")).otherwise(F.col("value")))
+
+
+HOLED = "(SELECT event_id, ts, user_id, CASE WHEN event_id % 13 <> 0 THEN value END AS value FROM events)"
+
+
 # --- filters ---------------------------------------------------------------------------------------------------------
 
 
@@ -106,11 +115,36 @@ def id_anti_join(t):
     return exclude(t("orders"), ids, "o_custkey").select("o_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer) ORDER BY c_custkey LIMIT 1")
+@query("""SELECT s_suppkey, s_name, lat, lon FROM (SELECT s_suppkey, s_name, ((s_suppkey * 29) % 1300 / 10 - 65)::DOUBLE AS lat, ((s_suppkey % 40 * 71) % 3300 / 10 - 165)::DOUBLE AS lon FROM supplier)
+WHERE lat = -15.0 AND lon = -71.0 ORDER BY s_suppkey LIMIT 1""")
 def point_lookup(t):
-    c = t("customer")
-    top = c.agg(F.max("c_acctbal").alias("m"))
-    return c.join(F.broadcast(top), F.col("c_acctbal") == F.col("m")).orderBy("c_custkey").limit(1).select("c_custkey", "c_name")
+    """The first row at an exact place."""
+    k = F.col("s_suppkey")
+    s = t("supplier").select("s_suppkey", "s_name", ((k * 29) % 1300 / 10 - 65).cast("double").alias("lat"), ((k % 40 * 71) % 3300 / 10 - 165).cast("double").alias("lon"))
+    return s.filter((F.col("lat") == -15.0) & (F.col("lon") == -71.0)).orderBy("s_suppkey").limit(1)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal / 500 BETWEEN -20 AND 5 AND c_nationkey * 2 BETWEEN 0 AND 50 AND (c_custkey * 700.0 BETWEEN 0 AND 500000 OR c_custkey % 9 = 0) AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def filter_defaults(t):
+    k = F.col("c_custkey")
+    df = t("customer").withColumns({"rate": F.col("c_acctbal") / 500, "years": F.col("c_nationkey") * 2, "watts": F.when(k % 9 != 0, k * 700.0)})
+    return FilterSpec.defaults({"c_mktsegment": ["BUILDING", "MACHINERY"]}, "rate", "years", "watts").apply(df).select("c_custkey")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 13 <> 0 AND value >= 50")
+def filter_nan_bounds(t):
+    return FilterSpec(ranges={"value": (50, None)}).apply(_holed(t)).select("event_id", "value")
+
+
+@query("SELECT p_partkey FROM (SELECT *, try_cast(CASE WHEN p_size % 3 = 0 THEN 'n/a' ELSE p_size::VARCHAR END AS DOUBLE) AS x FROM part) WHERE coalesce(x > 20, false) AND coalesce(x <> 33, true) AND p_size < 45")
+def predicate_text_and_numbers(t):
+    """Text meets a number as a number; a number meets text that is one; a value that never compares passes "!=" only."""
+    df = t("part").withColumn("x", F.when(F.col("p_size") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string")))
+    node = {"logic": "AND", "conditions": [
+        {"column": "x", "operator": ">", "value": 20}, {"column": "x", "operator": "!=", "value": 33},
+        {"column": "p_size", "operator": "<", "value": "45"}, {"column": "p_size", "operator": "!=", "value": "many"},
+    ]}
+    return filter_tree(df, node).select("p_partkey")
 
 
 # --- distributions ---------------------------------------------------------------------------------------------------
@@ -177,10 +211,10 @@ def category_share(t):
     return stats.share(t("customer"), "c_mktsegment").withColumn("share", r("share", 6))
 
 
-@query("""WITH w AS (SELECT p_partkey, pos, trim(list[pos]) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS list FROM part), unnest(range(1, len(list) + 1)) u(pos))
-SELECT token, count(*) AS n FROM w WHERE lower(token) NOT IN ('', 'not reported', 'na', 'n/a', 'none') GROUP BY token ORDER BY n DESC, min((p_partkey, pos)) LIMIT 8""")
+@query("""WITH w AS (SELECT p_partkey, pos, list[pos] AS token FROM (SELECT p_partkey, string_split(replace(p_name, 'a', ', '), ',') AS list FROM part), unnest(range(1, len(list) + 1)) u(pos))
+SELECT token, count(*) AS n FROM w WHERE lower(trim(token)) NOT IN ('', 'not reported', 'na', 'n/a', 'none') GROUP BY token ORDER BY n DESC, min((p_partkey, pos)) LIMIT 8""")
 def topk_tokens(t):
-    return stats.top_tokens(t("part"), F.split("p_name", " "), "p_partkey")
+    return stats.top_tokens(t("part"), F.split(F.replace("p_name", F.lit("a"), F.lit(", ")), ","), "p_partkey")
 
 
 @query("SELECT round(regr_slope(value, epoch(ts) / 86400.0), 6) AS slope, round(regr_intercept(value, epoch(ts) / 86400.0 - 19723), 4) AS intercept FROM events")
@@ -204,6 +238,79 @@ def header_validation(t):
     return events.sparkSession.createDataFrame([(n, stats.valid_headers(h)) for n, h in rows], "headers string, valid boolean")
 
 
+@query(f"SELECT count(value) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(stddev_samp(value), 4) AS std FROM {HOLED}")
+def summary_stats_nan(t):
+    return stats.summary(_holed(t), "value").select("n", r("mean").alias("mean"), r("median").alias("median"), r("std").alias("std"))
+
+
+@query(f"""WITH e AS {HOLED}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e)
+SELECT CASE WHEN value IS NULL THEN 'NaN' WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 'Outlier' ELSE 'Normal' END AS status, count(*) AS n FROM e, q GROUP BY 1""")
+def iqr_status_nan(t):
+    return timeseries.status_counts(_holed(t), "value")
+
+
+@query("SELECT i::INT AS i, 2.0::DOUBLE AS x, NULL::DOUBLE AS density FROM range(20) g(i)")
+def kde_constant(t):
+    return stats.density(t("region").withColumn("v", F.lit(2.0)), "v", 20)
+
+
+@query("""SELECT g.bin::INT AS bin, 1.5 + g.bin * 0.25::DOUBLE AS "left", CASE WHEN g.bin = 2 THEN (SELECT count(*) FROM region) ELSE 0 END::BIGINT AS n FROM range(4) g(bin)""")
+def histogram_edges_constant(t):
+    return stats.histogram_edges(t("region").withColumn("v", F.lit(2.0)), "v", F.min("v"), F.max("v"), 4)
+
+
+BINS = "b AS (SELECT min(value) AS lo, max(value) AS hi FROM events), c AS (SELECT least(floor((value - lo) / ((hi - lo) / 50)), 49)::INT AS bin, count(*) AS n FROM events, b GROUP BY 1)"
+
+
+@query(f"WITH {BINS} SELECT max(n) AS max_n FROM c")
+def tallest_bin(t):
+    return stats.tallest_bin(t("events"), "value", 50)
+
+
+@query("""WITH s AS (SELECT count(c_acctbal) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, stddev_samp(c_acctbal) * pow(count(c_acctbal), -0.2) AS h FROM customer),
+g AS (SELECT i::INT AS i, lo + i * (hi - lo) / 99 AS x, h FROM range(100) r(i), s), d AS (SELECT i, sum(exp(-0.5 * pow((x - c_acctbal) / h, 2))) AS density FROM g, customer GROUP BY i),
+c AS (SELECT count(*) AS n FROM customer, s GROUP BY least(floor((c_acctbal - lo) / ((hi - lo) / 50)), 49))
+SELECT i, round(density / (SELECT max(density) FROM d) * (SELECT max(n) FROM c), 4) AS scaled FROM d""")
+def kde_scaled(t):
+    return stats.scaled_density(t("customer"), "c_acctbal", 100, 50).select("i", r("scaled").alias("scaled"))
+
+
+@query("""WITH b AS (SELECT max(l_extendedprice) * 0.6 AS lo, max(l_extendedprice) + 1 AS hi FROM lineitem),
+c AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 40)), 39)::INT AS bin, count(*) AS n FROM lineitem, b WHERE l_extendedprice BETWEEN lo AND hi GROUP BY 1),
+h AS (SELECT lo + g.bin * ((hi - lo) / 40) AS l, coalesce(n, 0)::BIGINT AS n FROM range(40) g(bin), b LEFT JOIN c ON c.bin = g.bin),
+m AS (SELECT r_name, 60000.0 + r_regionkey * 9000 AS x FROM region)
+SELECT r_name, round(arg_min(l, (abs(l - x), l)), 4) AS "left", arg_min(n, (abs(l - x), l)) AS n FROM m, h GROUP BY 1""")
+def nearest_bin(t):
+    v = F.max("l_extendedprice")
+    counts = stats.histogram_edges(t("lineitem"), "l_extendedprice", v * 0.6, v + 1, 40)
+    marks = t("region").select("r_name", (60000.0 + F.col("r_regionkey") * 9000).alias("x"))
+    return stats.nearest_bin(marks, "r_name", "x", counts).select("r_name", r("left").alias("left"), "n")
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.999) AS p, min(value) AS lo, max(value) AS hi FROM events)
+SELECT least(floor((value - lo) / ((hi - lo) / 20)), 19)::INT AS bin, sum(CASE WHEN value > p THEN 100.0 ELSE 1.0 END)::DOUBLE AS w FROM events, q GROUP BY 1""")
+def rare_weighted_histogram(t):
+    return stats.weighted_histogram(stats.rare_weights(t("events"), "value"), "value", "weight", 20)
+
+
+@query("""SELECT c_mktsegment, count(c_acctbal) AS count_c_acctbal, round(avg(c_acctbal), 4) AS mean_c_acctbal, max(c_acctbal) AS max_c_acctbal FROM customer WHERE c_nationkey > 5 GROUP BY 1""")
+def analysis_request(t):
+    node = {"column": "c_nationkey", "operator": ">", "value": 5}
+    out = requests.AnalysisSpec(["count", "mean", "max"], ["c_acctbal"], ["c_mktsegment"], node).apply(t("customer"))
+    return out.withColumn("mean_c_acctbal", r("mean_c_acctbal"))
+
+
+@query("SELECT * FROM (VALUES ('Power', 'AC_Power (W)'), ('Time', 'Timestamp'), ('DC Voltage', 'Vdc'), ('DC Current', 'N/A')) v(metric, variable)")
+def column_binding(t):
+    return requests.binding_table(t("region").sparkSession, ["Timestamp", "Vdc", "AC_Power (W)", "Module Temperature"])
+
+
+@query("SELECT * FROM (VALUES ('count', (SELECT count(*)::VARCHAR FROM customer)), ('median', 'N/A')) v(metric, value)")
+def required_metrics(t):
+    found = t("customer").agg(F.count(F.lit(1)).alias("value")).select(F.lit("count").alias("metric"), "value")
+    return requests.fill_required(found, ["count", "median"])
+
+
 # --- time series -----------------------------------------------------------------------------------------------------
 
 PEAKS = "SELECT ts::DATE::VARCHAR AS day, hour(arg_max(ts, (value, -epoch_us(ts))))::INT AS peak_hour FROM events GROUP BY 1"
@@ -335,10 +442,10 @@ def _suppliers(t) -> DataFrame:
     return t("supplier").select("s_suppkey", "s_nationkey", ((k * 29) % 1300 / 10 - 65).cast("double").alias("lat"), ((k * 71) % 3300 / 10 - 165).cast("double").alias("lon"))
 
 
-@query(f"WITH {NATIONS}, {SUPPLIERS} SELECT s_suppkey, n_nationkey, round({KM}, 4) AS km FROM s JOIN n ON s.s_nationkey = n.n_nationkey")
+@query(f"WITH {NATIONS}, {SUPPLIERS} SELECT s_suppkey, n_nationkey, round({KM}, 4) AS km FROM s, n")
 def haversine_matrix(t):
     n = _nations(t).select("n_nationkey", F.col("lat").alias("a"), F.col("lon").alias("b"))
-    j = _suppliers(t).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    j = _suppliers(t).crossJoin(F.broadcast(n))  # every place with each of 25
     return j.select("s_suppkey", "n_nationkey", r(geo.haversine(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))).alias("km"))
 
 
@@ -356,14 +463,32 @@ def nearest_semi_join(t):
     return restrict(t("lineitem"), ids, "l_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-@query(f"WITH {SUPPLIERS} SELECT s_suppkey, round(km, 4) AS km, km <= 2000 * 1.609344 AS inside FROM (SELECT s_suppkey, {HAVERSINE.format(a='20.0', b='-60.0', c='lat', d='lon')} AS km FROM s)")
+@query(f"WITH {SUPPLIERS} SELECT s_suppkey, round(km, 4) AS km, km <= 2000 * 1.609344 AS inside FROM (SELECT s_suppkey, {HAVERSINE.format(a='10.0', b='20.0', c='lat', d='lon')} AS km FROM s)")
 def radius_split(t):
-    return geo.within_radius(_suppliers(t), 20.0, -60.0, 2000).select("s_suppkey", r("km").alias("km"), "inside")
+    return geo.within_radius(_suppliers(t), 10.0, 20.0, 2000).select("s_suppkey", r("km").alias("km"), "inside")
 
 
-@query(f"WITH {SUPPLIERS} SELECT s_suppkey FROM s WHERE {HAVERSINE.format(a='20.0', b='-60.0', c='lat', d='lon')} <= 2000 * 1.609344")
+@query(f"WITH {SUPPLIERS} SELECT s_suppkey FROM s WHERE {HAVERSINE.format(a='10.0', b='20.0', c='lat', d='lon')} <= 2000 * 1.609344")
 def radius_filter(t):
-    return geo.within_radius(geo.bounding_box(_suppliers(t), 20.0, -60.0, 2000), 20.0, -60.0, 2000).filter("inside").select("s_suppkey")
+    return geo.within_radius(geo.bounding_box(_suppliers(t), 10.0, 20.0, 2000), 10.0, 20.0, 2000).filter("inside").select("s_suppkey")
+
+
+@query(f"WITH {NATIONS}, {SUPPLIERS} SELECT n_nationkey, s_suppkey, round({KM}, 4) AS km FROM n, s WHERE {KM} <= 900 * 1.609344")
+def radius_join(t):
+    return geo.radius_join(_nations(t), _suppliers(t), "n_nationkey", "s_suppkey", 900).withColumn("km", r("km"))
+
+
+@query(f"WITH {NATIONS}, {SUPPLIERS} SELECT n_nationkey, arg_min(s_suppkey, (sqrt(pow(n.lat - s.lat, 2) + pow(n.lon - s.lon, 2)), s_suppkey)) AS s_suppkey, round(min(sqrt(pow(n.lat - s.lat, 2) + pow(n.lon - s.lon, 2))), 4) AS degrees FROM n, s GROUP BY 1")
+def nearest_in_degrees(t):
+    return geo.nearest_in_degrees(_nations(t), _suppliers(t), "n_nationkey", "s_suppkey").withColumn("degrees", r("degrees"))
+
+
+@query(f"WITH {NATIONS}, {SUPPLIERS}, {NEAREST} SELECT s_suppkey, l_orderkey, l_linenumber FROM lineitem JOIN (SELECT s_suppkey FROM near WHERE n_nationkey = 7) ON l_suppkey = s_suppkey")
+def weather_of_nearest(t):
+    """Rows of the place nearest to one point: its key is found first, and only its rows are read."""
+    near = geo.nearest(_nations(t).filter("n_nationkey = 7"), _suppliers(t), "n_nationkey", "s_suppkey").select("s_suppkey")
+    li = t("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber")
+    return li.join(F.broadcast(near), "s_suppkey")
 
 
 @query("SELECT (i * 8 + j)::BIGINT AS cell, 30 + i * 2.5::DOUBLE AS lat, -100 + j * 5.0::DOUBLE AS lon FROM range(4) a(i), range(8) b(j)")
@@ -371,9 +496,10 @@ def latlon_grid(t):
     return geo.grid(t("region").sparkSession, (30, 40, 2.5), (-100, -60, 5))
 
 
-@query(f"WITH {NATIONS} SELECT n_nationkey, b::INT AS bearing, round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0) + cos(radians(lat)) * sin(100 / 6371.0) * cos(radians(b)))), 6) AS circle_lat FROM n, range(0, 361, 30) g(b)")
+@query(f"""WITH {NATIONS} SELECT n_nationkey, b::INT AS bearing, round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0) + cos(radians(lat)) * sin(100 / 6371.0) * cos(radians(b)))), 6) AS circle_lat,
+round(lon + degrees(atan2(sin(radians(b)) * sin(100 / 6371.0) * cos(radians(lat)), cos(100 / 6371.0) - sin(radians(lat)) * (sin(radians(lat)) * cos(100 / 6371.0) + cos(radians(lat)) * sin(100 / 6371.0) * cos(radians(b))))), 6) AS circle_lon FROM n, range(0, 361, 30) g(b)""")
 def circle_points(t):
-    return geo.circle(_nations(t), F.col("lat"), F.col("lon"), 100.0, 30).select("n_nationkey", "bearing", r("circle_lat", 6).alias("circle_lat"))
+    return geo.circle(_nations(t), F.col("lat"), F.col("lon"), 100.0, 30).select("n_nationkey", "bearing", r("circle_lat", 6).alias("circle_lat"), r("circle_lon", 6).alias("circle_lon"))
 
 
 @query("SELECT p_partkey, round(greatest(1, least(12, 8 - log2(p_size * 0.7 / 10))), 6) AS zoom FROM part")
@@ -404,6 +530,37 @@ def unpivot_details(t):
     return wide.unpivot("p_partkey", ["name", "brand", "size"], "attribute", "value")
 
 
+@query("SELECT c_custkey, k AS key, CASE k WHEN 'a' THEN 'left' WHEN 'b' THEN c_mktsegment ELSE 'right' END AS value FROM customer, (VALUES ('a'), ('b'), ('c')) v(k)")
+def merged_parameters(t):
+    """Two maps of parameters, the right one first."""
+    left, right = F.create_map(F.lit("a"), F.lit("left"), F.lit("b"), F.lit("left")), F.create_map(F.lit("b"), F.col("c_mktsegment"), F.lit("c"), F.lit("right"))
+    return t("customer").select("c_custkey", F.explode(scalars.merged(left, right)).alias("key", "value"))
+
+
+@query("SELECT p_partkey, 'Brand: ' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Size: ' || p_size ELSE '' END AS text, 'Price: ' || printf('%.2f', p_retailprice) AS label FROM part")
+def map_tooltips(t):
+    size = F.when(F.col("p_size") % 2 == 0, F.col("p_size"))
+    return t("part").select("p_partkey", scalars.tooltip(Brand=F.col("p_brand"), Size=size).alias("text"), F.concat(F.lit("Price: "), F.format_string("%.2f", "p_retailprice")).alias("label"))
+
+
+@query("SELECT o_orderpriority, list_sum(flatten(list([year(o_orderdate), month(o_orderdate)])))::BIGINT AS total FROM orders GROUP BY 1")
+def flattened_lists(t):
+    """Lists of lists as one list, whose sum is taken before groups are joined."""
+    each = t("orders").select("o_orderpriority", F.flatten(F.array(F.array(F.year("o_orderdate")), F.array(F.month("o_orderdate")))).alias("l"))
+    return each.groupBy("o_orderpriority").agg(F.sum(F.aggregate("l", F.lit(0), lambda a, x: a + x)).alias("total"))
+
+
+@query("SELECT n_nationkey, n_name, n_name AS decoded FROM nation")
+def upload_round_trip(t):
+    uri = F.concat(F.lit("data:text/csv;base64,"), F.base64(F.col("n_name").cast("binary")))
+    return t("nation").select("n_nationkey", "n_name", readers.decoded_upload(uri).alias("decoded"))
+
+
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def json_rows(t):
+    return sinks.json_rows(t("region").select("r_regionkey", "r_name"))
+
+
 @query("SELECT n_nationkey, n_name, coalesce(r_name, 'N/A') AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
 def label_lookup(t):
     labels = t("region").filter("r_regionkey < 3")
@@ -416,9 +573,9 @@ def ordinal_labels(t):
     return names.select(F.posexplode("names").alias("ordinal", "r_name"))
 
 
-@query("SELECT n_nationkey, n_name AS name FROM nation WHERE n_nationkey < 5 UNION ALL SELECT NULL AS n_nationkey, r_name AS name FROM region")
+@query("SELECT n_nationkey, n_name AS name FROM nation UNION ALL SELECT NULL AS n_nationkey, r_name AS name FROM region")
 def union_by_name(t):
-    return readers.combine([t("nation").filter("n_nationkey < 5").select("n_nationkey", F.col("n_name").alias("name")), t("region").select(F.col("r_name").alias("name"))])
+    return readers.combine([t("nation").select("n_nationkey", F.col("n_name").alias("name")), t("region").select(F.col("r_name").alias("name"))])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 20")
@@ -431,10 +588,9 @@ def link_extraction(t):
     return t("pages").select("page_id", F.explode(scalars.links(F.concat_ws(" ", "url", "html"), 'https?://[^"<> ?#]+')).alias("link"))
 
 
-@query("SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice) AS price, printf('%.0f', l_quantity) AS quantity FROM lineitem WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice) AS price, printf('%.0f', l_quantity) AS quantity FROM lineitem")
 def formatted_columns(t):
-    li = t("lineitem").filter("l_orderkey < 1000")
-    return li.select("l_orderkey", "l_linenumber", F.format_string("%.2f", "l_extendedprice").alias("price"), F.format_string("%.0f", "l_quantity").alias("quantity"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.format_string("%.2f", "l_extendedprice").alias("price"), F.format_string("%.0f", "l_quantity").alias("quantity"))
 
 
 # --- module physics --------------------------------------------------------------------------------------------------
@@ -476,6 +632,49 @@ def string_length(t):
     return _voc(t).select("l_orderkey", "l_linenumber", modules.string_length(F.col("v_oc"), 1500, 0.023).alias("modules"))
 
 
+@query(f"WITH {WEATHER} SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN floor(1500 / nullif({VOC}, 0))::INT END AS modules FROM w")
+def string_length_at_night(t):
+    """Rows without light have no voltage and no string length."""
+    v = F.when(F.col("l_linenumber") % 2 == 0, 0.0).otherwise(F.col("v_oc"))
+    return _voc(t).select("l_orderkey", "l_linenumber", modules.string_length(v, 1500).alias("modules"))
+
+
+@query(f"WITH {WEATHER} SELECT round(max({VOC}) * 1.023, 4) AS plot_v FROM w")
+def plot_voltage(t):
+    return modules.plot_voltage(_voc(t), "v_oc", 0.023).select(r("plot_v").alias("plot_v"))
+
+
+@query("""SELECT p_partkey, e, round(greatest(voco + 72 * (1.05 * 1.38066e-23 * 298.15 / 1.60218e-19) * ln(e / 1000), 0), 4) AS v_oc, round(e * (1 + 0.7 * 0.1), 4) AS both_sides
+FROM (SELECT p_partkey, 40 + p_size / 5 AS voco FROM part), (VALUES (200.0::DOUBLE), (600.0), (1000.0)) g(e)""")
+def parameter_sweep(t):
+    """Each module at three irradiances and one temperature, parameters looked up by name."""
+    library = t("part").select(F.col("p_name").alias("name"), "p_partkey", (40 + F.col("p_size") / 5).alias("voco"))
+    found = modules.with_defaults(modules.lookup(t("part").select("p_partkey"), library, "p_partkey"))
+    each = modules.sweep(found, [200, 600, 1000], 25)
+    v = modules.sapm_voc(F.col("e"), F.col("temp_cell"), F.col("voco"), F.lit(-0.163), F.col("Mbvoc"), F.lit(72), F.lit(1.05))
+    return each.select("p_partkey", "e", r(v).alias("v_oc"), r(modules.bifacial(F.col("e"), F.lit(0.7), F.lit(0.1))).alias("both_sides"))
+
+
+@query("""WITH v AS (SELECT *, o_totalprice / 10000 AS voc, o_totalprice / 20000 - 10 AS air, o_orderkey % 400 AS ghi, year(o_orderdate) AS y FROM orders),
+y AS (SELECT y, min(air) AS low, min(air) FILTER (WHERE ghi > 150) AS day FROM v GROUP BY 1), m AS (SELECT avg(low) AS low, avg(day) AS day FROM y),
+q AS (SELECT quantile_cont(voc, 0.995) AS p, max(voc) AS m FROM v),
+x AS (SELECT '690.7(A)(3)-P99.5' AS "case", p AS v_oc FROM q UNION ALL SELECT '690.7(A)(3)-P100', m FROM q UNION ALL SELECT '690.7(A)(1)-ASHRAE', 48.5 - 0.163 * (-12.0 - 25)
+UNION ALL SELECT '690.7(A)(2)-ASHRAE', 48.5 * 1.16 UNION ALL SELECT '690.7(A)(1)-NSRDB', 48.5 - 0.163 * (low - 25) FROM m UNION ALL SELECT '690.7(A)(3)-DAY', 48.5 - 0.163 * (day - 25) FROM m)
+SELECT "case", round(v_oc, 4)::DOUBLE AS v_oc, floor(1500 / v_oc)::INT AS string_length FROM x""")
+def design_voltages(t):
+    price = F.col("o_totalprice")
+    df = t("orders").select("o_orderdate", (price / 10000).alias("voc"), (price / 20000 - 10).alias("air"), (F.col("o_orderkey") % 400).cast("double").alias("ghi"))
+    return modules.design_voltages(df, "voc", "air", "ghi", "o_orderdate", -12.0, 48.5, -0.163, 1500).withColumn("v_oc", r("v_oc"))
+
+
+@query(f"WITH {WEATHER} SELECT l_orderkey, l_linenumber, round({CELL}, 3) AS temp FROM w WHERE {VOC} > 0 AND ghi NOT BETWEEN 20 AND 21")
+def isotherm(t):
+    """The temperature that a voltage belongs to is the one it came from."""
+    df = _voc(t).filter("v_oc > 0 and not ghi between 20 and 21")
+    back = modules.isotherm(F.col("v_oc"), F.col("ghi"), F.lit(48.5), F.lit(-0.163), F.lit(72), F.lit(1.05))
+    return df.select("l_orderkey", "l_linenumber", r(back, 3).alias("temp"))
+
+
 @query(f"""WITH {WEATHER}, v AS (SELECT *, {CELL} AS t, {VOC} AS voc, l_orderkey * 10 + l_linenumber AS k FROM w), p AS (SELECT quantile_cont(voc, 0.995) AS p FROM v),
 x AS (SELECT 'P99.5' AS "case", any_value(p) AS v_oc, arg_min(t, (t, k)) AS cell_temperature, arg_min(ghi, (t, k)) AS irradiance FROM v, p WHERE voc > p * 0.9975 AND voc < p * 1.0025
 UNION ALL SELECT 'Hist', max(voc), arg_max(t, (voc, -k)), arg_max(ghi, (voc, -k)) FROM v
@@ -490,11 +689,12 @@ def voc_summary(t):
 
 
 @query("""WITH y AS (SELECT o_orderstatus, min(o_totalprice) / 10000 AS least FROM orders GROUP BY o_orderstatus, year(o_orderdate)), m AS (SELECT o_orderstatus, avg(least) AS a, min(least) AS b FROM y GROUP BY 1)
-SELECT o_orderstatus, 1.6::DOUBLE AS additional, round(greatest(0.6, 0) * 0.163 / 48.5 * 100, 6)::DOUBLE AS weather, round((a - b) * 0.163 / 48.5 * 100, 6) AS extreme_cold FROM m""")
+SELECT o_orderstatus, 1.6::DOUBLE AS additional, round(greatest(a - 5, 0) * 0.163 / 48.5 * 100, 6)::DOUBLE AS weather, round((a - b) * 0.163 / 48.5 * 100, 6) AS extreme_cold,
+round(round((a - 5) * 0.163 / 48.5 * 100 * (a > 5)::INT + (a - b) * 0.163 / 48.5 * 100 + 1.6, 1), 6)::DOUBLE AS total FROM m""")
 def safety_factor(t):
     y = timeseries.yearly_minimum_mean(t("orders").withColumn("temp", F.col("o_totalprice") / 10000), "o_orderdate", "temp", ["o_orderstatus"])
-    out = modules.safety_factor(y, F.col("mean_minimum"), F.col("minimum"), F.lit(0.6), -0.163, 48.5)
-    return out.select("o_orderstatus", "additional", r("weather", 6).alias("weather"), r("extreme_cold", 6).alias("extreme_cold"))
+    out = modules.safety_factor(y, F.col("mean_minimum"), F.col("minimum"), F.col("mean_minimum") - 5, -0.163, 48.5)
+    return out.select("o_orderstatus", "additional", r("weather", 6).alias("weather"), r("extreme_cold", 6).alias("extreme_cold"), r("total", 6).alias("total"))
 
 
 @query("""WITH g AS (SELECT event_id, 2 * pi() * (dayofyear(ts) + (hour(ts) + minute(ts) / 60.0 - 12) / 24 - 1) / 365 AS g, radians((hour(ts) * 60 + minute(ts) + 4 * -104.99) / 4 - 180) AS h0, ts FROM events),
@@ -576,6 +776,52 @@ def curve_correct_p1(t):
     return df.select("vec_id", r(total(i), 3).alias("current"), r(total(v), 3).alias("voltage"))
 
 
+P2 = "(1 + 0.05 * ln(1000 / {g}) + 0.01 * pow(ln(1000 / {g}), 2))"
+P2_SHIFT = f"48.0 * (-0.003 * (-{P2.format(g='800.0')} * 5.0) + 1 / {P2.format(g='1000.0')} - 1 / {P2.format(g='800.0')})"
+
+
+@query(f"""SELECT vec_id, round(sum(x * s), 3) AS current, round(sum(i - 0.3 * (x * s - x) - 0.001 * x * s * -5 + {P2_SHIFT}), 3) AS voltage
+FROM (SELECT vec_id, i, abs(embedding[i]::DOUBLE) AS x, 1000 / 800.0 / (1 + 0.0005 * 5) AS s FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i)) GROUP BY 1""")
+def curve_correct_p2(t):
+    df = t("embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("i"))
+    df = df.withColumn("v", F.transform(F.sequence(F.lit(1), F.size("i")), lambda k: k.cast("double")))
+    v, i = curves.correct_p2(F.col("v"), F.col("i"), F.lit(800.0), F.lit(30.0), 1000.0, 25.0, *(F.lit(x) for x in (48.0, 0.0005, -0.003, 0.3, 0.001, 0.05, 0.01)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return df.select("vec_id", r(total(i), 3).alias("current"), r(total(v), 3).alias("voltage"))
+
+
+@query("""SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS under, round((embedding[3]::DOUBLE + embedding[4]::DOUBLE) / 2, 5) AS between_points, round(embedding[len(embedding)]::DOUBLE, 5) AS over FROM embeddings""")
+def curve_interpolation(t):
+    """Currents before the first voltage, between the third and the fourth, and after the last."""
+    v = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda k: k.cast("double"))
+    at = curves.interpolate(v, F.transform("embedding", lambda x: x.cast("double")), F.array(F.lit(0.0), F.lit(3.5), F.lit(1e6)))
+    return t("embeddings").select("vec_id", *(r(at[k], 5).alias(n) for k, n in enumerate(("under", "between_points", "over"))))
+
+
+@query("""SELECT p_partkey, round(0.005 / isc, 8) AS alpha, round(-0.163 / voc, 8) AS beta, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 0.35 ELSE 0.3 END::DOUBLE AS rs, round(isc * 1.1, 6) AS top
+FROM (SELECT *, nullif(p_size % 10, 0)::DOUBLE AS isc, p_retailprice / 20 AS voc FROM part)""")
+def curve_inputs(t):
+    size = F.col("p_size")
+    df = t("part").withColumns({"isc": (size % 10).cast("double"), "voc": F.col("p_retailprice") / 20})
+    alpha, beta = curves.relative_coefficients(F.lit(0.005), F.col("isc"), F.lit(-0.163), F.col("voc"))
+    top = F.when(F.col("isc") > 0, curves.axis_maximum(F.col("isc"), F.array(F.lit(200.0), F.lit(1000.0))))
+    return df.select("p_partkey", r(alpha, 8).alias("alpha"), r(beta, 8).alias("beta"), curves.degraded_resistance(F.lit(0.3), F.lit(0.05), size % 2 == 0, size % 3 == 0).alias("rs"), r(top, 6).alias("top"))
+
+
+@query(f"SELECT user_id, round(avg(value), 4) AS mean_error, count(value) AS n FROM {HOLED} GROUP BY 1")
+def mean_of_errors(t):
+    return curves.mean_error(_holed(t), "value", ["user_id"]).withColumn("mean_error", r("mean_error"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size + 0.5 END AS g, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 25.0::DOUBLE END AS t, p_size + 2.0::DOUBLE AS total FROM part")
+def parsed_inputs(t):
+    """Comma lists as pairs (null where the lengths differ) and array literals."""
+    size = F.col("p_size").cast("string")
+    pairs = curves.parse_pairs(F.concat(size, F.lit(".5")), F.when(F.col("p_size") % 4 == 0, "25, 30").otherwise(" 25"))
+    values = curves.parse_array(F.concat(F.lit("["), size, F.lit(", 2]")))
+    return t("part").select("p_partkey", pairs[0]["g"].alias("g"), pairs[0]["t"].alias("t"), F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("""SELECT event_id, k AS category FROM (SELECT event_id, (json_extract_string(props, '$.k'))::INT AS n FROM events) JOIN (VALUES (0, 'clean'), (1, 'cracked'), (2, 'soiled')) v(i, k)
 ON i = CASE WHEN n % 3 = 0 THEN 0 WHEN n % 3 = 1 THEN 1 ELSE 2 END""")
 def json_map_argmax(t):

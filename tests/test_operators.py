@@ -96,8 +96,9 @@ def test_nearest_by_cells_equals_broadcast(spark, monkeypatch):
     want = {tuple(r) for r in geo.nearest(p, g, "id", "gid", within_km=900).collect()}
     monkeypatch.setattr(geo, "FEW", 5)
     assert {tuple(r) for r in geo.nearest(p, g, "id", "gid", within_km=900).collect()} == want
-    with pytest.raises(ValueError):
-        geo.nearest(p, g, "id", "gid")
+    in_rings = {tuple(r) for r in geo.nearest(p, g, "id", "gid").collect()}
+    monkeypatch.setattr(geo, "FEW", 10_000)
+    assert in_rings == {tuple(r) for r in geo.nearest(p, g, "id", "gid").collect()} and len(in_rings) == 40
 
 
 def test_bounding_box_loses_nothing(spark):
@@ -183,3 +184,46 @@ def test_stream_equals_batch(spark, tmp_path, sf):
     q.awaitTermination(120)
     got = {(r["start"], r["n"]) for r in spark.table("daily").collect()}
     assert got == {(r["start"], r["n"]) for r in windows.tumbling(events, "ts", "value", "1 day").collect()}
+
+
+@pytest.mark.parametrize("kind", ["few", "ties", "skewed", "wide"])
+def test_exact_quantiles_equal_percentile(spark, monkeypatch, kind):
+    from solframe.operators import ranks
+
+    monkeypatch.setattr(ranks, "ACCURACY", 200)
+    monkeypatch.setattr(ranks, "REACH", 0.015)
+    n = {"few": 7, "ties": 3000, "skewed": 5000, "wide": 20_000}[kind]
+    x = {"few": F.col("id"), "ties": F.col("id") % 5, "skewed": F.exp(F.pmod(F.xxhash64("id"), F.lit(997)) / 50.0), "wide": F.xxhash64("id") / 1e10}[kind]
+    df = spark.range(n).select(x.cast("double").alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    at = [0.0, 0.001, 0.25, 0.5, 0.995, 1.0]
+    for by in ([], ["g"]):
+        want = {(*r[:-1],): r["q"] for r in df.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q")).collect()}
+        got = {(*r[: len(by)],): r["q"] for r in ranks.exact_quantiles(df, "v", at, by).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    assert [r["n"] for r in ranks.exact_quantiles(df.limit(0), "v", at).collect()] in ([], [None])
+
+
+def test_zero_and_constant_inputs_give_nulls(spark):
+    one = spark.createDataFrame([(0.0,), (0.0,)], "v double")
+    assert one.select(modules.string_length(F.col("v"), 1500)).first()[0] is None
+    assert {r["density"] for r in stats.density(one, "v", 5).collect()} == {None}
+    assert stats.histogram_edges(one, "v", F.min("v"), F.max("v"), 2).agg(F.sum("n")).first()[0] == 2
+    v, i = curves.correct_p1(F.array(F.lit(1.0)), F.array(F.lit(1.0)), F.col("v"), F.lit(25.0), 1000.0, 25.0, *(F.lit(x) for x in (5.0, 0.002, -0.1, 0.3, 0.001)))
+    assert one.select(v, i).first() == ([None], [None])
+    days = spark.range(800).select(F.timestamp_seconds(F.col("id") * 86400).alias("ts"), F.lit(0.0).alias("v"))
+    assert timeseries.year_on_year(days, [], "ts", "v").count() == 0
+
+
+def test_nan_is_no_value(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(20)] + [(float("nan"),), (500.0,)], "v double")
+    assert timeseries.iqr_flags(df, "v").filter("outlier").count() == 1
+    assert FilterSpec(ranges={"v": (10, None)}).apply(df).count() == 11
+    assert filter_tree(df, {"column": "v", "operator": ">", "value": 10}).count() == 10
+
+
+def test_column_binding():
+    from solframe.plans.requests import bind_columns, missing_essentials
+
+    assert bind_columns(["t", "x"]) == dict.fromkeys(("Power", "Time", "DC Voltage", "DC Current"), "N/A")
+    assert bind_columns(["Date", "DC_Power", "dc voltage (V)", "DC Current"]) == {"Power": "DC_Power", "Time": "Date", "DC Voltage": "dc voltage (V)", "DC Current": "DC Current"}
+    assert missing_essentials(bind_columns(["power"])) == ["Time"]
