@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
 Numbers and dates are found by pattern and kept only if they are valid (check digits, ranges, the calendar). Each is
-read as an integer of its format's domain, permuted under a key, and written back in the same format: a card number
-stays a card number with a right check digit, a date stays a date. The permutation is one to one, so equal values get
-equal pseudonyms in all documents and different ones never meet; with the key it can be undone.
+read as one integer whatever its notation, permuted under a key within the values of the same widths, and written back
+in the notation it had: a card number stays a card number with a right check digit, a date stays a date whose day and
+month have as many digits as before. The permutation is one to one, so equal values get equal pseudonyms in all
+documents and notations, and different ones never meet; with the key it can be undone.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import hmac
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,19 @@ ROUNDS = 8
 #: Values whose pseudonyms a worker remembers; it forgets all when full.
 MEMO = 100_000
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: Month names, and marks that secrets start with, which stay.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MARKS = ("AKIA", "ASIA", "ghp_", "sk-", "xoxb-")
+
+
+def _widths(day: dt.date) -> tuple[bool, bool, bool]:
+    """Dates of a class have months and days of equal widths, and days that can or cannot be months."""
+    return day.month > 9, day.day > 9, day.day > 12
+
+
+@lru_cache(8)
+def _days(widths: tuple[bool, bool, bool]) -> list[int]:
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if _widths(dt.date.fromordinal(n)) == widths]
 
 
 class Feistel:
@@ -123,32 +139,44 @@ class Pseudonyms:
             return None
         lead = len(re.match(r"(?:\+\d+)?", text)[0].lstrip("+"))
         lead = 0 if lead >= len(digits) - 5 else lead
-        return _refill(text, digits[:lead] + self._alike(digits[lead:], "phone" + digits[:lead], LEADING))
+        country = digits[:lead] or ("1" if len(digits) == 10 else "")  # ten digits alone are a number of country 1
+        return _refill(text, digits[:lead] + self._alike(digits[lead:], "phone" + country, LEADING))
 
     def ssn(self, text: str) -> str | None:
-        area, group, serial = text.split("-")
+        area, group, serial = re.split("[- ]", text)
         if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000":
             return None
         areas = [a for a in range(1, 900) if a != 666]
         value = (areas.index(int(area)) * 99 + int(group) - 1) * 9999 + int(serial) - 1
         value = self.feistel.permute(value, len(areas) * 99 * 9999, "ssn")
-        return f"{areas[value // 9999 // 99]:03d}-{value // 9999 % 99 + 1:02d}-{value % 9999 + 1:04d}"
+        return _refill(text, f"{areas[value // 9999 // 99]:03d}{value // 9999 % 99 + 1:02d}{value % 9999 + 1:04d}")
 
     def date(self, text: str) -> str | None:
+        named = re.search("[A-Za-z]+", text)
         parts = re.findall(r"\d+", text)
-        places = (0, 1, 2) if len(parts[0]) == 4 else (2, 0, 1) if "/" in text and int(parts[0]) <= 12 else (2, 1, 0)
         try:
-            day = dt.date(*(int(parts[p]) for p in places)).toordinal()
+            if named:
+                month = next(i for i, m in enumerate(MONTHS, 1) if m[:3].lower() == named[0][:3].lower())
+                day = dt.date(int(parts[1]), month, int(parts[0]))
+            else:
+                places = (0, 1, 2) if len(parts[0]) == 4 else (2, 0, 1) if "/" in text and int(parts[0]) <= 12 else (2, 1, 0)
+                day = dt.date(*(int(parts[p]) for p in places))
         except ValueError:
             return None
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             return None
-        new = dt.date.fromordinal(FIRST_DAY + self.feistel.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-        if places == (2, 1, 0) and "/" in text:  # day first only shows where the day is over 12: walk on to such a day
-            while new.day <= 12:
-                new = dt.date.fromordinal(FIRST_DAY + self.feistel.permute(new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+        widths = _widths(day)
+        known = _days(widths)
+        at = bisect.bisect_left(known, day.toordinal())
+        new = dt.date.fromordinal(known[self.feistel.permute(at, len(known), f"date|{widths}")])
+        if named:
+            name = MONTHS[new.month - 1]
+            name = name if len(named[0]) > 3 or named[0].lower() == "may" else name[:3]
+            name = name.upper() if named[0].isupper() else name.lower() if named[0].islower() else name
+            numbers = iter((f"{new.day:0{len(parts[0])}d}", f"{new.year:04d}"))
+            return re.sub(r"\d+", lambda _: next(numbers), text).replace(named[0], name)
         for p, v in zip(places, (new.year, new.month, new.day)):
-            parts[p] = f"{v:0{4 if p == places[0] else 2}d}"
+            parts[p] = f"{v:0{len(parts[p])}d}"
         it = iter(parts)
         return re.sub(r"\d+", lambda _: next(it), text)
 
@@ -161,12 +189,25 @@ class Pseudonyms:
             value = self.feistel.permute(value, 1 << 32, "ip")
         return ".".join(map(str, value.to_bytes(4, "big")))
 
+    def ip6(self, text: str) -> str | None:
+        try:
+            value = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        if value < 2:
+            return None
+        low = self.feistel.permute(value & (1 << 112) - 1, 1 << 112, f"ip6|{value >> 112}")
+        new = f"{(value >> 112) << 112 | low:032x}"  # the first group stays; an address with :: is written out
+        groups = ":".join(new[i : i + 4] for i in range(0, 32, 4))
+        return groups.upper() if text.isupper() else groups
+
     def email(self, text: str) -> str | None:
         at = text.rindex(".")
         return self._alike(text[:at], "email") + text[at:]
 
     def secret(self, text: str) -> str | None:
-        return self._alike(text, "secret")
+        mark = next((m for m in MARKS if text.startswith(m)), "")
+        return mark + self._alike(text[len(mark) :], "secret")
 
     def _new(self, kind: str, text: str) -> str | None:
         found = self.memo.get((kind, text), "")
@@ -184,7 +225,7 @@ class Pseudonyms:
         found: list[tuple[int, int, str]] = []
         for gate, pattern in PATTERNS:
             for m in pattern.finditer(text) if gate(text) else ():
-                kind = m.lastgroup
+                kind = next(k for k, v in m.groupdict().items() if v is not None)
                 start, end = m.span(kind)
                 at = bisect.bisect_left(found, (start,))
                 if at < len(found) and found[at][0] < end or at and found[at - 1][1] > start:
@@ -202,7 +243,9 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), counts
 
 
-KINDS = ("card", "number", "iban", "phone", "ssn", "date", "ip", "email", "secret")
+KINDS = ("card", "number", "iban", "phone", "ssn", "date", "ip", "ip6", "email", "secret")
+_MONTH = "(?i:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTHS) + ")"
+_NAMED = re.compile(rf"\b{_MONTH}\b").search
 _DIGIT, _CAPITAL = re.compile(r"\d").search, re.compile(r"[A-Z]{2}\d\d").search
 #: Gates are plain searches that most texts fail; patterns restart nowhere inside a run of characters, so they are linear.
 PATTERNS: list[tuple[Callable, re.Pattern]] = [
@@ -212,12 +255,14 @@ PATTERNS: list[tuple[Callable, re.Pattern]] = [
         r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<secret>[A-Za-z0-9_+/.-]{8,})", re.A)),
     (lambda t: "@" in t, re.compile(r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)", re.A)),
     (_CAPITAL, re.compile(r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.A)),
+    (lambda t: "::" in t or t.count(":") >= 7, re.compile(r"(?<![\w:.])(?P<ip6>[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:]|\.\d)", re.A)),
+    (_NAMED, re.compile(rf"(?<![\w.])(?P<date>\d{{1,2}} {_MONTH},? \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?!\w)", re.A)),
     (_DIGIT, re.compile(
         r"(?<![\w.])(?:(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-        r"|(?P<date>\d{4}-\d\d-\d\d|\d{1,2}([./])\d{1,2}\3\d{4})(?!\w|[./-]\d)"
-        r"|(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
+        r"|(?P<date>\d{4}([-/])\d{1,2}\3\d{1,2}|\d{1,2}([./])\d{1,2}\4\d{4})(?!\w|[./-]\d)"
+        r"|(?P<ssn>\d{3}([- ])\d\d\6\d{4})(?![\w-])"
         r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\d)"
-        r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])))", re.A)),
+        r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}([-. ])\d{3}\9\d{4}(?![\w-])))", re.A)),
 ]
 
 
@@ -226,7 +271,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", doc_id: str =
 
     A null text stays null and an empty one empty, with counts of 0; repeated rows come out alike; an empty table gives
     no rows; other columns play no part. Values in several kinds' form count once, by the first kind that validates
-    them; long digit strings without a right check digit are permuted as plain numbers.
+    them; long digit strings without a right check digit are permuted as plain numbers. Dates come year first, day first
+    with dots, month or day first with slashes (day first only where it is over 12), or with a month's English name;
+    ten digits without a country code are a telephone number of country 1.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 

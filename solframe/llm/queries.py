@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .ngram_jaccard import similar_documents
 from .pseudonyms import pseudonymise
-from .quality_ledger import apply_policy, quality_ledger
+from .quality_ledger import ablations, apply_policy, quality_ledger
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .token_records import scratch_folder, token_stream, write_records
@@ -32,8 +33,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = apply_policy(quality_ledger(_documents(spark, sf_dir)))
-    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    ledger = apply_policy(quality_ledger(_documents(spark, sf_dir)), "v2")
+    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed_bits", F.lit("v2").alias("policy"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(quality_ledger(_documents(spark, sf_dir)), "v2")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,8 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_documents(spark, sf_dir), key=b"a key for tests only")
+    """The key comes from the session's setting spark.solframe.pseudonymKey; tests and checks set none."""
+    return pseudonymise(_documents(spark, sf_dir), key=spark.conf.get("spark.solframe.pseudonymKey", "a key for tests only").encode())
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +86,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_bpe": op10_bpe,
+    "quality_ablations": quality_ablations,
 }
 
-SQL: dict[str, str] = {
-    "op3_quality_rules": r"""
+#: Measurements and failure bits of each document, rules in the order of their bits.
+MEASURED = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
@@ -102,12 +109,22 @@ WITH d AS (
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id)
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
-            OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
-FROM m
+), b AS (
+  SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+             + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT) AS bits
+  FROM m
+)"""
+
+SQL: dict[str, str] = {
+    "op3_quality_rules": f"""{MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, n_lines, bits AS failed_bits, 'v2' AS policy
+FROM b
+""",
+    "quality_ablations": f"""{MEASURED}
+SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS failed, count(*) FILTER (WHERE bits = bit) AS failed_alone,
+       count(*) FILTER (WHERE bits & (63 - bit) = 0) AS kept_without, bit_or(bits) AS bits_seen
+FROM b, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)) r(rule, bit)
+GROUP BY rule
 """,
     "op4_exact_dedup": r"""
 WITH d AS (
