@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_table, slices
+from .common import FEW, cut, scratch_table, slices
 from .packs import LAST, deal, pack_owners, planes, runs, unpack_owners, unplanes
 from .words import spans, windows, word_hashes
 
@@ -242,7 +242,13 @@ def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     probes = rows.mapInArrow(_probe(buckets), ENTRIES)
     hits = probes.groupBy("bucket").applyInPandas(_meet, "key long, at long")
     anchors = cut(hits.groupBy("key").agg(F.collect_set("at").alias("anchors")))
-    joined = rows.join(anchors, "key", "left").select("key", "text", "anchors")
+    keys = anchors.select("key")
+    if keys.count() <= FEW:  # texts without anchors need no shuffle if the keys of the others can be broadcast
+        hit = rows.join(F.broadcast(keys), "key", "left_semi").join(anchors, "key")
+        clean = rows.join(F.broadcast(keys), "key", "left_anti").withColumn("anchors", F.lit(None).cast("array<bigint>"))
+        joined = hit.unionByName(clean).select("key", "text", "anchors")
+    else:
+        joined = rows.join(anchors, "key", "left").select("key", "text", "anchors")
     table = scratch_table(joined.mapInArrow(_extend, TABLE), "substring-windows")
     chunks = table.filter("kind = 1")
     n = chunks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
