@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, scratch_table, slices, small
+from .common import by_bucket, cut, fresh, scratch_table, slices, small
 from .components import components
 from .packs import deal, pack_owners, planes, runs, unpack_owners, unplanes
 from .words import mix, spans, windows, word_hashes
@@ -394,7 +394,7 @@ def _survivors(rows: DataFrame, classes: DataFrame, width: int, percent: int) ->
     first = size * (100 - percent + SPARE) // 100
     buckets = max(first // BUCKET, min(_parts_of(rows), 1024)) + 1
     dealt = rows.select("h", "text").mapInArrow(_sieve(width, percent, buckets), ENTRIES)
-    shared = dealt.groupBy("bucket").applyInPandas(_shared, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
+    shared = by_bucket(dealt, buckets).applyInPandas(_shared, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
     return classes.join(shared, "owner").filter(F.col("shared") >= needed(F.col("n"), percent)).drop("shared")
 
 
@@ -465,7 +465,7 @@ def _links(nodes: DataFrame, width: int, percent: int) -> DataFrame:
     size = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(size // BUCKET, min(_parts_of(sets), 1024)) + 1
     dealt = sets.select("node", "tokens").mapInArrow(_scatter(percent, buckets), ENTRIES)
-    hoods = components(dealt.groupBy("bucket").applyInPandas(_link, "a long, b long"))
+    hoods = components(by_bucket(dealt, buckets).applyInPandas(_link, "a long, b long"))
     hoods = hoods.unionByName(hoods.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "hood")
     inside = cut(hoods.join(sets.select("node", "n", "size", "place"), "node"))
     groups, unions, edges = _tournament(sets, inside, percent)

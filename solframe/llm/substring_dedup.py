@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, scratch_table, slices
+from .common import FEW, by_bucket, cut, scratch_table, slices
 from .packs import LAST, deal, pack_owners, planes, runs, unpack_owners, unplanes
 from .words import spans, windows, word_hashes
 
@@ -240,7 +240,7 @@ def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(size // 6 // BUCKET, min(8 * parts, 1024)) + 1
     probes = rows.mapInArrow(_probe(buckets), ENTRIES)
-    hits = probes.groupBy("bucket").applyInPandas(_meet, "key long, at long")
+    hits = by_bucket(probes, buckets).applyInPandas(_meet, "key long, at long")
     anchors = cut(hits.groupBy("key").agg(F.collect_set("at").alias("anchors")))
     keys = anchors.select("key")
     if keys.count() <= FEW:  # texts without anchors need no shuffle if the keys of the others can be broadcast
@@ -254,7 +254,7 @@ def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     n = chunks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     buckets = max(n // 8 // BUCKET, min(8 * parts, 1024)) + 1
     dealt = chunks.select("chunk", "owners", "counts", "hashes").mapInArrow(_windows(buckets), f"{ENTRIES}, chunk long")
-    later = dealt.groupBy("bucket").applyInPandas(_later, "chunk long, places binary")
+    later = by_bucket(dealt, buckets).applyInPandas(_later, "chunk long, places binary")
     parted = chunks.select("chunk", "owners", "rows", "counts", "places").unionByName(later, allowMissingColumns=True)
     repeats = parted.groupBy("chunk").applyInPandas(_join_up, "key long, row long, from_word long, to_word long")
     return table.filter("kind = 0").select("key", "row", "n_words", "kept_sha256", "text"), repeats
