@@ -27,11 +27,22 @@ MARK = rf"[^{SPACE}\p{{L}}\p{{N}}]"
 TOUCH = regex.compile(f"[.,]{MARK}|{MARK}[.,]")
 
 
-def _touches(text: str) -> bool:
-    """Whether a full stop or comma touches a mark: four plain searches do if the text has no other marks."""
-    if any(not c.isalnum() and (not c.isspace() or "\x1c" <= c <= "\x1f") and c not in ".," for c in set(text)):
-        return TOUCH.search(text) is not None
-    return any(pair in text for pair in (".,", ",.", "..", ",,"))
+@lru_cache(1 << 16)
+def _plain(c: str) -> bool:
+    """A letter, number or white space, once composed and lowered, or a full stop or comma."""
+    return c in ".," or all(x.isalnum() for x in unicodedata.normalize("NFC", c).lower()) or c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
+#: Plain characters met so far, which need no second look.
+_MET: set[str] = set()
+
+
+def _odd(text: str) -> set[str]:
+    """The characters of a text that are not plain."""
+    rest = set(text) - _MET
+    found = {c for c in rest if not _plain(c) or _new(c)}
+    _MET.update(rest - found)
+    return found
 
 
 def unassigned(text: str) -> bool:
@@ -73,14 +84,15 @@ class PieceEncoder:
         return [x for x, _ in self.split.pre_tokenize_str(chunk)] if unassigned(chunk) else self.pattern.findall(chunk)
 
     def _chunks(self, text: str) -> list[str]:
-        if not text.isascii() and any(map(_new, set(text))):  # as the library's own tables have it
+        odd = _odd(text)
+        if any(map(_new, odd)):  # as the library's own tables have it
             return [c for c in regex.split(f"[{SPACE}]+", self.normal.normalize_str(text)) if c]
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma is lowered without regard to its place
         text = text.lower()
-        if not _touches(text):
+        if not (TOUCH.search(text) if odd else any(pair in text for pair in (".,", ",.", "..", ",,"))):
             text = text.replace(".", " . ").replace(",", " , ")
-        return text.split() if not ODD.search(text) else [c for c in regex.split(f"[{SPACE}]+", text) if c]
+        return text.split() if not odd or not ODD.search(text) else [c for c in regex.split(f"[{SPACE}]+", text) if c]
 
     def _learn(self, chunks: set[str]) -> None:
         """Put the ids of all chunks into the memo."""
