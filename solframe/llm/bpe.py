@@ -24,6 +24,8 @@ from .pieces import PieceEncoder, load_spec
 
 #: Entries of the table of pairs; it is emptied when full.
 PAIRS = 1_000_000
+#: Entries of each half of a worker's memo: the automaton needs memory, too.
+ENTRIES = 120_000
 #: Stands for the end of a word; bytes are the characters below it.
 END = "Ā"
 
@@ -155,7 +157,7 @@ def tools(content: bytes) -> tuple[PieceEncoder, OffsetTable]:
         spec = load_spec(content)
         _READY.clear()
         encode = Backtracking(spec).encode
-        _READY[key] = PieceEncoder(spec, lambda chunks, find: [b"".join(map(encode, find(c))) for c in chunks]), OffsetTable(spec)
+        _READY[key] = PieceEncoder(spec, lambda chunks, find: [b"".join(map(encode, find(c))) for c in chunks], ENTRIES), OffsetTable(spec)
     return _READY[key]
 
 

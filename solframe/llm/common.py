@@ -90,7 +90,11 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into small ones, so that a worker holds few texts and results at a time."""
+    """Arrow batches cut into small ones, so that a worker holds few texts and results at a time.
+
+    After the last one, Arrow gives the memory back that it keeps for more: workers live on for other stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

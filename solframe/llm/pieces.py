@@ -63,14 +63,14 @@ class PieceEncoder:
     `find` of this object cuts a chunk into its pieces.
     """
 
-    def __init__(self, spec: dict, encode_chunks: Callable[[list[str], Callable[[str], list[str]]], list[bytes]]) -> None:
+    def __init__(self, spec: dict, encode_chunks: Callable[[list[str], Callable[[str], list[str]]], list[bytes]], entries: int = MEMO) -> None:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.encode_chunks = encode_chunks
+        self.encode_chunks, self.entries = encode_chunks, entries
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -97,7 +97,7 @@ class PieceEncoder:
     def _learn(self, chunks: set[str]) -> None:
         """Put the ids of all chunks into the memo."""
         need = chunks - self.memo.keys()
-        if len(self.memo) + len(need) > MEMO:
+        if len(self.memo) + len(need) > self.entries:
             self.memo, self.older, need = {}, self.memo, chunks
         fresh = []
         for c in need:

@@ -35,7 +35,7 @@ DECAY, SPAN, CLASSES, LONGEST = 0.7, 7, 64, 32
 #: The sample: at most so many toxic and clean labelled texts, of at most so many characters each.
 TOXIC, CLEAN, CHARS = 1500, 3000, 20_000
 #: Landmarks out of toxic texts and ordinary ones; rounds of mining; strings that a worker remembers.
-STANDOUT, ORDINARY, ROUNDS, MEMO = 256, 256, 3, 250_000
+STANDOUT, ORDINARY, ROUNDS, MEMO = 256, 256, 3, 120_000
 #: Strings that stand out most and are examples in any case.
 FREQUENT = 64
 #: Price of an example on the wrong side.
