@@ -18,23 +18,35 @@ from solframe.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go. Null and empty texts have the score of a text without words and stay; nothing is decided by
+    doc_id, so null and repeated ids are judged each by its own text; an empty table stays empty, other columns stay.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal but for white space stays: the longest original, then the least
+    doc_id, nulls last. Null and empty texts are one group; rows that repeat all of that leave one.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more."""
+    """Five-word shingles, similarity of 0.8 or more; of linked documents, the one with the least doc_id stays. Texts
+    without words are linked with nothing and stay.
+    """
     return drop_near_duplicates(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number (0 to 2 times). A null source is a
+    source, the last one; documents without words go, as no mix takes them; rows that share a doc_id share its count.
+    """
     return apply_mix(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document; null and empty texts have none."""
     return encode_documents(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -48,24 +48,9 @@ def table(spark: SparkSession, path: str, schema: T.StructType | str | None = No
         return parquet(spark, path)
     if kind == "json":
         return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
-    if kind in ("xls", "xlsx"):
-        if schema is None:
-            raise ValueError("an Excel file needs a schema")
-        return excel(spark, path, schema)
     raise ValueError(f"files of type {kind} are not read")
 
 
-def excel(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Sheets by pandas, one file at a time in a task (needs an Excel library on the workers)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for content in files["content"]:
-                yield pd.read_excel(io.BytesIO(content))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
 def weather_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Weather files: names and values of the metadata on lines 1 and 2, the data's header on line 3.
 
