@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FEW, by_bucket, cut, scratch_table, slices
-from .packs import LAST, deal, pack_owners, planes, runs, unpack_owners, unplanes
+from .packs import LAST, deal, pack_owners, pack_places, planes, runs, unpack_owners, unpack_places, unplanes
 from .words import spans, windows, word_hashes
 
 #: Words of a window, and of a block: 2 * BLOCK - 1 <= WINDOW.
@@ -78,12 +78,12 @@ def _probe(buckets: int):
             first[order[start]] = True
             out = []
             if settled.any():  # anchors that this chunk knows by itself
-                out.append((-1 - task, *pack_owners(owner[settled], ids), b"", planes(at[settled], "<u4")))
+                out.append((-1 - task, *pack_owners(owner[settled], ids), b"", pack_places(at[settled], owner[settled])))
             send = np.flatnonzero(~settled | first)
             place = np.where(settled, MANY, at)
             for b, x in deal(hashes[send], buckets):
                 x = send[x]
-                out.append((b, *pack_owners(owner[x], ids), planes(hashes[x] & np.uint64(0xFFFFFFFF), "<u4"), planes(place[x], "<u4")))
+                out.append((b, *pack_owners(owner[x], ids), planes(hashes[x] & np.uint64(0xFFFFFFFF), "<u4"), pack_places(place[x], owner[x])))
             yield from _entry_batches(out)
 
     return run
@@ -98,7 +98,7 @@ def _entry_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     """Anchors of one bucket: places whose hash is that of a block and occurs in two documents."""
     ids = np.concatenate([unpack_owners(a, b) for a, b in zip(rows["owners"], rows["counts"])])
-    at = np.concatenate([unplanes(x, "<u4") for x in rows["places"]])
+    at = np.concatenate([unpack_places(x, n) for x, n in zip(rows["places"], rows["counts"])])
     if rows["bucket"].iloc[0] >= 0:
         hashes = np.concatenate([unplanes(x, "<u4") for x in rows["hashes"]])
         order = np.argsort(hashes, kind="stable")
@@ -168,8 +168,8 @@ def _windows(buckets: int):
                 for b, x in deal(h[send], buckets):
                     x = send[x]
                     x = x[np.argsort(ids[x], kind="stable")]
-                    used, n = np.unique(ids[x], return_counts=True)
-                    out.append((b, planes(used, "<i8"), planes(n, "<u4"), h[x].tobytes(), planes(x, "<u4"), chunk))
+                    used, of = np.unique(ids[x], return_inverse=True)
+                    out.append((b, *pack_owners(of, used), h[x].tobytes(), pack_places(x, of), chunk))
                 for i in range(0, len(out), 512):
                     cols = list(zip(*out[i : i + 512]))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:5]), pa.array(cols[5], pa.int64())], ["bucket", "owners", "counts", "hashes", "places", "chunk"])
@@ -181,7 +181,7 @@ def _later(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, the windows that an earlier document has."""
     if rows["bucket"].iloc[0] < 0:
         return rows[["chunk", "places"]]
-    ids = np.concatenate([np.repeat(unplanes(a, "<i8"), unplanes(b, "<u4")) for a, b in zip(rows["owners"], rows["counts"])])
+    ids = np.concatenate([unpack_owners(a, b) for a, b in zip(rows["owners"], rows["counts"])])
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]])
     n = [len(x) // 8 for x in rows["hashes"]]
     order = np.lexsort((ids, h))
@@ -189,8 +189,8 @@ def _later(rows: pd.DataFrame) -> pd.DataFrame:
     later = np.zeros(len(h), bool)
     later[order] = ids[order] > ids[order[start]][run_of]
     out = []
-    for (a, b), places, chunk in zip(spans(n), rows["places"], rows["chunk"]):
-        x = np.sort(unplanes(places, "<u4")[later[a:b]])
+    for (a, b), places, counts, chunk in zip(spans(n), rows["places"], rows["counts"], rows["chunk"]):
+        x = np.sort(unpack_places(places, counts)[later[a:b]])
         if len(x):
             out.append((chunk, planes(np.diff(x, prepend=0), "<u4")))
     return pd.DataFrame(out, columns=["chunk", "places"])

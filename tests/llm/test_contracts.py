@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from solframe.llm import bpe, components, mixing, ngram_jaccard, pseudonyms, quality_ledger, sharding, substring_dedup, token_records, toxicity
+from solframe.llm import bpe, components, mixing, ngram_jaccard, packs, pseudonyms, quality_ledger, sharding, substring_dedup, token_records, toxicity
 from solframe.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from solframe.llm.queries import QUERIES, SQL, _tokenizer
 
@@ -293,6 +293,19 @@ def test_substring_dedup(spark, odd, nothing, monkeypatch):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 5, 5000])
+def test_packed_entries_come_back(n):
+    rng = np.random.default_rng(n)
+    ids = np.sort(rng.choice(1 << 40, n, replace=False)) - (1 << 39)
+    ids[-1] = packs.LAST
+    owner = np.sort(rng.integers(0, n, n))
+    places = rng.integers(0, 1 << 32, n)
+    places[::3] = 0xFFFFFFFF
+    a, b = packs.pack_owners(owner, ids)
+    assert (packs.unpack_owners(a, b) == ids[owner]).all()
+    assert (packs.unpack_places(packs.pack_places(places, owner), b) == places).all()
+
+
 @pytest.fixture
 def apart(spark):
     """Small shuffles keep their partitions, so a table spans several chunks (workers don't see a patched CHUNK)."""
