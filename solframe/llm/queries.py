@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trip
+from .collocations import SQL as COLLOCATIONS_SQL
+from .collocations import collocations
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .ngram_jaccard import similar_documents
@@ -75,6 +77,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), _tokenizer())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
     "quality_ablations": quality_ablations,
 }
 
@@ -116,6 +123,7 @@ WITH d AS (
 )"""
 
 SQL: dict[str, str] = {
+    "op11_collocations": COLLOCATIONS_SQL,
     "op3_quality_rules": f"""{MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, n_lines, bits AS failed_bits, 'v2' AS policy
 FROM b
