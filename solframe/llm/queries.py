@@ -12,6 +12,9 @@ from .bpe import round_trip
 from .collocations import SQL as COLLOCATIONS_SQL
 from .collocations import collocations
 from .exact_dedup import exact_duplicates
+from .learned_partitions import nearest_neighbours
+from .lexical_search import SQL as RANKED_SEARCH_SQL
+from .lexical_search import ranked_search
 from .mixing import mix
 from .ngram_jaccard import similar_documents
 from .pseudonyms import pseudonymise
@@ -81,6 +84,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_bpe": op10_bpe,
     "op11_collocations": op11_collocations,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_nearest_vectors": op13_nearest_vectors,
     "quality_ablations": quality_ablations,
 }
 
@@ -124,6 +137,7 @@ WITH d AS (
 
 SQL: dict[str, str] = {
     "op11_collocations": COLLOCATIONS_SQL,
+    "op12_ranked_search": RANKED_SEARCH_SQL,
     "op3_quality_rules": f"""{MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, n_lines, bits AS failed_bits, 'v2' AS policy
 FROM b
