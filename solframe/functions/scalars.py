@@ -31,6 +31,12 @@ def value_of(df: DataFrame, name: str) -> Column:
     return nan_to_null(col(name)) if dict(df.dtypes).get(name) in ("double", "float") else col(name)
 
 
+def finite_of(df: DataFrame, name: str) -> Column:
+    """A column's values with NaN and infinities as null: what has a place in a range."""
+    v = value_of(df, name)
+    return F.when(F.abs(v) < float("inf"), v) if dict(df.dtypes).get(name) in ("double", "float") else v
+
+
 def merged(left: Column, right: Column) -> Column:
     """Two maps as one: where both have a key, the right one's value holds. A null map counts as empty."""
     return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(
@@ -83,3 +89,13 @@ def map_argmax(values: Column) -> Column:
 
 def links(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
+
+
+def half_even(value: Column, digits: int = 0) -> Column:
+    """Rounded to the nearest, a half to the even neighbour, as arrays are rounded."""
+    return F.bround(value, digits)
+
+
+def rounded_label(name: str, value: Column, digits: int = 2) -> Column:
+    """"name: value" with a fixed number of decimals; null without a value."""
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.format_string(f"%.{digits}f", value)))

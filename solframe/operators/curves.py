@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,9 @@ def correct_p1(v: Column, i: Column, g1: Column, t1: Column, g2: float, t2: floa
 def correct_p2(v: Column, i: Column, g1: Column, t1: Column, g2: float, t2: float, voc: Column, alpha: Column, beta: Column, rs: Column, kappa: Column, b1: Column, b2: Column) -> tuple[Column, Column]:
     """IEC 60891:2021 procedure 2: relative coefficients, and a logarithmic irradiance factor for voltage."""
     f = lambda g: 1 + b1 * F.ln(F.try_divide(F.lit(1000.0), g)) + b2 * F.pow(F.ln(F.try_divide(F.lit(1000.0), g)), F.lit(2.0))
-    scale = F.try_divide(F.lit(float(g2)), g1) * (1 + alpha * (t2 - 25)) / (1 + alpha * (t1 - 25))
+    scale = F.try_divide(F.try_divide(F.lit(float(g2)), g1) * (1 + alpha * (t2 - 25)), 1 + alpha * (t1 - 25))
     current = F.transform(i, lambda x: x * scale)
-    shift = voc * (beta * (f(F.lit(float(g2))) * (t2 - 25) - f(g1) * (t1 - 25)) + 1 / f(F.lit(float(g2))) - 1 / f(g1))
+    shift = voc * (beta * (f(F.lit(float(g2))) * (t2 - 25) - f(g1) * (t1 - 25)) + F.try_divide(F.lit(1.0), f(F.lit(float(g2)))) - F.try_divide(F.lit(1.0), f(g1)))
     voltage = F.zip_with(v, i, lambda x, y: x - rs * (y * scale - y) - kappa * y * scale * (t2 - t1) + shift)
     return voltage, current
 
@@ -83,6 +83,44 @@ def area_error(i: Column, reference: Column, v: Column) -> Column:
     return 100 * F.try_divide(area(v, between), area(v, reference))
 
 
+def area_between(curves: DataFrame, by: Sequence[str], v: str = "v", i: str = "i", ref_v: str = "ref_v", ref_i: str = "ref_i") -> DataFrame:
+    """Areas of curves that have voltages of their own: by, between, reference, error (percent of the reference's area).
+
+    Both lists of points are merged by voltage; a curve is linear between its points and flat beyond them. Where the
+    curves cross inside a step, the step is split there. Points come in any order; of equal voltages the mean current
+    counts; points without a voltage or current are none. Without points in common reach (one list empty) all is null.
+    Each row of `curves` is a pair of curves, known by the columns of `by`.
+    """
+    finite = lambda p: p["v"].isNotNull() & p["i"].isNotNull() & (F.abs(p["v"]) < float("inf")) & (F.abs(p["i"]) < float("inf"))
+
+    def points(x: str, y: str, which: int) -> Column:
+        pairs = F.zip_with(col(x), col(y), lambda a, b: F.struct(a.cast("double").alias("v"), b.cast("double").alias("i"), F.lit(which).alias("which")))
+        return F.filter(F.coalesce(pairs, F.array().cast("array<struct<v:double,i:double,which:int>>")), finite)
+
+    keys = [f"key_{k}" for k in range(len(by))]
+    every = curves.select(*(col(b).alias(k) for b, k in zip(by, keys)), F.explode_outer(F.concat(points(v, i, 0), points(ref_v, ref_i, 1))).alias("p"))
+    own = lambda which: F.avg(F.when(F.col("p.which") == which, F.col("p.i")))
+    merged = every.groupBy(*keys, F.col("p.v").alias("v")).agg(own(0).alias("a"), own(1).alias("b"))
+    order = Window.partitionBy(*keys).orderBy("v")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+
+    def filled(c: str) -> Column:
+        at = F.when(F.col(c).isNotNull(), F.struct(F.col("v").alias("v"), F.col(c).alias("i")))
+        p, q = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
+        inside = p["i"] + F.coalesce(F.try_divide(F.col("v") - p["v"], q["v"] - p["v"]), F.lit(0.0)) * (q["i"] - p["i"])
+        return F.when(p.isNull(), q["i"]).when(q.isNull(), p["i"]).otherwise(inside)
+
+    full = merged.select(*keys, "v", filled("a").alias("a"), filled("b").alias("b"))
+    d = F.col("a") - F.col("b")
+    steps = full.withColumn("d", d).withColumns({"w": F.lead("v").over(order) - F.col("v"), "d1": F.lead("d").over(order), "b1": F.lead("b").over(order)})
+    across = F.col("d") * F.col("d1") < 0
+    split = F.try_divide(F.col("d") ** 2 + F.col("d1") ** 2, 2 * (F.abs("d") + F.abs("d1")))
+    between = F.col("w") * F.when(across, split).otherwise((F.abs("d") + F.abs("d1")) / 2)
+    sums = steps.groupBy(*keys).agg(F.sum(between).alias("between"), F.sum(F.col("w") * (F.col("b") + F.col("b1")) / 2).alias("reference"))
+    known = F.col("between").isNotNull()
+    return sums.select(*(F.col(k).alias(b) for b, k in zip(by, keys)), "between", F.when(known, F.col("reference")).alias("reference"), (100 * F.try_divide("between", "reference")).alias("error"))
+
+
 def interpolate(v: Column, i: Column, grid: Column) -> Column:
     """Currents of a curve at the voltages of `grid`, linear between points, flat outside. v must ascend."""
 

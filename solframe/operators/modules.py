@@ -100,9 +100,12 @@ def sapm_voc(e: Column, temp: Column, voco: Column, bvoco: Column, mbvoc: Column
 
 
 def isotherm(voltage: Column, e: Column, voco: Column, bvoco: Column, cells: Column, n_diode: Column) -> Column:
-    """Cell temperature at which the SAPM gives a voltage at an irradiance (for Mbvoc 0)."""
+    """Cell temperature at which the SAPM gives a voltage at an irradiance (for Mbvoc 0).
+
+    Null at the irradiance where the voltage does not depend on the temperature.
+    """
     c = cells * n_diode * BOLTZMANN / CHARGE * F.ln(e / 1000)
-    return (voltage - voco - ZERO * c + 25 * bvoco) / (c + bvoco)
+    return F.try_divide(voltage - voco - ZERO * c + 25 * bvoco, c + bvoco)
 
 
 def string_length(voltage: Column, limit: float, safety: float = 0.0) -> Column:
@@ -137,6 +140,21 @@ def derate(temp: Column) -> Column:
     return F.when(temp.isNotNull(), out.otherwise(DERATE[-1][1]))
 
 
+#: What each case of `voc_summary` stands for.
+CASE_NOTES = {
+    "P99.5": "99.5th percentile of the simulated voltage, with the coldest cell near it",
+    "Hist": "largest simulated voltage of the record",
+    "Trad": "one sun at the mean yearly minimum air temperature",
+    "Day": "one sun at the mean yearly minimum air temperature of daylight hours",
+}
+
+
+def with_notes(summary: DataFrame, notes: dict[str, str] = CASE_NOTES) -> DataFrame:
+    """Add note: what the row's case stands for; null for a case without one."""
+    known = F.create_map(*(F.lit(x) for pair in notes.items() for x in pair))
+    return summary.withColumn("note", F.try_element_at(known, F.col("case")))
+
+
 def voc_summary(df: DataFrame, voc: str, temp: str, poa: str, order: str, limit: float, safety: float, traditional: Column, daytime: Column) -> DataFrame:
     """Four design voltages in one aggregate: P99.5, the largest, the traditional one and the daytime one.
 
@@ -167,7 +185,7 @@ def design_voltages(df: DataFrame, voc: str, air: str, ghi: str, ts: str, ashrae
     top = exact_quantiles(df, voc, [0.995, 1.0]).select(F.col("q")[0].alias("p"), F.col("q")[1].alias("m"))
     one_sun = lambda t: voco + bvoco * (t - 25)
     station = F.lit(float(ashrae))
-    cases = [
+    cases = [  # fixed values: the names of the cases
         ("690.7(A)(3)-P99.5", F.col("p")), ("690.7(A)(3)-P100", F.col("m")), ("690.7(A)(1)-ASHRAE", one_sun(station)),
         ("690.7(A)(2)-ASHRAE", F.lit(voco) * derate(station)), ("690.7(A)(1)-NSRDB", one_sun(F.col("low"))), ("690.7(A)(3)-DAY", one_sun(F.col("day"))),
     ]

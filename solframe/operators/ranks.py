@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import col, value_of
+from ..plans.scratch import held, settled
 
 #: Accuracy of the sketch (its error is n / ACCURACY ranks at most), and half the width of a window, as a share of n.
 ACCURACY, REACH = 100_000, 3e-5
@@ -29,7 +31,7 @@ def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence
     probes = F.percentile_approx("v_", F.array(*(F.lit(x) for w in window for x in w)), F.lit(ACCURACY))
     bounds = rows.groupBy(*keys).agg(probes.alias("b_"), F.count(F.lit(1)).alias("n")).withColumnsRenamed({k: f"b{k}" for k in keys})
     same = _all([F.col(k).eqNullSafe(F.col(f"b{k}")) for k in keys])
-    met = rows.join(bounds, same).drop(*(f"b{k}" for k in keys)) if keys else rows.crossJoin(F.broadcast(bounds))
+    met = rows.join(held(bounds), same).drop(*(f"b{k}" for k in keys)) if keys else rows.crossJoin(F.broadcast(bounds))
     count = lambda tests: sum((t.cast("int") for t in tests), F.lit(0))
     reached = count([F.col("v_") >= F.col("b_")[2 * i] for i in range(len(at))])
     passed = count([F.col("v_") > F.col("b_")[2 * i + 1] for i in range(len(at))])
@@ -73,3 +75,21 @@ def numbered(df: DataFrame, series: Sequence[str], order: Sequence[str], name: s
     here = _all([F.col(k).eqNullSafe(F.col(f"s{k}")) for k in keys]) & F.col("day_").eqNullSafe(F.col("sday_"))
     out = nth.join(starts, here).withColumn(name, F.col("start_") + F.col("nth_"))
     return out.drop(*keys, *(f"s{k}" for k in keys), "day_", "sday_", "start_", "nth_")
+
+
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """`df` sorted by `order` with a number for each row, from 0 without gaps.
+
+    Rows are dealt into ranges of `order` and then of all other columns that can be ordered, so neither numbers nor tasks
+    depend on how the table was partitioned, or on a value that many rows share. Each range is sorted by itself, and its
+    numbers begin behind the prefix sum of the counts before it (a row for each range). Nulls come first.
+    """
+    others = [c for c in df.columns if c not in order and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    keys = [col(c) for c in [*order, *others]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    held = settled(dealt.withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}))
+    ranges = held.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"), F.min("at_").alias("least_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("part_", (before - F.col("least_")).alias("shift_"))
+    return held.join(F.broadcast(starts), "part_").withColumn(name, F.col("at_") + F.col("shift_")).drop("part_", "at_", "shift_")

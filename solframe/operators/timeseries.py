@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, value_of
+from ..plans.scratch import beside, held
 from .ranks import exact_quantiles, numbered
 
 #: Seconds of a year of 365.25 days and of 365 days.
@@ -59,18 +60,41 @@ def hour_presence(df: DataFrame, ts: str, many: int = 120) -> DataFrame:
     return hours.join(counts, "hour", "left").select("hour", n.alias("n"), (n == 0).alias("missing"), (n > many).alias("duplicated"))
 
 
-def repair_clock(df: DataFrame, ts: str, value: str, zone: str | None = None) -> DataFrame:
-    """Add fixed_ts: shifted by the offset class, then for a missing or doubled hour 2, then moved to a zone.
+def _clock(df: DataFrame, ts: str, value: str, many: int) -> DataFrame:
+    """One row: shift_ (hours by the offset class), and whether hour 2 is then missing (gone_) or doubled (twice_)."""
+    shift = offset_class(df, ts, value).select(F.when(F.col("offset") == "+1 hour", 1).when(F.col("offset") == "-1 hour", -1).otherwise(0).alias("shift_"))
+    hours = df.groupBy(F.hour(col(ts)).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    two = F.coalesce(F.sum(F.when(F.pmod(F.col("h") + F.col("shift_"), F.lit(24)) == 2, F.col("n"))), F.lit(0))
+    return hours.crossJoin(F.broadcast(shift)).groupBy("shift_").agg((two == 0).alias("gone_"), (two > many).alias("twice_"))
+
+
+def _fixed(ts: Column, zone: str | None) -> Column:
+    hours = F.col("shift_") + F.col("gone_").cast("int") - F.col("twice_").cast("int")
+    fixed = F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) + hours * 3_600_000_000)
+    return F.from_utc_timestamp(fixed, zone) if zone else fixed
+
 
-    Both decisions are one-row aggregates that are broadcast, so the shift stays lazy.
+def repair_clock(df: DataFrame, ts: str, value: str, zone: str | None = None, many: int = 120) -> DataFrame:
+    """Add fixed_ts: shifted by the offset class, then for a missing or doubled (over `many` rows) hour 2, then moved to
+    the wall clock of a zone.
+
+    A time without zone counts as UTC. All decisions are one row, which is broadcast, so the shift stays lazy.
     """
-    shift = offset_class(df, ts, value).select(F.when(F.col("offset") == "+1 hour", 1).when(F.col("offset") == "-1 hour", -1).otherwise(0).alias("shift_"))
-    moved = df.crossJoin(F.broadcast(shift)).withColumn("t_", F.timestamp_micros(F.unix_micros(col(ts).cast("timestamp")) + F.col("shift_") * 3_600_000_000))
-    two = F.count_if(F.hour("t_") == 2)
-    dst = moved.agg(F.when(two == 0, 1).when(two > 120, -1).otherwise(0).alias("dst_"))
-    fixed = F.timestamp_micros(F.unix_micros("t_") + F.col("dst_") * 3_600_000_000)
-    out = moved.crossJoin(F.broadcast(dst)).withColumn("fixed_ts", F.from_utc_timestamp(fixed, zone) if zone else fixed)
-    return out.drop("shift_", "dst_", "t_")
+    out = df.crossJoin(F.broadcast(_clock(df, ts, value, many)))
+    return out.withColumn("fixed_ts", _fixed(col(ts), zone)).drop("shift_", "gone_", "twice_")
+
+
+def clock_report(df: DataFrame, ts: str, value: str, zone: str | None = None, many: int = 120) -> DataFrame:
+    """One row, message: what `repair_clock` does with these rows, a line for each step."""
+    naive = dict(df.dtypes).get(ts) == "timestamp_ntz"
+    lines = [
+        F.when(F.lit(naive), F.lit("times without zone: taken as UTC")),
+        F.when(F.col("shift_") > 0, F.lit("days peak early: one hour added")).when(F.col("shift_") < 0, F.lit("days peak late: one hour taken off")).otherwise(F.lit("days peak as expected")),
+        F.when(F.col("gone_"), F.lit("hour 2 is missing: one hour added")),
+        F.when(F.col("twice_"), F.lit("hour 2 is doubled: one hour taken off")),
+        F.lit(f"moved to {zone}" if zone else "zone unchanged"),
+    ]
+    return _clock(df, ts, value, many).select(F.concat_ws("\n", *lines).alias("message"))
 
 
 def data_summary(df: DataFrame, ts: str, value: str, k: float = 1.5) -> DataFrame:
@@ -86,61 +110,54 @@ def data_summary(df: DataFrame, ts: str, value: str, k: float = 1.5) -> DataFram
     )
 
 
-def trend(df: DataFrame, series: Sequence[str], ts: str, value: str, rate: float, share: float = 0.1) -> DataFrame:
-    """Add baseline (mean of the first tenth of a series' values, one at least) and trend (baseline and rate %/year)."""
+def trend(df: DataFrame, series: Sequence[str], ts: str, value: str, rate: float, share: float = 0.1, ties: Sequence[str] = ()) -> DataFrame:
+    """Add baseline (mean of the first tenth of a series' values, one at least) and trend (baseline and rate %/year).
+
+    Of equal times, `ties` and then the value decide which comes first. A null series is a series.
+    """
     known = df.filter(value_of(df, value).isNotNull())
     start = known.groupBy(*map(col, series)).agg(F.min(seconds(col(ts))).alias("start_"), F.count(F.lit(1)).alias("n_"))
-    ranked = numbered(known, series, [ts], "place_").join(start, list(series))
+    start = held(start)
+    ranked = beside(numbered(known, series, [ts, *ties, value], "place_"), start, series)
     first = F.greatest(F.lit(1), F.floor(F.col("n_") * share))
     base = ranked.filter(F.col("place_") <= first).groupBy(*map(col, series)).agg(F.avg(col(value)).alias("baseline"))
-    out = df.join(base, list(series)).join(start.drop("n_"), list(series))
+    out = beside(beside(df, held(base), series), start.drop("n_"), series)
     years = (seconds(col(ts)) - F.col("start_")) / YEAR
     return out.withColumn("trend", F.col("baseline") + rate / 100 * F.col("baseline") * years).drop("start_")
 
 
-def year_on_year(df: DataFrame, series: Sequence[str], ts: str, value: str, tolerance_days: int = 8, recentre_days: int = 364) -> DataFrame:
+def year_on_year(df: DataFrame, series: Sequence[str], ts: str, value: str, tolerance_days: int = 8, recentre_days: int | None = 364) -> DataFrame:
     """Yearly rates: each value against the latest one about a year earlier. series, ts, earlier_ts, rate (%/year).
 
-    The series is divided by its median over the first `recentre_days`. A value pairs with the latest point whose time
-    plus 365 days is at most `tolerance_days` before it: points meet in buckets one tolerance wide, so this is an
-    equi-join. tolerance_days = 0 pairs exact times only.
+    The series is divided by its median over the first `recentre_days`, or taken as normalised if that is None. A value
+    pairs with the latest point whose time plus 365 days is at most `tolerance_days` before it: points meet in buckets
+    one tolerance wide, so this is an equi-join. tolerance_days = 0 pairs exact times only. A null series is a series.
     """
-    keys = list(series)
-    known = df.filter(value_of(df, value).isNotNull()).select(*map(col, keys), col(ts).alias("t"), col(value).alias("e"), seconds(col(ts)).cast("long").alias("s"))
-    start = known.groupBy(*keys).agg(F.min("s").alias("start_")) if keys else known.agg(F.min("s").alias("start_"))
-    timed = known.join(start, keys) if keys else known.crossJoin(F.broadcast(start))
-    first = timed.filter(F.col("s") < F.col("start_") + recentre_days * 86400)
-    centre = exact_quantiles(first, "e", [0.5], keys).select(*keys, F.col("q")[0].alias("c_"))
-    base = known.join(centre, keys) if keys else known.crossJoin(F.broadcast(centre))
-    base = base.withColumn("e", F.try_divide("e", "c_")).filter("e is not null").drop("c_")  # a median of 0 gives no rates
+    keys = [f"series_{i}" for i in range(len(series))]
+    known = df.filter(value_of(df, value).isNotNull()).select(*(col(c).alias(k) for c, k in zip(series, keys)), col(ts).alias("t"), col(value).cast("double").alias("e"), seconds(col(ts)).cast("long").alias("s"))
+    base = known
+    if recentre_days is not None:
+        start = known.groupBy(*keys).agg(F.min("s").alias("start_"))
+        first = beside(known, held(start), keys).filter(F.col("s") < F.col("start_") + recentre_days * 86400)
+        centre = exact_quantiles(first, "e", [0.5], keys).select(*keys, F.col("q")[0].alias("c_"))
+        base = beside(known, held(centre), keys)
+        base = base.withColumn("e", F.try_divide("e", "c_")).filter("e is not null").drop("c_")  # a median of 0 gives no rates
     width = max(1, tolerance_days * 86400)
     later = base.withColumn("b_", F.floor(F.col("s") / width))
     due = F.col("s0") + int(YEAR_365)
     earlier = base.select(*keys, F.col("t").alias("t0"), F.col("e").alias("e0"), F.col("s").alias("s0"))
-    earlier = earlier.withColumn("b_", F.explode(F.array(F.floor(due / width), F.floor(due / width) + 1)))
-    pairs = later.join(earlier, [*keys, "b_"]).filter((due <= F.col("s")) & (F.col("s") - due <= tolerance_days * 86400))
-    best = pairs.groupBy(*keys, "t", "e", "s").agg(F.max_by(F.struct("t0", "e0", "s0"), "s0").alias("o"))
+    earlier = earlier.withColumn("b0_", F.explode(F.array(F.floor(due / width), F.floor(due / width) + 1)))
+    earlier = earlier.withColumnsRenamed({k: f"{k}_0" for k in keys})
+    met = (F.col("b_") == F.col("b0_")) & (due <= F.col("s")) & (F.col("s") - due <= tolerance_days * 86400)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"{k}_0"))
+    best = later.join(earlier, met).groupBy(*keys, "t", "e", "s").agg(F.max_by(F.struct("t0", "e0", "s0"), "s0").alias("o"))
     rate = 100 * (F.col("e") - F.col("o.e0")) / ((F.col("s") - F.col("o.s0")) / YEAR_365)
-    return best.select(*keys, F.col("t").alias("ts"), F.col("o.t0").alias("earlier_ts"), rate.alias("rate"))
-
-
-def degradation(rates: DataFrame, series: Sequence[str] = (), resamples: int = 200, level: float = 68.2, seed: int = 1) -> DataFrame:
-    """Median rate and a bootstrap interval: each replicate weighs every pair by a Poisson draw from a hash.
-
-    Weights come from the pair and the replicate alone, so reruns and repartitionings agree.
-    """
-    draw = F.pmod(F.xxhash64("ts", "earlier_ts", "replicate", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.when(draw < 0.36788, 0).when(draw < 0.73576, 1).when(draw < 0.91970, 2).when(draw < 0.98101, 3).otherwise(4)
-    many = rates.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight).filter("w > 0")
-    medians = many.groupBy(*series, "replicate").agg(F.percentile("rate", F.lit(0.5), F.col("w")).alias("m"))
-    low, high = (100 - level) / 200, (100 + level) / 200
-    ci = medians.groupBy(*series).agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
-    found = exact_quantiles(rates, "rate", [0.5], series).select(*series, F.col("q")[0].alias("rate"), F.col("n").alias("pairs"))
-    return found.join(ci, list(series)) if series else found.crossJoin(F.broadcast(ci))
+    return best.select(*(F.col(k).alias(c) for c, k in zip(series, keys)), F.col("t").alias("ts"), F.col("o.t0").alias("earlier_ts"), rate.alias("rate"))
 
 
 def yearly_minimum_mean(df: DataFrame, ts: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    yearly = df.groupBy(*map(col, by), F.year(col(ts)).alias("year")).agg(F.min(col(value)).alias("least"))
+    yearly = df.groupBy(*map(col, by), F.year(col(ts)).alias("year")).agg(F.min(value_of(df, value)).alias("least"))
     return yearly.groupBy(*map(col, by)).agg(F.avg("least").alias("mean_minimum"), F.min("least").alias("minimum"))
 
 
@@ -158,6 +175,7 @@ def around_argmax(df: DataFrame, series: Sequence[str], order: Sequence[str], va
     order: a time first, then what decides among equal times.
     """
     placed = numbered(df, series, order, "place_")
-    top = placed.groupBy(*map(col, series)).agg(F.max_by("place_", F.struct(col(value), -F.col("place_"))).alias("top_"))
-    out = placed.join(top, list(series)).withColumn("offset", F.col("place_") - F.col("top_"))
+    v = value_of(df, value)
+    top = placed.filter(v.isNotNull()).groupBy(*map(col, series)).agg(F.max_by("place_", F.struct(v, -F.col("place_"))).alias("top_"))
+    out = beside(placed, held(top), series).withColumn("offset", F.col("place_") - F.col("top_"))
     return out.filter(F.abs("offset") <= rows).drop("place_", "top_")

@@ -5,7 +5,9 @@ Everything returns a lazy predicate, so Catalyst merges the parts and pushes the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -43,8 +45,9 @@ class FilterSpec:
         for c, (yes, no) in self.texts.items():
             parts.append(any_of([reported(col(c))] * yes + [~reported(col(c))] * no))
         for c, (yes, no, low, high) in self.amounts.items():
-            inside = reduce(Column.__and__, bounds(c, (low or 0) * 1e3, high * 1e3 if high else None), col(c).isNotNull())
-            parts.append(any_of([inside] * yes + [col(c).isNull()] * no))
+            unknown = col(c).isNull() | F.isnan(col(c))
+            inside = reduce(Column.__and__, bounds(c, (low or 0) * 1e3, high * 1e3 if high else None), ~unknown)
+            parts.append(any_of([inside] * yes + [unknown] * no))
         return all_of(parts)
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -65,54 +68,172 @@ def any_of(parts: Sequence[Column]) -> Column:
     return reduce(Column.__or__, parts, F.lit(False))
 
 
-#: What each operator of a leaf makes of a column and a value.
+#: What each operator of a leaf makes of a column and a value of the same type.
 OPERATORS = {
-    "==": lambda c, v: c.eqNullSafe(F.lit(v)),
-    "!=": lambda c, v: ~c.eqNullSafe(F.lit(v)),
+    "==": lambda c, v: c.eqNullSafe(v),
+    "!=": lambda c, v: ~c.eqNullSafe(v),
     ">": lambda c, v: c > v,
     "<": lambda c, v: c < v,
     ">=": lambda c, v: c >= v,
     "<=": lambda c, v: c <= v,
 }
+#: What can be wrong with a leaf.
+NO_COLUMN, NO_OPERATOR, NEVER, BAD_PATTERN = "unknown column", "unknown operator", "the value never compares with this type", "not a regular expression"
+LONG = 1 << 63
 
 
-def _typed(df: DataFrame, name: str, value: Any) -> tuple[Column, Any] | None:
-    """Column and value in types that compare: a number meets text as a number. None if the value never compares."""
-    kind, c = df.schema[name].dataType, value_of(df, name)
-    if isinstance(kind, T.StringType):
-        return (c.try_cast("double"), value) if isinstance(value, (int, float)) and not isinstance(value, bool) else (c, None if value is None else str(value))
-    if isinstance(kind, T.NumericType) and isinstance(value, str):
+def _number(value: Any) -> int | float | None:
+    """A value as a number that compares: booleans are 1 and 0, text is read; NaN and other things are none."""
+    if isinstance(value, str):
         try:
-            return c, float(value)
+            value = float(value)
         except ValueError:
             return None
-    if isinstance(kind, T.BooleanType) and isinstance(value, str):
-        known = {"true": True, "false": False}.get(value.strip().lower())
-        return None if known is None else (c, known)
-    return c, value
+    if isinstance(value, bool):
+        return int(value)
+    if isinstance(value, int):
+        return value if -LONG <= value < LONG else float(value) if abs(value) < 1 << 1023 else None
+    return value if isinstance(value, float) and value == value else None
+
+
+def _time(value: Any) -> dt.datetime | None:
+    """A time from a date, a time or ISO text; one with a zone is brought to UTC."""
+    if isinstance(value, str):
+        try:
+            value = dt.datetime.fromisoformat(value.strip())
+        except ValueError:
+            return None
+    if isinstance(value, dt.datetime):
+        return value.astimezone(dt.timezone.utc).replace(tzinfo=None) if value.tzinfo else value
+    return dt.datetime(value.year, value.month, value.day) if isinstance(value, dt.date) else None
+
+
+def _compared(df: DataFrame, name: str, value: Any) -> tuple[Column, Column] | None:
+    """Column and literal in one type, so that no comparison fails at run time; None if they never compare."""
+    kind, c = df.schema[name].dataType, value_of(df, name)
+    if value is None:
+        return c, F.lit(None).cast(kind)
+    if isinstance(kind, T.StringType):
+        if isinstance(value, str):
+            return c, F.lit(value)
+        number = None if isinstance(value, bool) else _number(value)
+        return None if number is None else (c.try_cast("double"), F.lit(float(number)))
+    if isinstance(kind, T.BooleanType):
+        word = {"true": True, "false": False}.get(value.strip().lower()) if isinstance(value, str) else value
+        if isinstance(word, bool):
+            return c, F.lit(word)
+        number = _number(word) if isinstance(word, (int, float)) else None
+        return None if number is None else (c.cast("int").cast("double"), F.lit(float(number)))
+    if isinstance(kind, T.NumericType):
+        number = _number(value)
+        return None if number is None else (c, F.lit(number))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        time = _time(value)
+        if time is None:
+            return None
+        stamp = time.isoformat(sep=" ")
+        if isinstance(kind, T.TimestampType):
+            return c, F.lit(stamp + "+00:00" * _zoned(value)).cast("timestamp")
+        return c.cast("timestamp_ntz"), F.lit(stamp).cast("timestamp_ntz")
+    if isinstance(kind, T.ArrayType) and isinstance(value, (list, tuple)):
+        return _listed(kind, c, value)
+    return None
+
+
+def _zoned(value: Any) -> bool:
+    if isinstance(value, str):
+        value = dt.datetime.fromisoformat(value.strip())
+    return isinstance(value, dt.datetime) and value.tzinfo is not None
+
+
+def _listed(kind: T.ArrayType, c: Column, value: Sequence[Any]) -> tuple[Column, Column] | None:
+    """A list of texts, numbers or booleans beside a literal of the same type."""
+    inner = kind.elementType
+    fits = (isinstance(inner, T.StringType) and str) or (isinstance(inner, T.BooleanType) and bool) or (isinstance(inner, T.NumericType) and (int, float))
+    if not fits or any(x is not None and (not isinstance(x, fits) or (isinstance(x, bool) and fits is not bool)) for x in value):
+        return None
+    target = "double" if isinstance(inner, T.NumericType) else inner.simpleString()
+    return c.cast(f"array<{target}>"), F.array(*(F.lit(x).cast(target) for x in value)).cast(f"array<{target}>")
+
+
+def problem_of(df: DataFrame, node: dict, regex: bool = False) -> str | None:
+    """Why a leaf cannot do what it says, or None."""
+    name, operator, value = node.get("column"), node.get("operator"), node.get("value")
+    if name not in df.columns:
+        return NO_COLUMN
+    if operator == "contains":
+        return BAD_PATTERN if regex and not _pattern(value) else None
+    if operator not in OPERATORS:
+        return NO_OPERATOR
+    return NEVER if _compared(df, name, value) is None else None
+
+
+def _pattern(value: Any) -> bool:
+    try:
+        re.compile(str(value))
+        return True
+    except re.error:
+        return False
 
 
 def leaf(df: DataFrame, node: dict, regex: bool = False) -> Column:
-    """A test of one column. An unknown column or operator passes every row; a null or NaN passes only "!=".
+    """A test of one column that never fails at run time, whatever the types.
 
-    Text meets a number as a number, and text that is none passes only "!="; so does every row if the value is no
-    number but the column has numbers.
+    An unknown column or operator passes every row; a null or NaN passes only "!=". Numbers meet text that is one, dates
+    and times meet ISO text, booleans meet true, false and numbers, lists meet lists; a value that cannot be brought to
+    the column's type passes with "!=" only. `findings` names such leaves.
 
-    regex: "contains" takes its value as a regular expression, else as plain text; both ignore case.
+    regex: "contains" takes its value as a regular expression (as plain text if it is none); both ignore case.
     """
     name, operator, value = node.get("column"), node.get("operator"), node.get("value")
     if name not in df.columns:
         return F.lit(True)
-    c = col(name)
     if operator == "contains":
-        text = c.cast("string")
-        found = text.rlike(f"(?i){value}") if regex else F.lower(text).contains(str(value).lower())
+        text = _as_text(df, name)
+        found = text.rlike(f"(?i){value}") if regex and _pattern(value) else F.lower(text).contains(str(value).lower())
         return F.coalesce(found, F.lit(False))
     test = OPERATORS.get(operator)
     if test is None:
         return F.lit(True)
-    typed = _typed(df, name, value)
-    return F.lit(operator == "!=") if typed is None else F.coalesce(test(*typed), F.lit(False))
+    both = _compared(df, name, value)
+    return F.lit(operator == "!=") if both is None else F.coalesce(test(*both), F.lit(False))
+
+
+def _as_text(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    return F.to_json(col(name)) if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) else col(name).cast("string")
+
+
+def leaves(node: dict | None, path: str = "") -> Iterator[tuple[str, dict]]:
+    """The leaves of a tree with their places, such as 0.2 for the third condition of the first one."""
+    if not node:
+        return
+    if "logic" not in node and "conditions" not in node:
+        yield path, node
+        return
+    for i, child in enumerate(node.get("conditions") or ()):
+        yield from leaves(child, f"{path}.{i}" if path else str(i))
+
+
+def findings(df: DataFrame, node: dict | None, regex: bool = False) -> DataFrame:
+    """One row for each leaf, in order: place, column, operator, value (as text), type, problem, and the rows it passes.
+
+    All leaves are counted in one pass over the table.
+    """
+    each = list(leaves(node))
+    schema = "place string, column string, operator string, value string, type string, problem string, passes long"
+    if not each:
+        return df.sparkSession.createDataFrame([], schema)
+    counts = df.agg(*(F.count_if(leaf(df, x, regex)).alias(f"n{k}") for k, (_, x) in enumerate(each)))
+    text = lambda x: F.lit(None if x is None else str(x)).cast("string")
+    rows = [
+        F.struct(
+            F.lit(place).alias("place"), text(x.get("column")).alias("column"), text(x.get("operator")).alias("operator"), text(x.get("value")).alias("value"),
+            text(df.schema[x["column"]].dataType.simpleString() if x.get("column") in df.columns else None).alias("type"), text(problem_of(df, x, regex)).alias("problem"), F.col(f"n{k}").alias("passes"),
+        )
+        for k, (place, x) in enumerate(each)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def tree(df: DataFrame, node: dict | None, regex: bool = False) -> Column:

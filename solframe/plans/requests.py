@@ -10,11 +10,13 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, value_of
+from ..operators.ranks import exact_quantiles
 from .predicates import filter_tree
+from .scratch import beside
 
 #: The required quantities.
 REQUIRED = ("Power", "Time", "DC Voltage", "DC Current")
@@ -39,6 +41,26 @@ def bind_columns(names: Sequence[str], required: Sequence[str] = REQUIRED) -> di
     return bound
 
 
+def binding(names: Column, required: Sequence[str] = REQUIRED) -> Column:
+    """As `bind_columns` for a column with an array of names: an array of (metric, variable)."""
+    out, used = [], F.array().cast("array<string>")
+    for metric in required:
+        hits = [_first(names, p, used) for p in ALIASES.get(metric, (re.escape(metric.lower()),))]
+        out.append(F.struct(F.lit(metric).alias("metric"), F.coalesce(*hits, F.lit(NONE)).alias("variable")))
+        used = F.array_compact(F.concat(used, F.array(F.coalesce(*hits))))
+    return F.array(*out)
+
+
+def _first(names: Column, pattern: str, used: Column) -> Column:
+    """The first name that matches, ignoring case and punctuation, and isn't used."""
+
+    def fits(n: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(n), "[^a-z0-9]+", " "))
+        return plain.rlike(f"^(?:{pattern})$") & ~F.array_contains(used, n)
+
+    return F.get(F.filter(names, fits), F.lit(0))
+
+
 def missing_essentials(bound: dict[str, str]) -> list[str]:
     """Of Power and Time, those without a column."""
     return [m for m in ("Power", "Time") if bound.get(m, NONE) == NONE]
@@ -58,9 +80,15 @@ def fill_required(found: DataFrame, required: Sequence[str], metric: str = "metr
 METRICS = {"count": F.count, "mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_samp}
 
 
+def _quantile(metric: str) -> float | None:
+    """The share of a quantile by its name: median, or p and a percentage such as p90 or p99.5."""
+    found = re.fullmatch(r"p(\d{1,2}(?:\.\d+)?|100)", metric)
+    return 0.5 if metric == "median" else float(found[1]) / 100 if found else None
+
+
 @dataclass(frozen=True)
 class AnalysisSpec:
-    """filter: a predicate tree; metrics: names out of METRICS; columns: to measure; by: to group by."""
+    """filter: a predicate tree; metrics: names out of METRICS, median, or p90 and the like; columns; by: to group by."""
 
     metrics: Sequence[str]
     columns: Sequence[str]
@@ -68,9 +96,14 @@ class AnalysisSpec:
     filter: dict | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """A row for each group, a column `<metric>_<column>` for each pair. NaN is no value."""
-        unknown = set(self.metrics) - METRICS.keys()
+        """A row for each group, a column `<metric>_<column>` for each pair. NaN is no value; quantiles are exact."""
+        unknown = [m for m in self.metrics if m not in METRICS and _quantile(m) is None]
         if unknown:
             raise ValueError(f"unknown metrics: {sorted(unknown)}")
         rows = filter_tree(df, self.filter)
-        return rows.groupBy(*map(col, self.by)).agg(*(METRICS[m](value_of(df, c)).alias(f"{m}_{c}") for c in self.columns for m in self.metrics))
+        plain, ranked = [m for m in self.metrics if m in METRICS], [m for m in self.metrics if m not in METRICS]
+        out = rows.groupBy(*map(col, self.by)).agg(F.count(F.lit(1)).alias("rows_"), *(METRICS[m](value_of(df, c)).alias(f"{m}_{c}") for c in self.columns for m in plain))
+        for c in self.columns if ranked else ():
+            found = exact_quantiles(rows, c, [_quantile(m) for m in ranked], self.by)
+            out = beside(out, found.select(*map(col, self.by), *(F.col("q")[i].alias(f"{m}_{c}") for i, m in enumerate(ranked))), self.by, "left")
+        return out.select(*map(col, self.by), *(col(f"{m}_{c}") for c in self.columns for m in self.metrics))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import climate, curves, geo, modules, stats, timeseries
+from .operators import bootstrap, climate, curves, geo, modules, stats, timeseries
 from .plans import requests
 from .plans.predicates import FilterSpec, exclude, filter_tree, restrict
 from .sources import readers, sinks
@@ -399,10 +399,85 @@ def yoy_asof_tolerance(t):
     return _rates(t, 8)
 
 
-@query()
-def degradation_rate(t):
+RATES = _yoy(8).replace("SELECT series, s AS ts, s0 AS earlier, round(100 * (e - e0) / ((s - s0) / 31536000.0), 4) AS rate FROM p", "rates AS (SELECT series, s, s0, 100 * (e - e0) / ((s - s0) / 31536000.0) AS rate FROM p)").rstrip() + ", "
+RATES = RATES.replace("\nrates AS", ",\nrates AS")
+ENDS = """med AS (SELECT series, r, quantile_cont(rate, 0.5) AS q FROM x GROUP BY 1, 2),
+ci AS (SELECT series, quantile_cont(q, 0.159) AS low, quantile_cont(q, 0.841) AS high, quantile_cont(q, 0.05) AS level FROM med GROUP BY 1),
+fin AS (SELECT series, quantile_cont(rate, 0.5) AS rate, count(*) AS pairs FROM rates GROUP BY 1)
+SELECT fin.series, round(rate, 4) AS rate, pairs, round(low, 4) AS low, round(high, 4) AS high, round(level, 4) AS exceedance_level FROM fin LEFT JOIN ci ON fin.series IS NOT DISTINCT FROM ci.series"""
+
+
+def _hash(x: str) -> str:
+    """The integer mix of `bootstrap.hashed` in SQL."""
+    a = f"((({x}) % 2147483648 * 1103515245 + 12345) % 2147483648)"
+    b = f"((xor({a}, {a} >> 16) * 1540483477 + 7) % 2147483648)"
+    return f"xor({b}, {b} >> 15)"
+
+
+def _interval(t, method: str) -> DataFrame:
     rates = timeseries.year_on_year(_daily(t), ["series"], "ts", "value", 8)
-    return timeseries.degradation(rates, ["series"], resamples=50)
+    return bootstrap.interval(rates, ["series"], method=method).select("series", r("rate").alias("rate"), "pairs", *(r(c).alias(c) for c in ("low", "high", "exceedance_level")))
+
+
+@query(f"""{RATES}h AS (SELECT series, rate, {_hash('s % 2147483648 + 1000003')} AS h FROM rates), u AS (SELECT series, rate, g.r, {_hash('h + g.r * 7919')} AS u FROM h, range(1, 201) g(r)),
+x AS (SELECT series, r, rate FROM (SELECT *, (u >= 790015084)::INT + (u >= 1580030169)::INT + (u >= 1975037711)::INT + (u >= 2106706892)::INT + (u >= 2139624187)::INT + (u >= 2146207646)::INT AS w FROM u), unnest(range(w)) k(i)),
+{ENDS}""")
+def degradation_rate(t):
+    """Median rate, interval and exceedance level from 200 resamples of single pairs."""
+    return _interval(t, "simple")
+
+
+@query(f"""{RATES}span AS (SELECT series, floor(min(s) / 86400)::BIGINT AS f, floor(max(s) / 86400)::BIGINT - floor(min(s) / 86400)::BIGINT + 1 AS d FROM rates GROUP BY 1),
+dr AS (SELECT series, d, g.r, b, {_hash(_hash('g.r * 100003 + 1') + ' + b * 7919')} % d AS st FROM span, range(1, 201) g(r), unnest(range(1, ceil(d / 30.0)::BIGINT + 1)) k(b) WHERE d > 90),
+w AS (SELECT series, r, (st + z.o) % d AS day, count(*) AS w FROM dr, range(30) z(o) GROUP BY 1, 2, 3),
+x AS (SELECT series, r, rate FROM (SELECT rates.series, w.r, rates.rate, w.w FROM rates JOIN span USING (series) JOIN w ON w.series = rates.series AND w.day = floor(s / 86400)::BIGINT - f), unnest(range(w)) k(i)),
+{ENDS}""")
+def degradation_rate_blocks(t):
+    """The same from circular blocks of 30 days."""
+    return _interval(t, "circular_block")
+
+
+@query(f"""{RATES}u AS (SELECT series, s FROM rates UNION ALL SELECT series, s0 FROM rates), used AS (SELECT series, s, count(*) AS n FROM u GROUP BY 1, 2)
+SELECT d.series, d.ts::DATE::VARCHAR AS day, coalesce(n, 0) AS usage FROM daily d LEFT JOIN used ON used.series = d.series AND used.s = epoch(d.ts)::BIGINT""")
+def usage_of_points(t):
+    daily = _daily(t)
+    rates = timeseries.year_on_year(daily, ["series"], "ts", "value", 8)
+    return bootstrap.usage_of_points(daily, rates, ["series"], "ts").select("series", F.to_date("ts").cast("string").alias("day"), "usage")
+
+
+def _unnamed(t) -> DataFrame:
+    """Daily series of which one has no name, with NaN on every seventh day of the month."""
+    value = F.when(F.dayofmonth("ts") % 7 == 0, float("nan")).otherwise(F.col("value"))
+    return _daily(t).withColumn("series", F.when(F.col("series") != "O", F.col("series"))).withColumn("value", value)
+
+
+UNNAMED = "u AS (SELECT ts, nullif(series, 'O') AS series, CASE WHEN day(ts) % 7 <> 0 THEN value END AS value FROM daily)"
+
+
+@query(f"""WITH {DAILY}, {UNNAMED}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, value) AS nth, count(*) OVER (PARTITION BY series) AS n FROM u WHERE value IS NOT NULL),
+b AS (SELECT series, avg(value) FILTER (WHERE nth <= greatest(1, floor(n * 0.1))) AS baseline, min(ts) AS t0 FROM n GROUP BY 1)
+SELECT u.series, epoch_us(ts) AS ts, round(baseline, 5) AS baseline, round(baseline - 0.005 * baseline * epoch(ts - t0) / (365.25 * 86400), 5) AS trend FROM u JOIN b ON u.series IS NOT DISTINCT FROM b.series""")
+def trend_null_series(t):
+    out = timeseries.trend(_unnamed(t), ["series"], "ts", "value", -0.5)
+    return out.select("series", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), r("baseline", 5).alias("baseline"), r("trend", 5).alias("trend"))
+
+
+@query(f"""WITH {DAILY}, {UNNAMED}, s AS (SELECT coalesce(series, '') AS series, epoch(ts)::BIGINT AS s, value FROM u WHERE value IS NOT NULL), f AS (SELECT series, min(s) AS s0 FROM s GROUP BY 1),
+c AS (SELECT series, quantile_cont(value, 0.5) AS c FROM s JOIN f USING (series) WHERE s < s0 + 364 * 86400 GROUP BY 1), e AS (SELECT series, s, value / c AS e FROM s JOIN c USING (series)),
+p AS (SELECT a.series, a.s, arg_max(b.s, b.s) AS s0, arg_max(b.e, b.s) AS e0, any_value(a.e) AS e FROM e a JOIN e b ON a.series = b.series AND b.s + 31536000 <= a.s AND a.s - b.s - 31536000 <= 8 * 86400 GROUP BY 1, 2)
+SELECT nullif(series, '') AS series, s AS ts, s0 AS earlier, round(100 * (e - e0) / ((s - s0) / 31536000.0), 4) AS rate FROM p""")
+def yoy_null_series(t):
+    s = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return timeseries.year_on_year(_unnamed(t), ["series"], "ts", "value", 8).select("series", s("ts").alias("ts"), s("earlier_ts").alias("earlier"), r("rate").alias("rate"))
+
+
+@query("""WITH o AS (SELECT nullif(o_orderstatus, 'O') AS status, o_orderdate, o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS price FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY o_orderdate, o_orderkey) AS p FROM o), m AS (SELECT status, arg_max(p, (price, -p)) AS top FROM n WHERE price IS NOT NULL GROUP BY 1)
+SELECT n.status, o_orderkey, p - top AS "offset" FROM n JOIN m ON n.status IS NOT DISTINCT FROM m.status WHERE abs(p - top) <= 10""")
+def argmax_null_series(t):
+    price = F.when(F.col("o_orderkey") % 13 == 0, float("nan")).otherwise(F.col("o_totalprice"))
+    o = t("orders").select(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"), "o_orderdate", "o_orderkey", price.alias("price"))
+    return timeseries.around_argmax(o, ["status"], ["o_orderdate", "o_orderkey"], "price", 10).select("status", "o_orderkey", long(F.col("offset")).alias("offset"))
 
 
 @query("SELECT o_orderstatus, round(avg(least), 4) AS mean_minimum, min(least) AS minimum FROM (SELECT o_orderstatus, year(o_orderdate) AS y, min(o_totalprice) AS least FROM orders GROUP BY 1, 2) GROUP BY 1")

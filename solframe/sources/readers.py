@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clean_floats
+from ..operators.ranks import row_ids
+from ..plans.schemas import conform
 
 #: Header names of weather files, and ours.
 WEATHER_NAMES = {"Year": "year", "Month": "month", "Day": "day", "Hour": "hour", "Minute": "minute", "DNI": "dni", "GHI": "ghi", "DHI": "dhi", "Temperature": "temp_air", "Wind Speed": "wind_speed"}
@@ -39,6 +41,21 @@ def csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str |
     return clean_floats((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
 
 
+def declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV, JSON or Parquet table in a declared schema; what doesn't fit is kept in RESCUED, see `schemas.conform`.
+
+    CSV fields are read as text and cast, so no pass infers types. JSON and Parquet keep the types of their files until then.
+    """
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "parquet":
+        raw = spark.read.parquet(path)
+    elif kind == "json":
+        raw = spark.read.option("primitivesAsString", True).json(path)
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    return conform(raw, schema)
+
+
 def table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Dispatch on the extension. Pickles are refused: loading one runs code."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -54,8 +71,9 @@ def table(spark: SparkSession, path: str, schema: T.StructType | str | None = No
 def weather_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Weather files: names and values of the metadata on lines 1 and 2, the data's header on line 3.
 
-    Columns: path, metadata (map), pos, the columns of WEATHER_NAMES, interval_min (30 or 60, from the first two rows)
-    and ts, regenerated from 1 January of the first row's year at that interval.
+    Columns: path, metadata (map), pos, the columns of WEATHER_NAMES, interval_min (30 or 60, from the first two rows),
+    ts, regenerated from 1 January of the first row's year at that interval, and utc_ts, moved by the metadata's Time
+    Zone (hours). problem says why ts or utc_ts is null: other intervals are not understood, nor is a zone without number.
     """
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n").alias("lines"))
     cells = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x))
@@ -66,7 +84,10 @@ def weather_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = heads.select("path", "metadata", "names", "interval_min", "year0", F.posexplode("body").alias("pos", "line")).withColumn("cells", cells(F.col("line")))
     named = [F.get("cells", F.array_position("names", n).cast("int") - 1).try_cast("int" if o in ("year", "month", "day", "hour", "minute") else "double").alias(o) for n, o in WEATHER_NAMES.items()]
     ts = F.make_timestamp_ntz("year0", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(mins=F.col("pos") * F.col("interval_min"))
-    return rows.select("path", "metadata", "pos", *named, "interval_min", ts.alias("ts"))
+    zone = F.try_element_at("metadata", F.lit("Time Zone")).try_cast("double")
+    utc = ts - F.make_dt_interval(mins=F.round(zone * 60).cast("int"))
+    problem = F.when(F.col("interval_min").isNull(), "interval not understood").when(zone.isNull(), "no time zone")
+    return rows.select("path", "metadata", "pos", *named, "interval_min", ts.alias("ts"), utc.alias("utc_ts"), problem.alias("problem"))
 
 
 def span_years(weather: DataFrame) -> DataFrame:
@@ -75,11 +96,15 @@ def span_years(weather: DataFrame) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, folder: str, pattern: str, names: Sequence[str], glob: str = "*") -> DataFrame:
-    """Files of a folder tree whose names match: one column for each group of `pattern`, and path. No content is read."""
+    """Files of a folder tree whose names match: row_id, one column for each group of `pattern`, and path.
+
+    Rows are sorted by the first group, then the path, and numbered from 0. No content is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path")
     kinds = {"location_id": "bigint", "lat": "double", "lon": "double", "year": "int"}
     found = files.filter(F.col("path").rlike(pattern))
-    return found.select(*(F.regexp_extract("path", pattern, k + 1).cast(kinds.get(n, "string")).alias(n) for k, n in enumerate(names)), "path").orderBy(*names[:1], "path")
+    named = found.select(*(F.regexp_extract("path", pattern, k + 1).cast(kinds.get(n, "string")).alias(n) for k, n in enumerate(names)), "path")
+    return row_ids(named, [*names[:1], "path"]).select("row_id", *names, "path").orderBy("row_id")
 
 
 def weather_catalogue(spark: SparkSession, folder: str) -> DataFrame:

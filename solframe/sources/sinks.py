@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sections import Section, lines
+
 
 def parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.partitionBy(*partition_by).parquet(path)
@@ -17,16 +19,12 @@ def csv(df: DataFrame, path: str) -> None:
 
 
 def stacked(parameters: DataFrame, data: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Text files: a section of parameters, then the data, each under its header; files in order make one text."""
-    spark = data.sparkSession
-
-    head = lambda df, s: spark.createDataFrame([(s, 0, ",".join(df.columns))], "s int, h int, line string")
-    text = lambda df: F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
-    parts = head(parameters, 0).unionByName(parameters.select(F.lit(0).alias("s"), F.lit(1).alias("h"), text(parameters).alias("line")))
-    nulls = [F.lit(None).cast(dict(data.dtypes)[c]).alias(f"o_{c}") for c in order]
-    parts = parts.unionByName(head(data, 1)).select("*", *nulls)
-    body = data.select(F.lit(1).alias("s"), F.lit(1).alias("h"), text(data).alias("line"), *(F.col(c).alias(f"o_{c}") for c in order))
-    parts.unionByName(body).orderBy("s", "h", *(f"o_{c}" for c in order)).select("line").write.text(path)
+    """Text files: a row of parameters, then the data, each under its header; files in order make one text.
+
+    Values with commas or quotes are quoted. For more sections, titles and reading back see `sections`.
+    """
+    parts = [Section("", parameters, parameters.columns[:1]), Section("", data, order)]
+    lines(parts).filter("place > -2").orderBy("section", "place").select("line").write.text(path)
 
 
 def formatted(df: DataFrame, formats: dict[str, str]) -> DataFrame:

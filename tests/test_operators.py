@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from solframe.functions import scalars
-from solframe.operators import curves, geo, modules, stats, timeseries
+from solframe.operators import bootstrap, curves, geo, modules, stats, timeseries
 from solframe.plans.predicates import FilterSpec, filter_tree, restrict
 from solframe.sources import readers, sinks
 from solframe.streaming import windows
@@ -133,7 +133,7 @@ def test_curve_corrections_without_change(spark):
 def test_year_on_year_recovers_a_rate(spark):
     days = spark.range(0, 1500, 14).select(F.timestamp_seconds(F.lit(1_500_000_000) + F.col("id") * 86400).alias("ts"), (1 - 0.01 * F.col("id") / 365).alias("v"))
     rates = timeseries.year_on_year(days, [], "ts", "v", 15, 30)
-    found = timeseries.degradation(rates, resamples=20).first()
+    found = bootstrap.interval(rates, resamples=20).first()
     assert found["rate"] == pytest.approx(-1.0, abs=0.02) and found["low"] <= found["rate"] <= found["high"]
 
 

@@ -1,5 +1,6 @@
 import pytest
 
+import solframe.queries_data  # noqa: F401  adds its queries
 from solframe.queries import QUERIES, SQL
 
 from .helpers import compare
