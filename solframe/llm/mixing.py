@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, fresh, n_words, prefix_sums, same
+from .common import cut, fresh, n_words, prefix_sums, same, small
 
 #: Weights of the sources in code-point order (null last), repeated; the share of all words to take; the most passes.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
@@ -58,7 +59,7 @@ def _point(k: Column) -> Column:
 
 
 def schedule(sources: DataFrame, block: int, n_slots: int) -> DataFrame:
-    """One row for each slot that takes words: source, k (place in the schedule), rank (from 0), block_no, words.
+    """One row for each slot that takes words: source, k (place in the schedule), rank (from 0), block_no, words, pass.
 
     sources: source, source_size, want (whole words to take), low and high (its interval of [0, 1)).
     """
@@ -86,22 +87,28 @@ def schedule(sources: DataFrame, block: int, n_slots: int) -> DataFrame:
     )
     start = F.col("pass") * F.col("source_size") + F.col("block_no") * block
     length = F.least(F.lit(block), F.col("source_size") - F.col("block_no") * block, F.col("want") - start)
-    return full.select("source", "k", "rank", "block_no", length.cast("long").alias("words"))
+    return full.select("source", "k", "rank", "block_no", length.cast("long").alias("words"), "pass")
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """One row for each row of `docs`: doc_id, size, source_size, target, taken, first_slot.
+    """One row for each row of `docs`: doc_id, size, source_size, target, taken, first_slot, slots.
 
-    first_slot is the document's place in the mix: the first slot of the schedule that takes words of it, null where
-    none does. taken counts the words that the mix takes from the document, repeats included: `PASSES` times its size at most.
+    slots are the document's places in the mix, one for each pass in which words of it are taken: the first slot of the
+    schedule that does so; first_slot is the first of them, null where no slot takes words of it. taken counts the words
+    that the mix takes from the document, repeats included: `PASSES` times its size at most.
     Each source's taken words add up to its target, rounded down. A null text has no words; a null source is a source
     of its own, the last; documents without words take nothing; repeated rows are documents of their own; an empty
     table gives no rows; other columns play no part. The order within a source is a hash of doc_id, so reruns agree.
     """
+    return _mixed(docs, text, doc_id, source, block).select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"), "slots")
+
+
+def _mixed(docs: DataFrame, text: str, doc_id: str, source: str, block: int, own: Column | None = None) -> DataFrame:
+    """The columns of `mix`, and own: a hash by which the caller knows a row."""
     rows = cut(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-            F.xxhash64(F.col(doc_id), F.lit("mix")).alias("h"), F.monotonically_increasing_id().alias("row"),
+            F.xxhash64(F.col(doc_id), F.lit("mix")).alias("h"), F.monotonically_increasing_id().alias("row"), (F.lit(0).cast("long") if own is None else own).alias("own"),
         )
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
@@ -111,7 +118,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     upto = Window.orderBy(F.col("source").isNull(), "source")
     share = F.col("target") / F.lit(wanted or 1.0)
     sources = cut(sources.withColumn("want", F.floor("target").cast("long")).withColumn("high", F.sum(share).over(upto)).withColumn("low", F.col("high") - share))
-    slots = schedule(sources, block, n_slots).select(F.col("source").alias("slot_source"), F.col("block_no").alias("slot_block"), "words", "k")
+    slots = schedule(sources, block, n_slots).select(F.col("source").alias("slot_source"), F.col("block_no").alias("slot_block"), "words", "k", "pass")
 
     buckets = 1 << max(0, (n_rows // BUCKET).bit_length())
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets.bit_length() + 1) if buckets > 1 else F.lit(0).cast("long"))
@@ -127,20 +134,30 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         F.least(F.col("at") + F.col("size") - F.col("block_no") * block, F.lit(block)).alias("to"),
     )
     took = pieces.join(slots, pieces["source"].eqNullSafe(slots["slot_source"]) & (pieces["block_no"] == slots["slot_block"]) & (pieces["from"] < slots["words"]))
-    taken = took.groupBy("row").agg(F.sum(F.least("to", "words") - F.col("from")).alias("taken"), F.min("k").alias("first_slot"))
-    with_taken = rows.join(taken, "row", "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    passes = took.groupBy("row", "pass").agg(F.sum(F.least("to", "words") - F.col("from")).alias("taken"), F.min("k").alias("k"))
+    taken = passes.groupBy("row").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list("k")).alias("slots"))  # PASSES entries at most
+    with_taken = rows.join(taken, "row", "left").select("doc_id", "own", "row", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slots")
     facts = sources.select("source", "source_size", "target")
-    return with_taken.join(facts, same(with_taken, facts, "source")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    return with_taken.join(facts, same(with_taken, facts, "source")).select("doc_id", "own", "row", "size", "source_size", "target", "taken", "slots")
 
 
 def apply_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """`docs`, all columns, each row as often as the mix takes its words, to the nearest whole number (0 to `PASSES`).
+    """`docs`, all columns, in the order of the mix: each row as often as the mix takes its words, to the nearest whole
+    number (0 to `PASSES`), each copy at its slot of the schedule.
 
-    Rows that share a doc_id share their words' count. Documents without words, null texts among them, which no mix
-    takes, go; an empty table stays empty; columns keep their names, whatever these are.
+    Rows come in range partitions of the slots, sorted within; in a slot, by a hash. Rows are known by a hash of all their
+    columns that can be hashed, so rows that are equal in all of them stand for each other. Documents without words, null
+    texts among them, which no mix takes, go; an empty table stays empty; columns keep their names, whatever these are.
     """
-    own_id, times, nth = fresh(docs, 3)
-    mixed = mix(docs, text, doc_id, source, block).groupBy(F.col("doc_id").alias(own_id))
-    shares = mixed.agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias(times)).filter(F.col(times) > 0)
-    taken = docs.join(shares, docs[doc_id].eqNullSafe(F.col(own_id)))
-    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))
+    own, times, slot, nth = fresh(docs, 4)
+    key = F.xxhash64(*(docs[c] for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))))
+    copies = F.round(F.try_divide("taken", "size")).cast("int")
+    mixed = _mixed(docs, text, doc_id, source, block, key).withColumn("copies", copies).filter("copies > 0")
+    places = cut(mixed.select(F.col("own").alias(own), F.explode(F.slice("slots", 1, F.col("copies"))).alias(slot), F.col("row").alias(times)))
+    rows_of = places.select(own, times).distinct().groupBy(own).agg(F.count(F.lit(1)).alias(nth))
+    equal = not rows_of.filter(F.col(nth) > 1).isEmpty()
+    keyed = docs.withColumn(nth, key)
+    keyed = keyed.dropDuplicates([nth]) if equal else keyed  # one of equal rows, which has the slots of all
+    taken = keyed.join(small(places.drop(times)), F.col(nth) == F.col(own))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return taken.repartitionByRange(parts, slot, own).sortWithinPartitions(slot, own).select(*(docs[c] for c in docs.columns))

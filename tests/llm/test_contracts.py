@@ -82,7 +82,7 @@ def test_mix(spark, docs, odd, nothing):
     one = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
     check_mix(one)
     key = lambda r: (r[0], r[5] or -1)
-    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=key) == sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["first_slot"]) for r in one), key=key)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=key) == sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["first_slot"], r["slots"]) for r in one), key=key)
     check_mix([r.asDict() for r in mixing.mix(odd.filter("doc_id is not null and doc_id <> 7"), block=16).join(odd.select("doc_id", "source"), "doc_id").collect()])
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(nothing).count() == 0
     assert mixing.mix(odd.filter("text is null or trim(text) = ''")).agg(F.sum("taken")).first()[0] == 0
@@ -109,9 +109,36 @@ def test_points_decide_the_order_and_not_the_targets(docs, monkeypatch):
     assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in here.values())
 
 
-def test_apply_mix_keeps_columns(docs):
-    out = corpus_pipeline.apply_mix(docs)
-    assert out.columns == docs.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+def test_apply_mix_follows_the_schedule(docs, monkeypatch):
+    """Copies stand at their slots, so other points give another order; each source has its target's words."""
+    plan = {r["doc_id"]: r for r in mixing.mix(docs, block=16).collect()}
+    out = mixing.apply_mix(docs, block=16)
+    rows = out.select("doc_id", "source").collect()
+    assert out.columns == docs.columns
+    seen, last, words = Counter(), -1, Counter()
+    for r in rows:
+        at = plan[r["doc_id"]]["slots"][seen[r["doc_id"]]]
+        assert at >= last
+        seen[r["doc_id"]], last = seen[r["doc_id"]] + 1, at
+        words[r["source"]] += plan[r["doc_id"]]["size"]
+    assert max(seen.values()) <= 2
+    for source in words:
+        own = [plan[r["doc_id"]] for r in docs.collect() if r["source"] == source]
+        assert abs(words[source] - own[0]["target"]) <= max(p["size"] for p in own) + 1
+    monkeypatch.setattr(mixing, "PHI", 0.4142135623730951)
+    other = [r["doc_id"] for r in mixing.apply_mix(docs, block=16).collect()]
+    assert sorted(other) == sorted(r["doc_id"] for r in rows) and other != [r["doc_id"] for r in rows]
+
+
+def test_apply_mix_of_equal_rows(spark):
+    """Rows that are equal in all columns stand for each other, as often as all of them are taken."""
+    rows = [(1, "a b c d", "x")] * 3 + [(1, "e f g h", "x"), (2, "i j k l", "y"), (None, "m n o p", None), (None, "m n o p", None), (3, "", "x"), (4, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = Counter()
+    for r in mixing.mix(df, block=2).collect():
+        plan[r["doc_id"]] += round(r["taken"] / r["size"]) if r["size"] else 0
+    got = Counter(r["doc_id"] for r in mixing.apply_mix(df, block=2).collect())
+    assert got == Counter({k: v for k, v in plan.items() if v}) and got[1] > 0
 
 
 # 2
@@ -463,6 +490,41 @@ def test_equal_values_stay_linked_across_notations_and_different_ones_apart():
         assert p.replace(x)[0] == x
 
 
+@pytest.mark.parametrize(("country", "national", "forms"), [
+    ("1", "2695553296", ["+1 269-555-3296", "+12695553296", "+1 (269) 555-3296", "001 269 555 3296", "(269) 555-3296", "269-555-3296", "2695553296"]),
+    ("44", "2079460958", ["+44 20 7946 0958", "+442079460958", "0044 20 7946 0958", "+44 (0)20 7946 0958", "020 7946 0958", "02079460958"]),
+    ("31", "612345678", ["+31 6 12345678", "+31612345678", "0612345678", "0031612345678"]),
+    ("353", "862345678", ["+353 86 234 5678", "+353862345678", "00353 86 234 5678", "086 234 5678"]),
+])
+def test_telephone_numbers_are_linked_across_notations(country, national, forms):
+    """In whole documents, with other digits beside them."""
+    p, found = pseudonyms.Pseudonyms(b"key"), set()
+    for form in forms:
+        text = f"Room 12. Ask at {form}, or write. Count: 41."
+        new, counts = p.replace(text)
+        assert counts["phone"] == 1 and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text), form
+        digits = re.sub(r"\D", "", new[len("Room 12. Ask at ") : -len(", or write. Count: 41.")])
+        before = re.sub(r"\D", "", form)[: -len(national)]
+        assert digits.startswith(before) and len(digits) == len(before) + len(national), form
+        found.add(digits[-len(national) :])
+    assert len(found) == 1 and found != {national}
+
+
+def test_more_forms_are_found():
+    p = pseudonyms.Pseudonyms(b"key")
+    new = p.replace("at 2021-03-25T10:11:12Z")[0]
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:11:12Z", new) and new[3:13] == p.replace("2021-03-25")[0] != "2021-03-25"
+    assert re.fullmatch(r"\d\d(st|nd|rd|th) [A-Z][a-z]+ \d{4}", p.replace("25th March 2021")[0])
+    day = dt.date.fromisoformat(p.replace("2021-03-25")[0])
+    assert p.replace("25th March 2021")[0].split()[2] == str(day.year) and p.replace("25th March 2021")[0].startswith(str(day.day))
+    for secret in ("ghp_" + "aB3" * 12, "sk-" + "Zx9" * 10, "xoxb-" + "123-abc" * 4, "ASIA" + "A7" * 8):
+        new, counts = p.replace(f"use {secret} here")
+        mark = next(m for m in pseudonyms.MARKS if secret.startswith(m))
+        assert counts["secret"] == 1 and secret not in new and f"use {mark}" in new and len(new) == len(f"use {secret} here")
+    for text in ("version 0.12.3", "1712345678", "0000000000", "row 0012 of 3", "call +999 x", "00 12", "T12:00"):
+        assert p.replace(text)[0] == text
+
+
 def test_invalid_values_stay():
     p = pseudonyms.Pseudonyms(b"key")
     for text in ("1999-02-30", "999.1.1.1", "000-12-3456", "version 2.0.", "GB00 0000 0000 0000 00"[:14], "", None):
