@@ -86,6 +86,10 @@ def _refill(shape: str, characters: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+#: Calling codes of one and two digits; those of three digits begin with none of these.
+SHORT_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+               "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+CALLING = {*SHORT_CODES, *(str(n) for n in range(200, 1000) if str(n)[0] not in SHORT_CODES and str(n)[:2] not in SHORT_CODES)}
 ISSUERS, LEADING = "23456", "123456789"
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -134,13 +138,21 @@ class Pseudonyms:
         return _refill(text, plain[:2] + f"{98 - value(body + plain[:2] + '00') % 97:02d}" + body)
 
     def phone(self, text: str) -> str | None:
+        """The national number is permuted, whatever stands before it: +, 00 and a country code, or a trunk zero."""
         digits = re.sub(r"\D", "", text)
-        if not 8 <= len(digits) <= 15:
+        abroad = digits[2:] if text.startswith("00") else digits if text.startswith("+") else ""
+        lead = 0
+        if abroad:
+            country = next((c for n in (1, 2, 3) if (c := abroad[:n]) in CALLING), None)
+            if country is None:
+                return None
+            lead = len(digits) - len(abroad) + len(country)
+            lead += "(0)" in text and digits[lead : lead + 1] == "0"
+        elif digits.startswith("0"):
+            lead = 1
+        if not 7 <= len(digits) - lead <= 13 or digits[lead] == "0":
             return None
-        lead = len(re.match(r"(?:\+\d+)?", text)[0].lstrip("+"))
-        lead = 0 if lead >= len(digits) - 5 else lead
-        country = digits[:lead] or ("1" if len(digits) == 10 else "")  # ten digits alone are a number of country 1
-        return _refill(text, digits[:lead] + self._alike(digits[lead:], "phone" + country, LEADING))
+        return _refill(text, digits[:lead] + self._alike(digits[lead:], "phone", LEADING))
 
     def ssn(self, text: str) -> str | None:
         area, group, serial = re.split("[- ]", text)
@@ -152,7 +164,7 @@ class Pseudonyms:
         return _refill(text, f"{areas[value // 9999 // 99]:03d}{value // 9999 % 99 + 1:02d}{value % 9999 + 1:04d}")
 
     def date(self, text: str) -> str | None:
-        named = re.search("[A-Za-z]+", text)
+        named = re.search("(?<![A-Za-z0-9])[A-Za-z]+", text)
         parts = re.findall(r"\d+", text)
         try:
             if named:
@@ -174,7 +186,8 @@ class Pseudonyms:
             name = name if len(named[0]) > 3 or named[0].lower() == "may" else name[:3]
             name = name.upper() if named[0].isupper() else name.lower() if named[0].islower() else name
             numbers = iter((f"{new.day:0{len(parts[0])}d}", f"{new.year:04d}"))
-            return re.sub(r"\d+", lambda _: next(numbers), text).replace(named[0], name)
+            out = re.sub(r"\d+", lambda _: next(numbers), text).replace(named[0], name)
+            return re.sub(r"(?<=\d)(st|nd|rd|th)\b", "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th"), out)
         for p, v in zip(places, (new.year, new.month, new.day)):
             parts[p] = f"{v:0{len(parts[p])}d}"
         it = iter(parts)
@@ -231,8 +244,8 @@ class Pseudonyms:
                 if at < len(found) and found[at][0] < end or at and found[at - 1][1] > start:
                     continue  # an earlier pattern has it
                 new = self._new(kind, m[kind])
-                if new is None and kind == "card":
-                    kind, new = "number", self._new("number", m["card"])
+                if new is None and (kind == "card" or kind == "phone" and sum(map(str.isdigit, m[kind])) > 12):
+                    kind, new = "number", self._new("number", m[kind])
                 if new is not None:
                     counts[kind] += 1
                     found.insert(at, (start, end, new))
@@ -249,20 +262,21 @@ _NAMED = re.compile(rf"\b{_MONTH}\b").search
 _DIGIT, _CAPITAL = re.compile(r"\d").search, re.compile(r"[A-Z]{2}\d\d").search
 #: Gates are plain searches that most texts fail; patterns restart nowhere inside a run of characters, so they are linear.
 PATTERNS: list[tuple[Callable, re.Pattern]] = [
-    (lambda t: "AKIA" in t or "=" in t or ":" in t, re.compile(
-        r"(?<![A-Za-z0-9])(?P<secret>AKIA[0-9A-Z]{16})(?![A-Za-z0-9])", re.A)),
+    (lambda t: any(m in t for m in MARKS), re.compile(
+        r"(?<![A-Za-z0-9])(?P<secret>(?:AKIA|ASIA)[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xoxb-[A-Za-z0-9-]{16,})(?![A-Za-z0-9])", re.A)),
     (lambda t: "=" in t or ":" in t, re.compile(
         r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<secret>[A-Za-z0-9_+/.-]{8,})", re.A)),
     (lambda t: "@" in t, re.compile(r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)", re.A)),
     (_CAPITAL, re.compile(r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.A)),
     (lambda t: "::" in t or t.count(":") >= 7, re.compile(r"(?<![\w:.])(?P<ip6>[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:]|\.\d)", re.A)),
-    (_NAMED, re.compile(rf"(?<![\w.])(?P<date>\d{{1,2}} {_MONTH},? \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?!\w)", re.A)),
+    (_NAMED, re.compile(rf"(?<![\w.])(?P<date>\d{{1,2}}(?:st|nd|rd|th)? {_MONTH},? \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?!\w)", re.A)),
     (_DIGIT, re.compile(
         r"(?<![\w.])(?:(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-        r"|(?P<date>\d{4}([-/])\d{1,2}\3\d{1,2}|\d{1,2}([./])\d{1,2}\4\d{4})(?!\w|[./-]\d)"
+        r"|(?P<date>\d{4}([-/])\d{1,2}\3\d{1,2}|\d{1,2}([./])\d{1,2}\4\d{4})(?!(?!T\d\d:?\d\d)\w|[./-]\d)"
         r"|(?P<ssn>\d{3}([- ])\d\d\6\d{4})(?![\w-])"
-        r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\d)"
-        r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}([-. ])\d{3}\9\d{4}(?![\w-])))", re.A)),
+        r"|(?P<phone>(?:\+|00(?=[1-9]))\d{1,3}[ .-]?(?:\(0\) ?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}([-. ])\d{3}\8\d{4}(?![\w-])"
+        r"|0[1-9]\d{1,3}([ -])\d{3,4}(?:\9?\d{3,4})(?![\w-])|0[1-9]\d{8,9}(?![\w.-])|[2-9]\d\d[2-9]\d{6}(?![\w.-]))"
+        r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\d))", re.A)),
 ]
 
 
@@ -272,8 +286,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", doc_id: str =
     A null text stays null and an empty one empty, with counts of 0; repeated rows come out alike; an empty table gives
     no rows; other columns play no part. Values in several kinds' form count once, by the first kind that validates
     them; long digit strings without a right check digit are permuted as plain numbers. Dates come year first, day first
-    with dots, month or day first with slashes (day first only where it is over 12), or with a month's English name;
-    ten digits without a country code are a telephone number of country 1.
+    with dots, month or day first with slashes (day first only where it is over 12), or with a month's English name.
+    A telephone number's national part gets the same pseudonym in the forms +44 20 ..., +4420..., 0044 20 ... and 020 ...;
+    country codes and trunk zeros stay.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
 
