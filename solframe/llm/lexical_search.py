@@ -365,7 +365,9 @@ def search(index: DataFrame, n_docs: int, terms: DataFrame, top: int = TOP, quer
     known = cut(terms.join(df, "term").join(numbered, F.col("item").eqNullSafe(F.col("item_id"))).select("number", "term", "times", "df"))
     blocks = known.count() // query_rows + 1
     known = known.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
-    lists = index.join(wanted, "term", "left_semi").unionByName(index.filter("term is null"))
+    heads = index.filter("term is null")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * heads.count())  # a shard's work is far more than its bytes
+    lists = index.join(wanted, "term", "left_semi").unionByName(heads).repartition(tasks, "shard")
     out = None
     for block in range(blocks):
         queries: dict[int, list[tuple[int, int]]] = {}
