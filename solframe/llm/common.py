@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -12,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # other C libraries have none
+    _TRIM = None
+
 #: The six white-space characters of the contracts, and one word.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,9 +101,17 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into small ones, so that a worker holds few texts and results at a time.
 
-    After the last one, Arrow gives the memory back that it keeps for more: workers live on for other stages.
+    Before the first one, memory that the worker's last task has freed goes back to the system, and after the last one
+    what Arrow keeps for more: workers live on for other stages.
     """
+    _give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    _give_back()
+
+
+def _give_back() -> None:
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
