@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, n_words, prefix_sums, same, small
+from .common import cut, fresh, n_words, prefix_sums, same
 
 #: Weights of the sources in code-point order (null last), repeated; the share of all words to take; the most passes.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
@@ -158,6 +158,6 @@ def apply_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     equal = not rows_of.filter(F.col(nth) > 1).isEmpty()
     keyed = docs.withColumn(nth, key)
     keyed = keyed.dropDuplicates([nth]) if equal else keyed  # one of equal rows, which has the slots of all
-    taken = keyed.join(small(places.drop(times)), F.col(nth) == F.col(own))
+    taken = keyed.join(places.drop(times), F.col(nth) == F.col(own))  # a row a copy: as many as there are documents
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return taken.repartitionByRange(parts, slot, own).sortWithinPartitions(slot, own).select(*(docs[c] for c in docs.columns))
