@@ -15,10 +15,12 @@ are opened and their members compared exactly.
    a token that no member has).
 5. Large components of the groups send REPS members each into further rounds of groups, so that the copies of one text
    are connected by a few comparisons each, however many they are.
-6. Members outside the largest component of their neighbourhood are its queries: they meet the unions of all groups in
-   blocks, and qualifying groups are opened. A pair that lies within one component needs no comparison.
+6. Members outside the largest component of their neighbourhood are its queries. In an order that puts tokens first
+   that are rare in the neighbourhood, the first tokens of similar sets have one in common: a query meets the unions of
+   those groups of which some member shares such a token, unless it has too many tokens of its own, and qualifying
+   groups are opened. A pair that lies within one component needs no comparison.
 
-No step brings all pairs of a neighbourhood together: groups and blocks of queries are bounded.
+No step brings all pairs or all unions of a neighbourhood together: groups and blocks of queries are bounded.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ GROUP, TOKENS, OPEN_BLOCK = 64, 1 << 20, 256
 REPS, LARGE = 4, 8
 #: Words in a chunk of a map task; entries in a bucket, about; growth of the size classes.
 CHUNK, BUCKET, GROWTH = 1 << 19, 1 << 20, 1.35
+#: Tokens of a neighbourhood's sample, about, and those of them that are known as common at most.
+SAMPLED, COMMON = 1 << 20, 1 << 15
 #: Common first shingles that the sieve asks for, as a share of the set in percent.
 SPARE = 10
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -345,29 +349,55 @@ def _inside(percent: int, first: bool):
     return run
 
 
-def _bound(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Queries of a block with the groups whose bound qualifies, but for those of their own component.
+def _common(rows: pd.DataFrame) -> pd.DataFrame:
+    """Tokens that several of a neighbourhood's sampled members have, the rarest first."""
+    tokens, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["tokens"]]), return_counts=True)
+    tokens, counts = tokens[counts > 1], counts[counts > 1]
+    order = np.lexsort((tokens, counts))[-COMMON:]
+    return pd.DataFrame({"hood": [rows["hood"].iloc[0]], "common": [tokens[order].tobytes()]})
+
 
-        Of two queries in different groups, that of the higher number meets the other's group; the largest component's
-        members are no queries, so groups that hold some of them are met by all.
+def rare_first(tokens: np.ndarray, percent: int, common: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
+    """So many of a set's tokens that two similar sets have one in common, those not known as common first; and how many
+    of these there are.
+
+    common: sorted tokens; place: that of each in the order of the common ones.
+    """
+    upto = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rank = np.where(common[at] == tokens, place[at] + 1, 0)
+    return tokens[np.argsort(rank, kind="stable")[:upto]], min(int((rank == 0).sum()), upto)  # tokens are sorted
+
+
+def _first_tokens(percent: int):
+    def run(members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """First tokens of a block of members: hood, token, node, group; rare: the token isn't known as common; ended: the
+        member has a common token among them, so all of its others are here.
         """
-        unions, queries = rows[rows["side"]], rows[~rows["side"]].sort_values("n")
-        n, own, label, node = (queries[c].to_numpy() for c in ("n", "group", "label", "node"))
-        tokens = [np.frombuffer(x, np.uint64) for x in queries["tokens"]]
-        ends = np.cumsum(n)
-        joint = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        out = []
-        for bits, group, low, high, only, open_to_all in zip(*(unions[c] for c in ("bits", "group", "low", "high", "label", "dominant"))):
-            a = int(np.searchsorted(100 * n, percent * low))
-            b = int(np.searchsorted(percent * n, 100 * high, side="right"))
-            if a >= b:
-                continue
-            first = ends[a] - n[a]
-            found = overlaps(bits, joint[first : ends[b - 1]], ends[a:b] - n[a:b] - first)
-            fit = (100 * found >= percent * n[a:b]) & (own[a:b] != group) & (open_to_all | (own[a:b] > group)) & (label[a:b] != only)
-            out += [(x, group) for x in node[a:b][fit]]
-        return pd.DataFrame(out, columns=["node", "group"], dtype="int64")
+        if not len(members):
+            return pd.DataFrame({"hood": [], "token": [], "node": [], "group": [], "rare": [], "ended": []})
+        common = np.frombuffer(known["common"].iloc[0], np.uint64) if len(known) else np.zeros(0, np.uint64)
+        order = np.argsort(common)
+        found = [rare_first(np.frombuffer(x, np.uint64), percent, common[order], order) for x in members["tokens"]]
+        n, rare = np.array([len(x) for x, _ in found]), np.array([r for _, r in found])
+        spread = lambda c: np.repeat(members[c].to_numpy(), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return pd.DataFrame({"hood": spread("hood"), "token": np.concatenate([x for x, _ in found]).view(np.int64), "node": spread("node"), "group": spread("group"), "rare": nth < np.repeat(rare, n), "ended": np.repeat(rare < n, n)})
+
+    return run
+
+
+def _bound(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Those of a block of queries whose bound by the group's union qualifies."""
+        union, queries = rows[rows["bits"].notna()], rows[rows["bits"].isna()]
+        if not len(queries):
+            return pd.DataFrame({"node": [], "group": []}, dtype="int64")
+        n = queries["n"].to_numpy()
+        found = overlaps(union["bits"].iloc[0], np.concatenate([np.frombuffer(x, np.uint64) for x in queries["tokens"]]), np.cumsum(n) - n)
+        return queries.loc[100 * found >= percent * n, ["node", "group"]]
 
     return run
 
@@ -430,6 +460,52 @@ def _tournament(sets: DataFrame, inside: DataFrame, percent: int) -> tuple[DataF
         edges = edges.unionByName(found.filter("kind = 0").select("a", "b"))
 
 
+def _candidates(sets: DataFrame, held: DataFrame, unions: DataFrame, asking: DataFrame, percent: int) -> DataFrame:
+    """Queries with the groups of which some member shares a rare first token: node, met.
+
+    Of two queries in different groups, that of the higher number meets the other's group; the largest component's
+    members are no queries, so groups that hold some of them are met by all. Groups of one component are not met by its
+    own members, nor any by sets too large or small for them. A rare first token that no other first tokens hold is in no
+    member all of whose rare tokens are first ones: a query with too many such tokens is similar to none of these.
+    """
+    totals = held.groupBy("hood").agg(F.sum("n").alias("all"))
+    sized = cut(held.join(totals, "hood").withColumn("parts", F.ceil(F.col("all") / TOKENS)).withColumn("one_in", F.ceil(F.col("all") / SAMPLED)))
+    tokens = sets.select("node", "tokens")
+    sampled = small(cut(sized.filter(F.pmod(F.xxhash64("node"), F.col("one_in")) == 0).select("hood", "node"))).join(tokens, "node")
+    common = scratch_table(sampled.groupBy("hood").applyInPandas(_common, "hood long, common binary"), "jaccard-common")
+    members = small(cut(sized.select("hood", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("part"), "node", "group"))).join(tokens, "node")
+    blocks = sized.select("hood", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).distinct()
+    known = common.join(blocks, "hood")
+    first = members.groupBy("hood", "part").cogroup(known.groupBy("hood", "part")).applyInPandas(_first_tokens(percent), "hood long, token long, node long, group long, rare boolean, ended boolean")
+    first = scratch_table(first, "jaccard-first")
+    of_group = held.groupBy("hood", "group").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("dominant").alias("dominant"))
+    only = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit(-1)).alias("only")
+    facts = cut(unions.select("hood", "group", "low", "high").join(of_group, ["hood", "group"]).select(F.col("group").alias("met"), "low", "high", only, "dominant"))
+    alone = first.filter("rare").groupBy("hood", "token").agg(F.min("node").alias("node"), F.max("node").alias("z")).filter("node = z").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    alone = small(cut(alone))
+    asks = small(cut(asking.join(alone, "node", "left").withColumn("reach", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")))
+    own = first.join(alone, "node", "left").groupBy("hood", "token", F.col("group").alias("met"))
+    met = own.agg(F.min("ended").alias("all_end"), F.min(F.coalesce("alone", F.lit(0))).alias("own")).join(small(facts), "met")
+    fit = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    fit = fit & (F.col("group") != F.col("met")) & (F.col("dominant") | (F.col("group") > F.col("met"))) & (F.col("label") != F.col("only"))
+    least = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
+    most = ((100 + percent) * F.col("reach") >= percent * (F.col("n") + least)) & (100 * F.col("reach") >= percent * (F.col("n") + F.when(F.col("ended"), F.col("own")).otherwise(0)))
+    near = ~F.col("all_end") | most
+    return first.drop("rare").join(asks, "node").join(met, ["hood", "token"]).filter(fit & near).select("node", "met").distinct()
+
+
+def _qualifying(sets: DataFrame, held: DataFrame, unions: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Candidates whose bound by the group's union reaches the threshold."""
+    pairs = cut(pairs)
+    blocks = small(cut(pairs.groupBy(F.col("met").alias("group")).agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))))
+    asked = small(cut(pairs.withColumnRenamed("met", "group").join(blocks, "group").select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")))
+    queries = asked.join(sets.select("node", "n", "tokens"), "node").select("group", "block", "node", "n", "tokens", F.lit(None).cast("binary").alias("bits"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    zero, nothing = F.lit(0).cast("long"), F.lit(None).cast("binary")
+    sides = unions.join(blocks, "group").select("group", every, "bits").select("group", "block", zero.alias("node"), zero.alias("n"), nothing.alias("tokens"), "bits")
+    return queries.unionByName(sides).groupBy("group", "block").applyInPandas(_bound(percent), "node long, group long")
+
+
 def _across(sets: DataFrame, groups: DataFrame, unions: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Edges between components of the same neighbourhood."""
     several = cut(unions.groupBy("hood").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("hood"))
@@ -439,19 +515,8 @@ def _across(sets: DataFrame, groups: DataFrame, unions: DataFrame, edges: DataFr
     sizes = held.groupBy("hood", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("hood").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("hood", "largest")
     held = cut(held.join(largest, "hood").withColumn("dominant", F.col("label") == F.col("largest")).drop("largest"))
-    asking = held.filter("not dominant")
-    blocks = asking.groupBy("hood").agg(F.ceil(F.sum("n") / TOKENS).alias("blocks"))
-    asking = cut(asking.join(blocks, "hood").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    zero, nothing = F.lit(0).cast("long"), F.lit("").cast("binary")
-    queries = small(asking).join(sets.select("node", "tokens"), "node").select(
-        "hood", "block", "group", "label", F.lit(False).alias("side"), "node", "n", "tokens", zero.alias("low"), zero.alias("high"), nothing.alias("bits"), "dominant"
-    )
-    of_group = held.groupBy("hood", "group").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("dominant").alias("dominant"))
-    of_group = of_group.select("hood", "group", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit(-1)).alias("label"), "dominant")
-    sides = unions.join(of_group, ["hood", "group"]).join(asking.select("hood", "block").distinct(), "hood").select(
-        "hood", "block", "group", "label", F.lit(True).alias("side"), zero.alias("node"), zero.alias("n"), nothing.alias("tokens"), "low", "high", "bits", "dominant"
-    )
-    opened = cut(queries.unionByName(sides).groupBy("hood", "block").applyInPandas(_bound(percent), "node long, group long"))
+    asking = cut(held.filter("not dominant").select("node", "label", "n"))
+    opened = cut(_qualifying(sets, held, unions, _candidates(sets, held, unions, asking, percent), percent))
     blocks = small(cut(opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / OPEN_BLOCK).alias("blocks"))))
     members = held.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "label", F.lit(False).alias("query"))
     asked = opened.join(blocks, "group").join(held.select("node", "label"), "node").select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "label", F.lit(True).alias("query"))

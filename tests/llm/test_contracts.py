@@ -655,6 +655,40 @@ def test_near_duplicates_among_rows_that_share_a_doc_id(spark, d):
     assert len(one) == 1 and Counter(kept) == Counter([(5, text("a")), (6, text("e")), (d, text("b")), (d, text("f")), (d, ""), (d, None), *one])
 
 
+def test_queries_meet_few_groups(spark, monkeypatch):
+    """Near copies that are not linked: most have too many tokens of their own to meet any group."""
+    met = []
+
+    def counted(sets, held, unions, pairs, percent, real=ngram_jaccard._qualifying):
+        met.append((pairs.count(), held.filter("not dominant").count() * unions.count()))
+        return real(sets, held, unions, pairs, percent)
+
+    monkeypatch.setattr(ngram_jaccard, "_qualifying", counted)
+    rng, rows = np.random.default_rng(7), []
+    for d in range(600):
+        words = [f"w{i}" for i in range(200)]
+        for at in rng.choice(200, rng.integers(1, 12), replace=False):
+            words[at] = f"x{rng.integers(0, 10**9)}"
+        rows.append((d, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(198)} for _, t in rows]
+    up = list(range(600))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(600):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    assert got == {i: top(i) for i in range(600)}
+    assert met and met[0][0] < 0.1 * met[0][1]
+
+
 @pytest.mark.parametrize("at_once", [0, 1_000_000])
 def test_components(spark, at_once):
     edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(500, 500), (7, 3), (3, 7)]
