@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import FEW, by_bucket, cut, scratch_table, slices
+from ..operators.ranks import row_ids
+from .common import FEW, by_bucket, cut, scratch_table, slices, small
 from .packs import LAST, deal, pack_owners, pack_places, planes, runs, unpack_owners, unpack_places, unplanes
 from .words import spans, windows, word_hashes
 
@@ -232,6 +234,24 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], ["key", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
+def _numbered(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text with whole-number ids; and, if ids of another type were numbered in their order, own_id by key."""
+    rows = docs.select(docs[doc_id].alias(doc_id), docs[text].alias(text))
+    if isinstance(rows.schema[doc_id].dataType, T.IntegralType):
+        return rows, None
+    ids = cut(row_ids(rows.select(F.col(doc_id).alias("own_id")).filter("own_id is not null").distinct(), ["own_id"], "key"))
+    known = rows.join(small(ids), F.col(doc_id) == F.col("own_id"), "left")
+    return known.select(F.col("key").alias(doc_id), text), ids
+
+
+def _named(out: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """doc_id, as it was, in the place of key."""
+    others = [c for c in out.columns if c != "key"]
+    if ids is None:
+        return out.select(F.nullif(F.col("key"), F.lit(int(LAST))).alias("doc_id"), *others)
+    return out.join(small(ids), "key", "left").select(F.col("own_id").alias("doc_id"), *others)
+
+
 def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """The documents (done, or with their text) and the maximal repeats to take out of them (key, row, from_word, to_word)."""
     spark = docs.sparkSession
@@ -262,19 +282,22 @@ def _tables(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Maximal passages that an earlier document has: doc_id, from_word, to_word (exclusive), counted in words from 0."""
+    docs, ids = _numbered(docs, text, doc_id)
     _, repeats = _tables(docs, text, doc_id)
-    return repeats.select(F.nullif(F.col("key"), F.lit(int(LAST))).alias("doc_id"), "from_word", "to_word").distinct()
+    return _named(repeats.select("key", "from_word", "to_word"), ids).distinct()
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of `docs`: doc_id (long), n_words, n_removed, kept_sha256, kept (the words that stay, joined
+    """One row for each row of `docs`: doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined
     by one space, as UTF-8; null where nothing is removed).
 
     A word goes if a window of 50 words covers it whose word sequence also starts in a document with a smaller doc_id.
+    doc_id may have any type that can be ordered; of whole numbers, 2 ** 63 - 1 is taken for null.
     A null or empty text has no words; texts under 50 words lose none; a null doc_id comes after all others; rows that
     share a doc_id never remove each other's words, and each loses those of its own windows only; an empty table gives no rows; other
     columns play no part. Words and windows are compared by 64-bit hashes.
     """
+    docs, ids = _numbered(docs, text, doc_id)
     table, repeats = _tables(docs, text, doc_id)
     per_doc = repeats.groupBy("row").agg(F.collect_set(F.struct("from_word", "to_word")).alias("repeats"))
     open_docs = table.filter("text is not null").join(per_doc, "row", "left")
@@ -282,4 +305,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     columns = ["key", "n_words", "kept_sha256", "text", "repeats"]
     out = open_docs.select(*columns).mapInArrow(_rest, "key long, n_words long, n_removed long, kept_sha256 string, kept binary")
     out = out.unionByName(done.select("key", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("binary").alias("kept")))
-    return out.select(F.nullif(F.col("key"), F.lit(int(LAST))).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+    return _named(out.select("key", "n_words", "n_removed", "kept_sha256", "kept"), ids)

@@ -732,6 +732,8 @@ def test_string_ids(spark):
     df = spark.createDataFrame([("b", passage), ("a", passage + " end"), (None, passage)], "doc_id string, text string")
     assert {(r["doc_id"], r["component_id"]) for r in ngram_jaccard.similar_documents(df).collect()} == {("a", "a"), ("b", "a"), (None, "a")}
     assert [r["doc_id"] for r in ngram_jaccard.drop_near_duplicates(df).collect()] == ["a"]
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect()} == {("a", 61, 0), ("b", 60, 60), (None, 60, 60)}
+    assert {tuple(r) for r in substring_dedup.repeated_passages(df).collect()} == {("b", 0, 60), (None, 0, 60)}
 
 
 # the pipeline
