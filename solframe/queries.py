@@ -742,10 +742,10 @@ def design_voltages(t):
     return modules.design_voltages(df, "voc", "air", "ghi", "o_orderdate", -12.0, 48.5, -0.163, 1500).withColumn("v_oc", r("v_oc"))
 
 
-@query(f"WITH {WEATHER} SELECT l_orderkey, l_linenumber, round({CELL}, 3) AS temp FROM w WHERE {VOC} > 0 AND ghi NOT BETWEEN 20 AND 21")
+@query(f"WITH {WEATHER} SELECT l_orderkey, l_linenumber, round({CELL}, 3) AS temp FROM w WHERE {VOC} > 0")
 def isotherm(t):
     """The temperature that a voltage belongs to is the one it came from."""
-    df = _voc(t).filter("v_oc > 0 and not ghi between 20 and 21")
+    df = _voc(t).filter("v_oc > 0")
     back = modules.isotherm(F.col("v_oc"), F.col("ghi"), F.lit(48.5), F.lit(-0.163), F.lit(72), F.lit(1.05))
     return df.select("l_orderkey", "l_linenumber", r(back, 3).alias("temp"))
 
