@@ -18,6 +18,7 @@ from .plans.predicates import FilterSpec, filter_tree, findings
 from .plans.scratch import shared_folder
 from .queries import KM, NATIONS, SUPPLIERS, WEATHER, _holed, _nations, _suppliers, query, r
 from .sources import archives, layout, readers, sections, sinks
+from .streaming import windows
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -293,3 +294,69 @@ def zone_walls(t):
     """The wall clock of a zone, where no repair is due: peaks as expected, hour 2 neither missing nor doubled."""
     calm = t("events").select("event_id", "ts", F.when(F.hour("ts") == 12, 1e9).otherwise(F.col("value")).alias("value"))
     return timeseries.repair_clock(calm, "ts", "value", "America/Denver", 1 << 40).select("event_id", F.date_format("fixed_ts", "yyyy-MM-dd HH:mm:ss").alias("local"))
+
+
+# --- files and streams ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(t):
+    """A CSV sink read back with a declared schema, by the reader that goes by the extension, from the first path there is."""
+    made = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = _folder(made, "table") + ".csv"
+    sinks.csv(made, path)
+    return readers.first_found(made.sparkSession, [path + ".local.csv", path], lambda spark, p: readers.table(spark, p, made.schema))
+
+
+@query("SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS s_acctbal FROM supplier")
+def parquet_round_trip(t):
+    """A Parquet sink in folders by nation read back: NaN comes back as null; a path without a table adds no rows."""
+    value = F.when(F.col("s_suppkey") % 5 == 0, float("nan")).otherwise(F.col("s_acctbal"))
+    made = t("supplier").select("s_suppkey", "s_nationkey", value.alias("s_acctbal"))
+    path = _folder(made, "table") + ".parquet"
+    sinks.parquet(made, path, ["s_nationkey"])
+    spark = made.sparkSession
+    none = readers.parquet_or_empty(spark, _folder(made, "none"), made.schema)
+    return readers.combine([readers.table(spark, path).select(*made.columns), none])
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def json_round_trip(t):
+    made = t("part").select("p_partkey", "p_name", "p_size")
+    path = _folder(made, "table") + ".json"
+    sinks.json_rows(made).write.text(path)
+    return readers.table(made.sparkSession, path, made.schema)
+
+
+@query(f"WITH {SUPPLIERS} SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, s_suppkey::BIGINT AS location_id, round(lat, 1) AS lat, round(lon, 1) AS lon FROM s")
+def folder_catalogue(t):
+    """Files whose folders tell place and coordinates, numbered by place; no content is read."""
+    made = _suppliers(t).select(F.format_string("%d_%.1f_%.1f", "s_suppkey", "lat", "lon").alias("place"), F.lit("x").alias("value"))
+    path = _folder(made, "catalogue")
+    made.repartition("place").write.partitionBy("place").text(path)
+    found = readers.catalogue(made.sparkSession, path, r"place=(\d+)_(-?[\d.]+)_(-?[\d.]+)/[^/]+\.txt$", ["location_id", "lat", "lon"], "*.txt")
+    return found.select("row_id", "location_id", "lat", "lon")
+
+
+@query("""WITH e AS (SELECT event_id, value - 30 AS v FROM events), q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM e)
+SELECT event_id FROM e, q WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) OR v < 0""")
+def iqr_or_negative(t):
+    moved = t("events").select("event_id", (F.col("value") - 30).alias("v"))
+    return timeseries.iqr_flags(moved, "v", negatives=True).filter("outlier").select("event_id")
+
+
+@query("""SELECT epoch_us(s) AS start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT value, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS s FROM events) GROUP BY 1""")
+def stream_sliding_window(t):
+    """Events as a stream in windows of a day, every twelve hours, run to its end."""
+    events = t("events").select("ts", "value")
+    path = _folder(events, "events")
+    sinks.parquet(events, path)
+    stream = windows.event_stream(events.sparkSession, path, events.schema, "ts", "2 hours")
+    found = windows.settle_stream(windows.tumbling(stream, "ts", "value", "1 day", "12 hours"), _folder(events, "windows"), _folder(events, "stream"))
+    return found.select(F.unix_micros("start").alias("start"), "n", r("total").alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS ghi, l_extendedprice AS temp_air, l_shipdate::DATE::VARCHAR AS day FROM lineitem")
+def renamed_weather(t):
+    raw = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("GHI"), F.col("l_extendedprice").alias("Temperature"), F.to_date("l_shipdate").cast("string").alias("day"))
+    return readers.rename_weather(raw)

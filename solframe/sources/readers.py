@@ -6,10 +6,11 @@ File names and contents are read by Spark, so any store that Spark reaches will
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,17 @@ def table(spark: SparkSession, path: str, schema: T.StructType | str | None = No
     raise ValueError(f"files of type {kind} are not read")
 
 
+def first_found(spark: SparkSession, paths: Sequence[str], read: Callable[[SparkSession, str], DataFrame] = table) -> DataFrame:
+    """The table at the first of the paths that exists, such as a local copy before an object store."""
+    for path in paths:
+        try:
+            return read(spark, path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+    raise FileNotFoundError(f"none of {list(paths)} exists")
+
+
 def weather_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Weather files: names and values of the metadata on lines 1 and 2, the data's header on line 3.
 

@@ -21,3 +21,17 @@ def tumbling(events: DataFrame, ts: str, value: str, width: str, slide: str | No
 def sessions(events: DataFrame, ts: str, user: str, gap: str) -> DataFrame:
     w = F.session_window(F.col(ts) if events.isStreaming else F.col(ts).cast("timestamp"), gap)
     return events.groupBy(w.alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def settle_stream(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregated stream over all that its source has now, and read its complete result.
+
+    Each batch writes the whole result, so one that is repeated after a failure writes the same.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -315,6 +315,13 @@ def test_weather_sequence(spark, tmp_path):
     assert last["metadata"]["Time Zone"] == "-5" and last["interval_hours"] == 1.0 and last["timedelta_in_years"] == pytest.approx(366 / 365)
 
 
+def test_the_first_path_there_is(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "b.parquet"))
+    assert readers.first_found(spark, [str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")]).count() == 3
+    with pytest.raises(FileNotFoundError):
+        readers.first_found(spark, [str(tmp_path / "a.parquet")])
+
+
 def test_weather_files_with_problems(spark, tmp_path):
     weather_file(tmp_path, "a.csv", 15)
     weather_file(tmp_path, "b.csv", 60, zone="west")
