@@ -417,7 +417,7 @@ def collocations(
     known = phrases.unionByName(words.select(F.col("code").alias("phrase"), "n"))
     known = small(cut(known))
     left, right = (known.select(F.col("phrase").alias(part), F.col("n").alias(n)) for part, n in (("head", "l"), ("tail", "r")))
-    facts = words.select(F.col("code").alias("first"), "lang").join(F.broadcast(totals.select(F.col("lang").alias("of"), F.col("n").alias("total"))), F.col("lang") == F.col("of")).drop("of")
+    facts = words.select(F.col("code").alias("first"), "lang").join(small(totals.select(F.col("lang").alias("of"), F.col("n").alias("total"))), F.col("lang") == F.col("of")).drop("of")
     of = phrases.select("phrase", F.col("n").alias("a"), F.expr(f"substring(phrase, 1, {width})").alias("first")).join(small(facts), "first").drop("first")
     cuts = of.withColumn("k", F.explode(F.sequence(F.lit(1), (size - 1).cast("int"))))
     cuts = cuts.withColumn("head", F.expr(f"substring(phrase, 1, k * {width})")).withColumn("tail", F.expr(f"substring(phrase, k * {width} + 1)"))
