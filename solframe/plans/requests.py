@@ -42,23 +42,39 @@ def bind_columns(names: Sequence[str], required: Sequence[str] = REQUIRED) -> di
 
 
 def binding(names: Column, required: Sequence[str] = REQUIRED) -> Column:
-    """As `bind_columns` for a column with an array of names: an array of (metric, variable)."""
-    out, used = [], F.array().cast("array<string>")
-    for metric in required:
-        hits = [_first(names, p, used) for p in ALIASES.get(metric, (re.escape(metric.lower()),))]
-        out.append(F.struct(F.lit(metric).alias("metric"), F.coalesce(*hits, F.lit(NONE)).alias("variable")))
-        used = F.array_compact(F.concat(used, F.array(F.coalesce(*hits))))
-    return F.array(*out)
+    """As `bind_columns` for a column with an array of names: an array of (metric, variable).
+
+    A name is made plain once, and what matches a quantity is found once, whatever is bound to the others.
+    """
+
+    def bound(named: Column) -> Column:
+        hits = F.array(*(F.struct(F.lit(m).alias("metric"), _hits(named, ALIASES.get(m, (re.escape(m.lower()),))).alias("hits")) for m in required))
+        return F.aggregate(hits, F.array().cast("array<struct<metric:string,variable:string>>"), _bind, lambda done: F.transform(done, _or_none))
+
+    return F.get(F.transform(F.array(F.transform(names, _plain)), bound), F.lit(0))  # `named` stands for a value, not for its expression
+
+
+def _plain(name: Column) -> Column:
+    return F.struct(name.alias("name"), F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")).alias("plain"))
+
+
+def _hits(named: Column, patterns: Sequence[str]) -> Column:
+    """The names that match, those of the better patterns first."""
+
+    def fitting(pattern: str) -> Column:
+        return F.filter(named, lambda x: x["plain"].rlike(f"^(?:{pattern})$"))
+
+    return F.transform(F.concat(*map(fitting, patterns)), lambda x: x["name"])
 
 
-def _first(names: Column, pattern: str, used: Column) -> Column:
-    """The first name that matches, ignoring case and punctuation, and isn't used."""
+def _bind(done: Column, found: Column) -> Column:
+    """Add a quantity with the first of its hits that isn't bound yet."""
+    free = F.filter(found["hits"], lambda n: ~F.exists(done, lambda d: d["variable"].eqNullSafe(n)))
+    return F.concat(done, F.array(F.struct(found["metric"].alias("metric"), F.get(free, F.lit(0)).alias("variable"))))
 
-    def fits(n: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(n), "[^a-z0-9]+", " "))
-        return plain.rlike(f"^(?:{pattern})$") & ~F.array_contains(used, n)
 
-    return F.get(F.filter(names, fits), F.lit(0))
+def _or_none(pair: Column) -> Column:
+    return F.struct(pair["metric"].alias("metric"), F.coalesce(pair["variable"], F.lit(NONE)).alias("variable"))
 
 
 def missing_essentials(bound: dict[str, str]) -> list[str]:

@@ -272,6 +272,16 @@ def test_requests(spark):
         requests.AnalysisSpec(["p101"], ["x"]).apply(data)
 
 
+def test_bound_columns_cost_a_step_each(spark):
+    """Bindings to all quantities don't repeat those of earlier ones: a name is made plain in one place of the plan."""
+    lists = [["Power", "power", None, "Power"], ["N/A", "imp", "I_mp", "V mp", "kW", "ts"], [None], None, ["Voltage", "dc voltage", "DC-Voltage"], ["date time", "DATE", "current", "DC Current", "p"], ["time power voltage current"] * 2]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lists)], "i int, n array<string>")
+    got = {r["i"]: {x["metric"]: x["variable"] for x in r["b"]} for r in df.select("i", requests.binding(F.col("n")).alias("b")).collect()}
+    assert [got[i] for i in range(len(lists))] == [requests.bind_columns([x for x in n or [] if x is not None]) for n in lists]
+    plan = df.select(requests.binding(F.col("n")))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("regexp_replace") == 1
+
+
 # declared reads
 
 
