@@ -333,7 +333,7 @@ def folder_catalogue(t):
     """Files whose folders tell place and coordinates, numbered by place; no content is read."""
     made = _suppliers(t).select(F.format_string("%d_%.1f_%.1f", "s_suppkey", "lat", "lon").alias("place"), F.lit("x").alias("value"))
     path = _folder(made, "catalogue")
-    made.repartition("place").write.partitionBy("place").text(path)
+    sinks.text_by_folder(made, path, "place")
     found = readers.catalogue(made.sparkSession, path, r"place=(\d+)_(-?[\d.]+)_(-?[\d.]+)/[^/]+\.txt$", ["location_id", "lat", "lon"], "*.txt")
     return found.select("row_id", "location_id", "lat", "lon")
 

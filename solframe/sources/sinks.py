@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .sections import Section, lines
 
+#: Folders that a task writes, about.
+FOLDERS = 500
+
 
 def parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.partitionBy(*partition_by).parquet(path)
@@ -18,6 +21,17 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def text_by_folder(df: DataFrame, path: str, by: str) -> None:
+    """Text files of the other column, in a folder for each value of `by`, such as a place.
+
+    A task writes about FOLDERS of them, so tasks grow in number with the folders, and moves its own to where they belong
+    when it ends: nothing is left to move one by one at the end of the job. A path is for one job.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.select(by).distinct().count() // FOLDERS + 1)
+    dealt = df.repartition(parts, by)  # a number that is given stays, however few bytes there are
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).text(path)
+
+
 def stacked(parameters: DataFrame, data: DataFrame, path: str, order: Sequence[str]) -> None:
     """Text files: a row of parameters, then the data, each under its header; files in order make one text.
 
