@@ -104,14 +104,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     Before the first one, memory that the worker's last task has freed goes back to the system, and after the last one
     what Arrow keeps for more: workers live on for other stages.
     """
-    _give_back()
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

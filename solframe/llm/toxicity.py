@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 #: Decay for each letter spanned; the most letters spanned; character classes; the longest string taken at once.
 DECAY, SPAN, CLASSES, LONGEST = 0.7, 7, 64, 32
@@ -38,6 +38,8 @@ TOXIC, CLEAN, CHARS = 1500, 3000, 20_000
 STANDOUT, ORDINARY, ROUNDS, MEMO = 256, 256, 3, 120_000
 #: Strings that stand out most and are examples in any case.
 FREQUENT = 64
+#: Strings whose features are taken at once in the fit.
+AT_ONCE = 1000
 #: Price of an example on the wrong side.
 COST = 30.0
 #: predicted is 1 from this score on.
@@ -148,9 +150,11 @@ NONE = Model(np.zeros(CLASSES**3 + 1, np.float32), -1.0, 1.0, -30.0)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rng: np.random.Generator, epochs: int = 30) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent (Hsieh et al., 2008); the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    square, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
+    """Linear support vector machine by dual coordinate descent (Hsieh et al., 2008); the last weight is the intercept.
+
+    The last column of x is 1.
+    """
+    square, alpha, w = np.array([(r * r).sum() for r in x]), np.zeros(len(x)), np.zeros(x.shape[1])
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             gradient = y[i] * (w @ x[i]) - 1
@@ -189,9 +193,20 @@ def _variants(s: str, rng: np.random.Generator) -> list[str]:
 
 
 def train(texts: Iterable[tuple[str, int]], seed: int = 7) -> Model:
-    """Fit on (text, toxic) pairs. Without texts of both kinds, a model that scores everything near 0."""
+    """Fit on (text, toxic) pairs. Without texts of both kinds, a model that scores everything near 0.
+
+    The driver holds each distinct string once, and features of AT_ONCE strings; what it frees goes back to the system.
+    """
+    model = _fitted(texts, seed)
+    give_back()
+    return model
+
+
+def _fitted(texts: Iterable[tuple[str, int]], seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    bags = [([sorted(x for x in strings(s) if 3 <= len(x) <= LONGEST) for s in sentences(t)], y) for t, y in texts]
+    once: dict[str, str] = {}
+    bags = [([sorted(once.setdefault(x, x) for x in strings(s) if 3 <= len(x) <= LONGEST) for s in sentences(t)], y) for t, y in texts]
+    del once
     said = [b for b, y in bags if y]  # the sentences of each toxic text
     harmless = [s for b, y in bags if not y for s in b if s]
     toxic, clean = ([sorted({x for s in b for x in s}) for b, y in bags if bool(y) == kind] for kind in (True, False))
@@ -214,7 +229,10 @@ def train(texts: Iterable[tuple[str, int]], seed: int = 7) -> Model:
     project = vectors[:, good] / np.sqrt(values[good])  # K(landmarks)^(-1/2), on its sound directions
 
     def features(batch: list[str]) -> np.ndarray:
-        return np.vstack([_vectors(batch[i : i + 1000], codes_of) @ basis.T @ project for i in range(0, len(batch), 1000)])
+        out = np.ones((len(batch), project.shape[1] + 1))
+        for i in range(0, len(batch), AT_ONCE):
+            out[i : i + AT_ONCE, :-1] = _vectors(batch[i : i + AT_ONCE], codes_of) @ basis.T @ project
+        return out
 
     table = np.zeros(CLASSES**3 + 1, np.float32)
     hard: set[str] = set()

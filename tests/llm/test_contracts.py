@@ -179,6 +179,15 @@ def test_kernel_equals_brute_force():
     assert toxicity.score_strings(words, table) == pytest.approx(x @ x[0], rel=1e-4, abs=1e-5)
 
 
+def test_fit_holds_each_string_once_and_frees_memory(monkeypatch):
+    bags, freed, needed = [], [], toxicity._needed
+    monkeypatch.setattr(toxicity, "_needed", lambda witness, toxic: bags.extend(toxic) or needed(witness, toxic))
+    monkeypatch.setattr(toxicity, "give_back", lambda: freed.append(True), raising=False)
+    toxicity.train([(f"common words dreadful{i % 2}x again. common words", 1) for i in range(60)] + [(f"common words again number{i}", 0) for i in range(150)])
+    assert len(bags) == 60 and len({id(x) for b in bags for x in b}) == len({x for b in bags for x in b})
+    assert freed == [True]
+
+
 def test_held_out_toxic_texts_are_found(spark):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("aeioutnrsld"), int(rng.integers(3, 9)))) for _ in range(500)]
